@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .html_extraction import op10_html_extraction
+from .language_id import op1_language_id
+from .packing import op2_packing
 from .quality_rules import op9_quality_rules
 from .url_filters import OP8_SQL, op8_url_filters
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {
