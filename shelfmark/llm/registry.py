@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html_extraction import op10_html_extraction
 from .language_id import op1_language_id
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op2_packing
 from .quality_rules import op9_quality_rules
 from .url_filters import OP8_SQL, op8_url_filters
@@ -12,10 +13,12 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op8_url_filters": op8_url_filters,
+    "op3_line_dedup": op3_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": OP3_SQL,
     "op8_url_filters": OP8_SQL,
 }
