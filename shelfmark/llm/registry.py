@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP6_SQL, op6_decontamination
 from .html_extraction import op10_html_extraction
 from .language_id import op1_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
@@ -12,6 +13,7 @@ from .url_filters import OP8_SQL, op8_url_filters
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op6_decontamination": op6_decontamination,
     "op8_url_filters": op8_url_filters,
     "op3_line_dedup": op3_line_dedup,
     "op9_quality_rules": op9_quality_rules,
@@ -20,5 +22,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
+    "op6_decontamination": OP6_SQL,
     "op8_url_filters": OP8_SQL,
 }
