@@ -8,11 +8,13 @@ from .language_id import op1_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op2_packing
 from .quality_rules import op9_quality_rules
+from .substring_dedup import op4_substring_dedup
 from .url_filters import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_url_filters": op8_url_filters,
     "op3_line_dedup": op3_line_dedup,
