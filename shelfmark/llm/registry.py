@@ -9,6 +9,7 @@ from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op2_packing
 from .quality_rules import op9_quality_rules
 from .substring_dedup import op4_substring_dedup
+from .suffix_dedup import op7_suffix_dedup
 from .url_filters import OP8_SQL, op8_url_filters
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filters": op8_url_filters,
     "op3_line_dedup": op3_line_dedup,
     "op9_quality_rules": op9_quality_rules,
