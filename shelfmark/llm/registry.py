@@ -6,6 +6,7 @@ from .decontamination import OP6_SQL, op6_decontamination
 from .html_extraction import op10_html_extraction
 from .language_id import op1_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .ngram_join import op5_ngram_join
 from .packing import op2_packing
 from .quality_rules import op9_quality_rules
 from .substring_dedup import op4_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_decontamination": op6_decontamination,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filters": op8_url_filters,
