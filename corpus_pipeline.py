@@ -1,6 +1,78 @@
-STAGES = []
+"""A training corpus from `documents` in five stages; each one's rows are written as Parquet before the next one reads them.
+
+1. quality: documents that the quality rules reject go.
+2. line_dedup: later copies of runs of lines are cut from the texts (n_chars follows); a document of which every line
+   with a word was a copy goes.
+3. near_duplicates: of each group linked by n-gram similarity the document with the smallest id stays.
+4. decontamination: documents that contain a benchmark window go.
+5. packing: what is left is tokenised and packed into windows; one row a piece.
+
+Rows without an id can't be named as the smallest of a group, so they stay in stage 3. Of rows with equal id and text one stays there.
+The packing of pieces into windows has no counterpart in SQL, so ORACLE_SQL is None and the tests hold run() against a plain
+version of every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.llm.common import materialize, row_key, table
+from shelfmark.llm.decontamination import decontaminate
+from shelfmark.llm.line_dedup import dedup_lines
+from shelfmark.llm.ngram_join import similar_groups
+from shelfmark.llm.packing import pack_documents
+from shelfmark.llm.quality_rules import score_quality
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows whose row_key is in keys(_key)."""
+    return docs.withColumn("_key", row_key()).join(keys.distinct(), "_key", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return score_quality(docs).filter("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(docs).filter("n_lines = 0 or n_removed < n_lines")
+    changed = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = materialize(similar_groups(docs.select("doc_id", "text", row_key().alias("_key"))).select("_key", "doc_id", "component_id"))
+    kept = _without(docs, groups.filter("doc_id <> component_id").select("_key"))
+    twice = groups.groupBy("_key").count().filter("count > 1").select("_key")
+    if twice.isEmpty():
+        return kept
+    keyed = kept.withColumn("_key", row_key())
+    once = keyed.join(twice, "_key", "left_semi").dropDuplicates(["_key"])
+    return keyed.join(twice, "_key", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(docs.select(row_key().alias("_key"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter("contaminated").select("_key"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs
