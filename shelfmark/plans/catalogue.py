@@ -1,4 +1,335 @@
-"""All queries of the retail engine and the SQL they are checked against."""
+"""All queries of the retail engine over the star-schema tables, and the SQL they are checked against.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Money leaves as whole cents, so both sides agree to the last digit.
+"""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import digest, scd2
+from ..operators.dates import DateWindow
+from ..operators.grain import bounds, dense_spine
+from ..sources import star_schema as star
+from . import gates, layers, marts
+
+RUN_DATE = date(1997, 6, 30)
+WINDOW = DateWindow.ending(RUN_DATE)
+AS_OF = [datetime(1996, 6, 30), datetime(1997, 6, 30), datetime(1998, 12, 31)]
+
+
+def cents(name: str) -> Column:
+    return (F.col(name) * 100).cast("long").alias(name)
+
+
+class Star:
+    """The layers over one set of tables, built when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    @property
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+
+    @property
+    def raw_orders(self) -> DataFrame:
+        return star.orders(self.spark, self.dir)
+
+    @property
+    def raw_items(self) -> DataFrame:
+        return star.order_items(self.spark, self.dir)
+
+    @property
+    def orders(self) -> DataFrame:
+        return layers.stage_orders(self.raw_orders)
+
+    @property
+    def items(self) -> DataFrame:
+        return layers.stage_order_items(self.raw_items)
+
+    @property
+    def lines(self) -> DataFrame:
+        return layers.order_lines(self.items, self.orders)
+
+    @property
+    def returns(self) -> DataFrame:
+        return layers.returns_attributed(layers.stage_returns(star.returns(self.items)), self.orders)
+
+    @property
+    def spine(self) -> DataFrame:
+        return dense_spine(star.stores(self.spark, self.dir), bounds((self.orders, "order_date")))
+
+    def sales(self, window: DateWindow | None = None) -> DataFrame:
+        return marts.sales(self.spine, self.orders, self.lines, self.returns, window)
+
+    @property
+    def event_orders(self) -> DataFrame:
+        return layers.stage_orders(star.event_orders(self.events))
+
+    @property
+    def traffic(self) -> DataFrame:
+        return layers.stage_traffic(star.event_traffic(self.events))
+
+    def conversion(self, window: DateWindow | None = None) -> DataFrame:
+        spine = dense_spine(star.event_stores(self.events), bounds((self.event_orders, "order_date"), (self.traffic, "traffic_date")))
+        return marts.conversion(spine, self.traffic, self.event_orders, window)
+
+    @property
+    def versions(self) -> DataFrame:
+        """Three snapshots: returns known by then; the first one was taken before every 211th order's lines came in."""
+        keys, checked = ["store_id", "order_date"], ["orders_count", "revenue_gross", "returns_amount", "revenue_net"]
+        found = None
+        for i, at in enumerate(AS_OF):
+            lines = self.lines.filter("order_id % 211 <> 0") if i == 0 else self.lines
+            known = self.returns.filter(F.col("returned_date") <= F.lit(at.date()))
+            mart = marts.sales(self.spine, self.orders, lines, known).select(*keys, *checked)
+            found = scd2.first_snapshot(mart, keys, at) if found is None else scd2.snapshot(found, mart, keys, checked, at)
+        return found
+
+    @property
+    def flags(self) -> DataFrame:
+        return marts.quality(self.conversion(), self.returns)
+
+
+def _sales_out() -> list:
+    return ["store_id", "order_date", "has_orders", "orders_count", "orders_cancelled_count", "lines_count", "units_sold", cents("revenue_gross"), cents("returns_amount"), cents("returns_arrived_amount"), cents("revenue_net")]
+
+
+def _log(s: Star) -> DataFrame:
+    log = scd2.revisions(s.versions, ["store_id", "order_date"])
+    return log.select("store_id", "order_date", F.col("revised_at").cast("date").alias("revised_on"), "version_no", cents("revenue_net_was"), cents("revenue_net_became"), cents("revenue_net_delta"), cents("returns_amount_was"), cents("returns_amount_became"), "reason")
+
+
+def _naive_gap(s: Star) -> DataFrame:
+    raw = s.raw_items.groupBy("order_date").agg(F.count("*").alias("raw_lines"), F.sum("line_amount").alias("raw_gross"))
+    clean = s.items.groupBy("order_date").agg(F.count("*").alias("lines"), F.sum("line_amount").alias("gross"))
+    both = raw.join(clean, "order_date").filter("raw_lines <> lines")
+    return both.select("order_date", (F.col("raw_lines") - F.col("lines")).alias("surplus_lines"), ((F.col("raw_gross") - F.col("gross")) * 100).cast("long").alias("surplus_cents"))
+
+
+def _forced_orphans(s: Star) -> DataFrame:
+    return layers.order_lines(s.items, s.orders.filter("order_id % 97 <> 0"))
+
+
+def _line_out() -> list:
+    return ["order_id", "line_no", "order_date", "store_id", "channel", "is_cancelled", "is_offline", "sku", "quantity", cents("unit_price"), cents("line_amount"), "source_copies"]
+
+_BUILDERS = {
+    "dedup_grain": lambda s: s.items.select("order_id", "order_date", "line_no", "sku", "quantity", cents("unit_price"), cents("line_amount"), "source_copies"),
+    "order_lines_left": lambda s: _forced_orphans(s).select(*_line_out()),
+    "order_lines_one_day": lambda s: layers.order_lines(s.items, s.orders, DateWindow(RUN_DATE, RUN_DATE)).select(*_line_out()),
+    "returns_attributed": lambda s: s.returns.select("return_id", "order_id", "line_no", "store_id", "is_cancelled", "order_date", "returned_date", "delay_days", "quantity", cents("returned_amount")),
+    "day_spine": lambda s: s.spine,
+    "sales_mart": lambda s: s.sales().select(*_sales_out()),
+    "sales_mart_window": lambda s: s.sales(WINDOW).select(*_sales_out()),
+    "conversion_mart": lambda s: s.conversion(),
+    "trend_7d": lambda s: marts.trend(s.sales()).select("store_id", "order_date", cents("revenue_net"), "revenue_net_avg_7d"),
+    "quality_flags": lambda s: s.flags,
+    "flag_conversion": lambda s: marts.flag_conversion(s.conversion()),
+    "flag_late_returns": lambda s: marts.flag_late_returns(s.returns),
+    "flag_orders_missing": lambda s: marts.flag_missing(s.conversion(), "has_orders", "orders_partition_missing"),
+    "flag_traffic_missing": lambda s: marts.flag_missing(s.conversion(), "has_traffic", "traffic_partition_missing"),
+    "flag_summary": lambda s: marts.flag_summary(s.flags),
+    "snapshot_scd2": lambda s: s.versions.select("store_id", "order_date", F.col("valid_from").cast("date").alias("valid_from"), F.col("valid_to").cast("date").alias("valid_to"), "orders_count", cents("revenue_gross"), cents("returns_amount"), cents("revenue_net")),
+    "revision_log": _log,
+    "topk_revisions": lambda s: _log(s).orderBy(F.desc("revised_on"), F.asc_nulls_last("revenue_net_delta"), "store_id", "order_date").limit(20),
+    "delay_percentiles": lambda s: marts.delays(s.returns),
+    "publish_summary": lambda s: marts.publish_summary(s.sales(WINDOW), s.conversion(), s.flags, WINDOW),
+    "table_digest": lambda s: digest.table_digest(s.sales().select(*_sales_out())),
+    "naive_vs_dedup_gap": _naive_gap,
+    "gate_unique_grain": lambda s: gates.unique_grain(s.raw_items, layers.LINE_GRAIN),
+    "gate_unique": lambda s: gates.unique(s.raw_items, "order_id"),
+    "gate_not_null": lambda s: gates.not_null(_forced_orphans(s), "store_id").select("order_id", "line_no"),
+    "gate_not_negative": lambda s: gates.not_negative(s.raw_items.withColumn("lag_days", F.datediff("ship_date", "order_date")), "lag_days").select("order_id", "line_no", "lag_days"),
+    "gate_accepted_values": lambda s: gates.accepted_values(s.raw_orders, "channel", ["offline", "web"]),
+    "gate_relationships": lambda s: gates.relationship(s.raw_items, "order_id", s.raw_orders.filter("order_id % 97 <> 0"), "order_id").select("order_id", "line_no"),
+    "gate_freshness": lambda s: gates.freshness(s.event_orders.filter("order_date < '2024-01-15'"), s.traffic),
+    "gate_lines_match_raw": lambda s: gates.lines_match_raw(s.raw_items, s.raw_orders, s.lines.filter("order_id % 13 <> 0"), WINDOW).select("store_id", "order_date", "n_lines_a", "n_lines_b", cents("gross_a"), cents("gross_b")),
+    "gate_status_agreement": lambda s: gates.status_agreement(s.orders, layers.stage_cancellations(star.cancellations(s.raw_orders))),
+    "gate_line_dates": lambda s: gates.line_dates(s.items.withColumn("order_date", F.when(F.col("order_id") % 50 == 0, F.date_add("order_date", 1)).otherwise(F.col("order_date"))), s.orders),
+    "gate_live_returns": lambda s: gates.live_returns(s.returns),
+}
+
+QUERIES = {name: (lambda spark, sf_dir, build=build: build(Star(spark, sf_dir))) for name, build in _BUILDERS.items()}
+
+_BASE = """
+WITH s_orders AS (
+  SELECT o_orderkey AS order_id, CAST(n_regionkey AS INTEGER) AS store_id, CAST(o_orderdate AS DATE) AS order_date,
+         CASE o_orderkey % 3 WHEN 0 THEN 'offline' WHEN 1 THEN 'web' ELSE 'app' END AS channel,
+         o_orderstatus = 'P' AS is_cancelled, o_orderkey % 3 = 0 AS is_offline
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+), r_items AS (
+  SELECT l_orderkey AS order_id, CAST(o_orderdate AS DATE) AS order_date, CAST(l_linenumber AS INTEGER) AS line_no, 'P' || l_partkey AS sku,
+         CAST(l_quantity AS INTEGER) AS quantity, CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS INTEGER) AS unit_price,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS line_amount, l_returnflag, CAST(l_shipdate AS DATE) AS ship_date
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+), s_items AS (
+  SELECT * FROM (
+    SELECT *, count(*) OVER (PARTITION BY order_id, line_no) AS source_copies,
+           row_number() OVER (PARTITION BY order_id, line_no ORDER BY line_amount, quantity, unit_price, sku, l_returnflag, ship_date) AS copy_no
+    FROM r_items) WHERE copy_no = 1
+), i_lines AS (
+  SELECT i.order_id, i.line_no, i.order_date, o.store_id, o.channel, o.is_cancelled, o.is_offline, i.sku, i.quantity, i.unit_price, i.line_amount, i.source_copies
+  FROM s_items i LEFT JOIN s_orders o ON i.order_id = o.order_id
+), i_returns AS (
+  SELECT i.order_id * 10 + i.line_no AS return_id, i.order_id, i.line_no, o.store_id, o.is_cancelled, i.order_date,
+         i.order_date + CAST((i.order_id * 7 + i.line_no) % 31 AS INTEGER) AS returned_date, CAST((i.order_id * 7 + i.line_no) % 31 AS INTEGER) AS delay_days,
+         i.quantity, i.line_amount AS returned_amount
+  FROM s_items i LEFT JOIN s_orders o ON i.order_id = o.order_id WHERE i.l_returnflag = 'R'
+), horizon AS (SELECT min(order_date) AS first_day, max(order_date) AS last_day FROM s_orders),
+spine AS (
+  SELECT CAST(r_regionkey AS INTEGER) AS store_id, CAST(d AS DATE) AS calendar_date
+  FROM region, horizon, LATERAL (SELECT unnest(generate_series(CAST(first_day AS TIMESTAMP), CAST(last_day AS TIMESTAMP), INTERVAL 1 DAY)) AS d)
+  WHERE CAST(d AS DATE) >= DATE '1995-01-01' + CAST(100 * r_regionkey AS INTEGER)
+)"""
+
+
+def _mart_sql(name: str, lines: str = "i_lines", returns: str = "i_returns", low: str = "0001-01-01", high: str = "9999-12-31") -> str:
+    day = "BETWEEN DATE '{}' AND DATE '{}'".format(low, high)
+    return f"""
+{name}_heads AS (SELECT store_id, order_date, count(*) FILTER (WHERE NOT is_cancelled) AS live, count(*) FILTER (WHERE is_cancelled) AS gone FROM s_orders WHERE order_date {day} GROUP BY ALL),
+{name}_sold AS (SELECT store_id, order_date, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(line_amount) AS BIGINT) AS gross FROM {lines} WHERE NOT is_cancelled AND order_date {day} GROUP BY ALL),
+{name}_back AS (SELECT store_id, order_date, CAST(sum(returned_amount) AS BIGINT) AS amount FROM {returns} WHERE order_date {day} GROUP BY ALL),
+{name}_came AS (SELECT store_id, returned_date, CAST(sum(returned_amount) AS BIGINT) AS amount FROM {returns} WHERE returned_date {day} GROUP BY ALL),
+{name} AS (
+  SELECT s.store_id, s.calendar_date AS order_date, h.store_id IS NOT NULL AS has_orders, h.live AS orders_count, h.gone AS orders_cancelled_count,
+         CASE WHEN h.store_id IS NOT NULL THEN coalesce(l.n, 0) END AS lines_count, CASE WHEN h.store_id IS NOT NULL THEN coalesce(l.units, 0) END AS units_sold,
+         CASE WHEN h.store_id IS NOT NULL THEN coalesce(l.gross, 0) END AS revenue_gross, CASE WHEN h.store_id IS NOT NULL THEN coalesce(b.amount, 0) END AS returns_amount,
+         coalesce(c.amount, 0) AS returns_arrived_amount, CASE WHEN h.store_id IS NOT NULL THEN coalesce(l.gross, 0) - coalesce(b.amount, 0) END AS revenue_net
+  FROM spine s
+  LEFT JOIN {name}_heads h ON h.store_id = s.store_id AND h.order_date = s.calendar_date
+  LEFT JOIN {name}_sold l ON l.store_id = s.store_id AND l.order_date = s.calendar_date
+  LEFT JOIN {name}_back b ON b.store_id = s.store_id AND b.order_date = s.calendar_date
+  LEFT JOIN {name}_came c ON c.store_id = s.store_id AND c.returned_date = s.calendar_date
+  WHERE s.calendar_date {day}
+)"""
+
+
+_EVENTS = """
+e AS (SELECT event_id, CAST(user_id AS INTEGER) AS store_id, CAST(ts AS DATE) AS day, event_type FROM events),
+e_traffic AS (SELECT store_id, day, CAST(count(*) FILTER (WHERE event_type = 'view') AS INTEGER) AS visitors FROM e WHERE event_type IN ('view', 'click') GROUP BY ALL),
+e_orders AS (SELECT store_id, day, count(*) FILTER (WHERE event_type = 'purchase') AS live FROM e WHERE event_type NOT IN ('view', 'click') GROUP BY ALL),
+e_days AS (SELECT CAST(unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM e),
+conv AS (
+  SELECT s.store_id, d.day AS traffic_date, t.store_id IS NOT NULL AS has_traffic, o.store_id IS NOT NULL AS has_orders, t.visitors,
+         o.live AS orders_offline, CAST(o.live AS DOUBLE) / nullif(t.visitors, 0) AS conversion
+  FROM (SELECT DISTINCT store_id FROM e) s CROSS JOIN e_days d
+  LEFT JOIN e_traffic t ON t.store_id = s.store_id AND t.day = d.day
+  LEFT JOIN e_orders o ON o.store_id = s.store_id AND o.day = d.day
+),
+f_conversion AS (
+  SELECT store_id, traffic_date AS flag_date, 'conversion_above_threshold' AS check_name, orders_offline || ' orders for ' || visitors || ' visitors' AS reason,
+         CAST(orders_offline AS DOUBLE) AS measured_value, CAST(visitors * 95 AS DOUBLE) / 100 AS threshold_value
+  FROM conv WHERE has_orders AND has_traffic AND 100 * orders_offline > 95 * visitors
+),
+f_late AS (
+  SELECT store_id, order_date AS flag_date, 'return_outside_window' AS check_name, count(*) || ' returns, the latest after ' || max(delay_days) || ' days' AS reason,
+         CAST(max(delay_days) AS DOUBLE) AS measured_value, CAST(28 AS DOUBLE) AS threshold_value
+  FROM i_returns WHERE delay_days > 28 GROUP BY store_id, order_date
+),
+f_orders AS (SELECT store_id, traffic_date AS flag_date, 'orders_partition_missing' AS check_name, 'orders partition missing' AS reason, CAST(0 AS DOUBLE) AS measured_value, CAST(NULL AS DOUBLE) AS threshold_value FROM conv WHERE NOT has_orders),
+f_traffic AS (SELECT store_id, traffic_date AS flag_date, 'traffic_partition_missing' AS check_name, 'traffic partition missing' AS reason, CAST(0 AS DOUBLE) AS measured_value, CAST(NULL AS DOUBLE) AS threshold_value FROM conv WHERE NOT has_traffic),
+flags AS (SELECT * FROM f_conversion UNION ALL SELECT * FROM f_late UNION ALL SELECT * FROM f_orders UNION ALL SELECT * FROM f_traffic)"""
+
+_VERSIONS = ",".join([
+    "\nlines_0 AS (SELECT * FROM i_lines WHERE order_id % 211 <> 0)",
+    *[f"\nknown_{i} AS (SELECT * FROM i_returns WHERE returned_date <= DATE '{at.date()}')" for i, at in enumerate(AS_OF)],
+    *[_mart_sql(f"m{i}", "lines_0" if i == 0 else "i_lines", f"known_{i}") for i in range(len(AS_OF))],
+    "\nstates AS (" + " UNION ALL ".join(f"SELECT store_id, order_date, DATE '{at.date()}' AS valid_from, orders_count, revenue_gross, returns_amount, revenue_net FROM m{i}" for i, at in enumerate(AS_OF)) + ")",
+    """
+changes AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER w AS state_no, lag(orders_count) OVER w AS oc, lag(revenue_gross) OVER w AS rg, lag(returns_amount) OVER w AS ra, lag(revenue_net) OVER w AS rn
+    FROM states WINDOW w AS (PARTITION BY store_id, order_date ORDER BY valid_from))
+  WHERE state_no = 1 OR orders_count IS DISTINCT FROM oc OR revenue_gross IS DISTINCT FROM rg OR returns_amount IS DISTINCT FROM ra OR revenue_net IS DISTINCT FROM rn
+)""",
+    """
+versions AS (
+  SELECT store_id, order_date, valid_from, lead(valid_from) OVER (PARTITION BY store_id, order_date ORDER BY valid_from) AS valid_to, orders_count, revenue_gross, returns_amount, revenue_net FROM changes
+)""",
+    """
+log AS (
+  SELECT store_id, order_date, valid_from AS revised_on, row_number() OVER w AS version_no, lag(revenue_net) OVER w AS revenue_net_was, revenue_net AS revenue_net_became,
+         revenue_net - lag(revenue_net) OVER w AS revenue_net_delta, lag(returns_amount) OVER w AS returns_amount_was, returns_amount AS returns_amount_became,
+         CASE WHEN returns_amount IS DISTINCT FROM lag(returns_amount) OVER w AND revenue_gross IS NOT DISTINCT FROM lag(revenue_gross) OVER w THEN 'late return'
+              WHEN revenue_gross IS DISTINCT FROM lag(revenue_gross) OVER w THEN 'raw layer rebuilt'
+              WHEN orders_count IS DISTINCT FROM lag(orders_count) OVER w THEN 'order mix changed' ELSE 'other' END AS reason
+  FROM versions WINDOW w AS (PARTITION BY store_id, order_date ORDER BY valid_from)
+)""",
+])
+
+_SALES = _BASE + "," + _mart_sql("mart")
+_SALES_WINDOW = _BASE + "," + _mart_sql("mart", low=str(WINDOW.low), high=str(WINDOW.high))
+_CONV = _BASE + "," + _EVENTS
+_SCD = _BASE + "," + _VERSIONS
+_DAY = f"DATE '{RUN_DATE}'"
+_IN_WINDOW = f"BETWEEN DATE '{WINDOW.low}' AND DATE '{WINDOW.high}'"
+_LINE_COLUMNS = "order_id, line_no, order_date, store_id, channel, is_cancelled, is_offline, sku, quantity, unit_price, line_amount, source_copies"
+_TEXT = "CASE WHEN {0} IS NULL THEN '~' ELSE '=' || CAST({0} AS VARCHAR) END"
+_MART_COLUMNS = ["store_id", "order_date", "has_orders", "orders_count", "orders_cancelled_count", "lines_count", "units_sold", "revenue_gross", "returns_amount", "returns_arrived_amount", "revenue_net"]
+
+ORACLE_SQL = {
+    "dedup_grain": _BASE + " SELECT order_id, order_date, line_no, sku, quantity, unit_price, line_amount, source_copies FROM s_items",
+    "order_lines_left": _BASE + """ SELECT i.order_id, i.line_no, i.order_date, o.store_id, o.channel, o.is_cancelled, o.is_offline, i.sku, i.quantity, i.unit_price, i.line_amount, i.source_copies
+FROM s_items i LEFT JOIN (SELECT * FROM s_orders WHERE order_id % 97 <> 0) o ON i.order_id = o.order_id""",
+    "order_lines_one_day": _BASE + f" SELECT {_LINE_COLUMNS} FROM i_lines WHERE order_date = {_DAY}",
+    "returns_attributed": _BASE + " SELECT * FROM i_returns",
+    "day_spine": _BASE + " SELECT store_id, calendar_date FROM spine",
+    "sales_mart": _SALES + " SELECT * FROM mart",
+    "sales_mart_window": _SALES_WINDOW + " SELECT * FROM mart",
+    "conversion_mart": _CONV + " SELECT * FROM conv",
+    "trend_7d": _SALES + """ SELECT store_id, order_date, revenue_net,
+CASE WHEN count(revenue_net) OVER w = 7 THEN CAST(sum(revenue_net) OVER w AS DOUBLE) / 7 / 100 END AS revenue_net_avg_7d
+FROM mart WINDOW w AS (PARTITION BY store_id ORDER BY order_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+    "quality_flags": _CONV + " SELECT * FROM flags",
+    "flag_conversion": _CONV + " SELECT * FROM f_conversion",
+    "flag_late_returns": _CONV + " SELECT * FROM f_late",
+    "flag_orders_missing": _CONV + " SELECT * FROM f_orders",
+    "flag_traffic_missing": _CONV + " SELECT * FROM f_traffic",
+    "flag_summary": _CONV + " SELECT check_name, count(*) AS n_flags, min(flag_date) AS first_day, max(flag_date) AS last_day FROM flags GROUP BY check_name",
+    "snapshot_scd2": _SCD + " SELECT * FROM versions",
+    "revision_log": _SCD + " SELECT * FROM log WHERE version_no > 1",
+    "topk_revisions": _SCD + " SELECT * FROM log WHERE version_no > 1 ORDER BY revised_on DESC, revenue_net_delta ASC NULLS LAST, store_id, order_date LIMIT 20",
+    "delay_percentiles": _BASE + """ SELECT count(*) AS n_returns, percentile_cont(0.5) WITHIN GROUP (ORDER BY delay_days) AS p50, percentile_cont(0.9) WITHIN GROUP (ORDER BY delay_days) AS p90,
+percentile_cont(0.95) WITHIN GROUP (ORDER BY delay_days) AS p95, percentile_cont(0.99) WITHIN GROUP (ORDER BY delay_days) AS p99, max(delay_days) AS longest,
+avg(CAST(delay_days > 7 AS INTEGER)) AS share_over_7, avg(CAST(delay_days > 14 AS INTEGER)) AS share_over_14 FROM i_returns""",
+    "publish_summary": _SALES_WINDOW + "," + _EVENTS + f""" SELECT metric, CAST(value AS BIGINT) AS value FROM (
+SELECT 'stores_with_orders' AS metric, count(*) FILTER (WHERE has_orders) AS value FROM mart WHERE order_date = {_DAY}
+UNION ALL SELECT 'orders', coalesce(sum(orders_count), 0) FROM mart WHERE order_date = {_DAY}
+UNION ALL SELECT 'gross_cents', coalesce(sum(revenue_gross), 0) FROM mart WHERE order_date = {_DAY}
+UNION ALL SELECT 'returns_cents', coalesce(sum(returns_amount), 0) FROM mart WHERE order_date = {_DAY}
+UNION ALL SELECT 'net_cents', coalesce(sum(revenue_net), 0) FROM mart WHERE order_date = {_DAY}
+UNION ALL SELECT 'arrived_cents', coalesce(sum(returns_arrived_amount), 0) FROM mart WHERE order_date = {_DAY}
+UNION ALL SELECT 'window_days', count(DISTINCT order_date) FROM mart
+UNION ALL SELECT 'window_net_cents', coalesce(sum(revenue_net), 0) FROM mart
+UNION ALL SELECT 'visitors', coalesce(sum(visitors), 0) FROM conv WHERE traffic_date = {_DAY}
+UNION ALL SELECT 'flags ' || check_name, count(*) FROM flags WHERE flag_date {_IN_WINDOW} GROUP BY check_name)""",
+    "table_digest": _SALES + f""", rows_ AS (SELECT md5(concat_ws(chr(31), {', '.join(_TEXT.format(c) for c in _MART_COLUMNS)})) AS h FROM mart),
+parts AS (SELECT substr(h, 1, 2) AS p, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM rows_ GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, md5(string_agg(h, '' ORDER BY p)) AS digest FROM parts""",
+    "naive_vs_dedup_gap": _BASE + """ SELECT r.order_date, r.n - c.n AS surplus_lines, CAST(r.amount - c.amount AS BIGINT) AS surplus_cents
+FROM (SELECT order_date, count(*) AS n, sum(line_amount) AS amount FROM r_items GROUP BY 1) r JOIN (SELECT order_date, count(*) AS n, sum(line_amount) AS amount FROM s_items GROUP BY 1) c ON r.order_date = c.order_date
+WHERE r.n <> c.n""",
+    "gate_unique_grain": _BASE + " SELECT order_id, line_no, count(*) AS rows_per_key FROM r_items GROUP BY 1, 2 HAVING count(*) > 1",
+    "gate_unique": _BASE + " SELECT order_id, count(*) AS rows_per_key FROM r_items GROUP BY 1 HAVING count(*) > 1",
+    "gate_not_null": _BASE + " SELECT i.order_id, i.line_no FROM s_items i LEFT JOIN (SELECT * FROM s_orders WHERE order_id % 97 <> 0) o ON i.order_id = o.order_id WHERE o.store_id IS NULL",
+    "gate_not_negative": _BASE + " SELECT order_id, line_no, CAST(ship_date - order_date AS INTEGER) AS lag_days FROM r_items WHERE ship_date < order_date",
+    "gate_accepted_values": _BASE + " SELECT channel AS value, count(*) AS n_rows FROM s_orders WHERE channel NOT IN ('offline', 'web') GROUP BY 1",
+    "gate_relationships": _BASE + " SELECT order_id, line_no FROM r_items r WHERE NOT EXISTS (SELECT 1 FROM s_orders o WHERE o.order_id = r.order_id AND o.order_id % 97 <> 0)",
+    "gate_freshness": _CONV + """, target AS (SELECT greatest((SELECT max(day) FROM e WHERE event_type NOT IN ('view', 'click') AND day < DATE '2024-01-15'), (SELECT max(day) FROM e_traffic)) AS day)
+SELECT 'orders' AS table_name, day FROM target WHERE (SELECT count(*) FROM e, target t WHERE event_type NOT IN ('view', 'click') AND e.day < DATE '2024-01-15' AND e.day = t.day) = 0
+UNION ALL SELECT 'store_traffic', day FROM target WHERE (SELECT count(*) FROM e_traffic x, target t WHERE x.day = t.day) = 0""",
+    "gate_lines_match_raw": _BASE + f""", a AS (SELECT store_id, order_date, count(*) AS n, CAST(sum(line_amount) AS BIGINT) AS gross FROM i_lines WHERE NOT is_cancelled AND order_date {_IN_WINDOW} GROUP BY ALL),
+b AS (SELECT store_id, order_date, count(*) AS n, CAST(sum(line_amount) AS BIGINT) AS gross FROM i_lines WHERE NOT is_cancelled AND order_id % 13 <> 0 AND order_date {_IN_WINDOW} GROUP BY ALL)
+SELECT coalesce(a.store_id, b.store_id) AS store_id, coalesce(a.order_date, b.order_date) AS order_date, a.n AS n_lines_a, b.n AS n_lines_b, a.gross AS gross_a, b.gross AS gross_b
+FROM a FULL JOIN b ON a.store_id = b.store_id AND a.order_date = b.order_date WHERE a.n IS DISTINCT FROM b.n OR a.gross IS DISTINCT FROM b.gross""",
+    "gate_status_agreement": _BASE + """, c AS (SELECT order_id FROM s_orders WHERE (is_cancelled AND order_id % 41 <> 0) OR (NOT is_cancelled AND order_id % 97 = 0))
+SELECT order_id, 'cancelled without a row' AS violation FROM s_orders WHERE is_cancelled AND order_date <= (SELECT max(order_date) - 2 FROM s_orders) AND NOT EXISTS (SELECT 1 FROM c WHERE c.order_id = s_orders.order_id)
+UNION ALL SELECT c.order_id, 'row of a live order' FROM c WHERE EXISTS (SELECT 1 FROM s_orders o WHERE o.order_id = c.order_id AND NOT o.is_cancelled)""",
+    "gate_line_dates": _BASE + """ SELECT i.order_id, i.line_no, i.order_date + 1 AS order_date, o.order_date AS head_date FROM s_items i JOIN s_orders o ON i.order_id = o.order_id WHERE i.order_id % 50 = 0""",
+    "gate_live_returns": _BASE + " SELECT return_id, order_id, order_date FROM i_returns WHERE is_cancelled",
+}
