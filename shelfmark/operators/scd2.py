@@ -24,14 +24,17 @@ def snapshot(old: DataFrame, current: DataFrame, keys: list[str], checked: list[
     as_of is an argument, never the clock: the same call twice gives the same rows. Keys that are gone stay open.
     """
     at = F.lit(as_of).cast("timestamp_ntz")
-    here = current.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*[F.col(c).alias(c) for c in checked]).alias("_new"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    same = F.struct(*[F.col(c).alias(c) for c in checked]).eqNullSafe(F.col("_new"))
-    changed = F.col("valid_to").isNull() & F.col("_new").isNotNull() & ~same
-    closed = old.join(here, on, "left").select(*[F.when(changed, at).otherwise(F.col("valid_to")).alias("valid_to") if c == "valid_to" else F.col(c) for c in old.columns])
-    live = old.filter("valid_to is null").select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*[F.col(c).alias(c) for c in checked]).alias("_old"))
-    fresh = current.join(live, on, "left").filter(F.col("_old").isNull() | ~F.struct(*[F.col(c).alias(c) for c in checked]).eqNullSafe(F.col("_old")))
-    return closed.unionByName(first_snapshot(fresh.select(*current.columns), keys, as_of))
+    values = lambda prefix="": F.struct(*[F.col(prefix + c).alias(c) for c in checked])
+    here = current.select(*[F.col(c).alias(f"new_{c}") for c in current.columns])
+    on = [F.col(k) == F.col(f"new_{k}") for k in keys] + [F.col("valid_to").isNull()]
+    both = old.withColumn("_old", F.lit(True)).join(here.withColumn("_new", F.lit(True)), on, "full_outer")
+    changed = F.col("_old").isNull() | (F.col("_new").isNotNull() & ~values().eqNullSafe(values("new_")))
+    # each pair gives the old version, closed if it changed, and the new one if it did: one join, no union
+    kept = F.struct(*[(F.when(changed & F.col("_new").isNotNull(), at).otherwise(F.col(c)) if c == "valid_to" else F.col(c)).alias(c) for c in old.columns])
+    made = {"scd_id": _version_id([f"new_{k}" for k in keys], at), "updated_at": at, "valid_from": at, "valid_to": F.lit(None).cast("timestamp_ntz")}
+    fresh = F.struct(*[(made[c] if c in made else F.col(f"new_{c}")).cast(old.schema[c].dataType).alias(c) for c in old.columns])
+    rows = F.array_compact(F.array(F.when(F.col("_old"), kept), F.when(changed, fresh)))
+    return both.select(F.explode(rows).alias("_row")).select("_row.*")
 
 
 def revisions(versions: DataFrame, keys: list[str]) -> DataFrame:
