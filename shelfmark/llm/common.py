@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +52,25 @@ def task_count(docs: DataFrame, bytes_per_task: int, text: str = "text") -> int:
     """Tasks such that each holds about bytes_per_task of text; counted over all rows."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return int(max(4, -(-total // bytes_per_task)))
+
+
+def relaxed(kind: T.DataType) -> T.DataType:
+    """The type with every part nullable, as Arrow functions return it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, relaxed(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(relaxed(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(relaxed(kind.keyType), relaxed(kind.valueType))
+    return kind
+
+
+def packed(docs: DataFrame, columns: list[str]) -> Column:
+    """These columns as one struct, so that their names can't clash with an operator's own."""
+    whole = F.struct(*[docs[c].alias(c) for c in columns])
+    return whole.cast(relaxed(T.StructType([docs.schema[c] for c in columns])))
+
+
+def schema_of(docs: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """Schema of an Arrow function that hands columns of docs on and adds others (given as DDL)."""
+    return T.StructType([T.StructField(c, relaxed(docs.schema[c].dataType)) for c in columns] + T.StructType.fromDDL(more).fields)

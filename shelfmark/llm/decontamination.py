@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table
 
 SIZE = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,8 +42,8 @@ def item_windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFr
 
 
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, literal_words: int = 20_000, broadcast_rows: int = 50_000) -> DataFrame:
-    """docs without the text, with _row, n_words, hits (array of start and length) and items (array of item ids)."""
-    keep = [c for c in docs.columns if c not in (text, "n_words", "hits", "items", "_row")]
+    """_doc (a struct of docs' columns but the text), n_words, hits (array of start and length) and items (array of item ids)."""
+    keep = [c for c in docs.columns if c != text]
     windows = item_windows(items, item_id, item_text, size)
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     if vocabulary.limit(broadcast_rows + 1).count() <= broadcast_rows:
@@ -55,7 +55,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     rarest = rarest.filter("rare.n > 0").select("window", F.col("rare.word").alias("prefix"), F.col("rare.at").alias("offset"))
     index = rarest.join(windows, "window").cache()
     prefixes = index.select("prefix").distinct().limit(literal_words + 1).collect()
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), *[docs[c] for c in keep], words(docs[text]).alias("_words")).withColumn("n_words", F.size("_words"))
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs, keep).alias("_doc"), words(docs[text]).alias("_words")).withColumn("n_words", F.size("_words"))
     if len(prefixes) <= literal_words:
         rare = [r[0] for r in prefixes] or [""]
         places = F.filter(F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.col("n_words") - 1)), lambda i: F.get("_words", i).isin(rare))
@@ -63,7 +63,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
         places = F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.col("n_words") - 1))
     first = F.greatest(F.col("_place") - size + 1, F.lit(0))
     found = base.withColumn("_place", F.explode_outer(places)).select(
-        "_row", *keep, "n_words", "_place", F.get("_words", F.col("_place")).alias("_word"), first.alias("_first"), F.slice("_words", first + 1, 2 * size - 1).alias("_near")
+        "_row", "_doc", "n_words", "_place", F.get("_words", F.col("_place")).alias("_word"), first.alias("_first"), F.slice("_words", first + 1, 2 * size - 1).alias("_near")
     )
     side = F.broadcast(index) if index.limit(broadcast_rows + 1).count() <= broadcast_rows else index
     start = F.col("_place") - F.col("offset")
@@ -71,18 +71,19 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     same = F.slice("_near", start - F.col("_first") + 1, F.size("window")) == F.col("window")
     joined = found.join(side, (F.col("_word") == F.col("prefix")) & within & F.when(within, same), "left")
     return joined.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in keep], F.first("n_words").alias("n_words"),
+        F.first("_doc").alias("_doc"), F.first("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("window").isNotNull(), F.struct(start.alias("start"), F.size("window").alias("length")))).alias("hits"), F.collect_set("item").alias("items"),
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
-    """docs without the text, with n_words, n_hit, n_items, items_sha256 and contaminated."""
+    """docs without the text, with n_words, n_hit, n_items, items_sha256 and contaminated in place of columns of these names."""
     found = find_hits(docs, items, **names)
     spots = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))
     hit = F.size(F.array_distinct(spots))
-    return found.drop("_row").select(
-        *[c for c in found.columns if c not in ("_row", "hits", "items", "n_words")], F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"),
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select(
+        *[F.col("_doc")[c].alias(c) for c in found.schema["_doc"].dataType.names if c not in made], F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 

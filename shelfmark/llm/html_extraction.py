@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import schema_of, table
 from .html_blocks import Block, leaf_blocks
 from .html_pages import labelled_pages
 
@@ -137,7 +137,7 @@ class Field:
                 self.pair += rate * 0.2 * both
 
 
-def train_field(sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 8, rate: float = 0.1) -> Field:
+def train_field(sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 6, rate: float = 0.1) -> Field:
     field, rng = Field(), random.Random(3)
     for k in range(rounds):
         rng.shuffle(sequences)
@@ -178,7 +178,7 @@ def extract_text(html: str, field: Field) -> str:
 def extract(pages: DataFrame, field: Field, html: str = "html") -> DataFrame:
     """pages with text and n_chars in place of columns of these names; the html column goes."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    fields = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string", "n_chars long"])
+    fields = schema_of(pages, keep, "text string, n_chars long")
     shared = pages.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

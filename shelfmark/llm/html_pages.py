@@ -24,7 +24,7 @@ def article(rng: random.Random) -> str:
     title = f"<h1>{words(rng, rng.randint(1, 9)).capitalize()}</h1>"
     parts = [rng.choice([title, f"<header>{title}</header>", title, ""])]
     for _ in range(rng.randint(1, 9)):
-        body = sentences(rng, rng.randint(1, 6)) if rng.random() < 0.85 else words(rng, rng.randint(1, 12))
+        body = sentences(rng, rng.randint(1, 6)) if rng.random() < 0.8 else words(rng, rng.randint(1, 12)).capitalize() + rng.choice(["", ".", "!"])
         kind = rng.random()
         if kind < 0.7:
             parts.append(rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}<br>"]).format(body))
@@ -55,10 +55,10 @@ def furniture(rng: random.Random) -> dict[str, list[str]]:
     footer = rng.choice(["<footer>{}</footer>", '<div class="footer">{}</div>', "<footer><p>{}</p></footer>"]).format(f"&copy; {words(rng, 1)}.example &middot; {say(rng.randint(1, 3))}")
     related = rng.choice(['<div class="related"><h3>{}</h3><ul>{}</ul></div>', '<div class="share social"><p>{}</p><ul>{}</ul></div>']).format(words(rng, 2), links(rng, 3))
     some = lambda *p: [x for x in p if rng.random() < 0.6]
-    return {"before": [*some(header), nav, *some(notice, ad, form)], "inside": [x for x in (ad, form, related, comments, notice, side) if rng.random() < 0.15], "after": [*some(related, comments, side, form, ad), footer]}
+    return {"before": [] if rng.random() < 0.2 else [*some(header, nav), *some(notice, ad, form)], "inside": [x for x in (ad, form, related, comments, notice, side) if rng.random() < 0.15], "after": [*some(related, comments, side, form, ad), *some(footer)]}
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     """Pages in which every block of the article stands inside a <main-part> tag (taken off before features are made)."""
     rng = random.Random(seed)
     pages = []

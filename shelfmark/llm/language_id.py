@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import table
+from .common import schema_of, table
 
 FEATURES = 1 << 14
 CODE_EXHAUSTIVE = 5
@@ -161,7 +161,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: s
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and ambiguous in place of columns of these names; the text column goes."""
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score", "ambiguous")]
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double", "ambiguous boolean"])
+    fields = schema_of(docs, keep, "lang_pred string, score double, ambiguous boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

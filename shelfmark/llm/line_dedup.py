@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, materialize, table
+from .common import discard, materialize, packed, table
 
 MIN_LINES = 2
 PLACE = ["_id", "_row", "_at"]
@@ -83,7 +83,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """docs with the text cut, and n_lines (with a word), n_removed (of these) and n_runs in place of columns of these names."""
     made = ("n_lines", "n_removed", "n_runs")
     keep = [c for c in docs.columns if c not in made]
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in keep]).alias("_doc")))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs, keep).alias("_doc")))
     body = F.col("_doc")[text]
     lines = rows.select(F.col("_doc")[doc_id].alias("_id"), "_row", F.posexplode(_said(body)).alias("_at", "_line")).select("_id", "_row", "_at", F.col("_line.line").alias("line"))
     deepest = repeated_starts(lines, min_lines).groupBy("_row", "_at").agg(F.max("depth").alias("depth"))

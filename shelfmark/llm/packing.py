@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import schema_of, table
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 CACHED_PIECES = 500_000
@@ -167,8 +167,7 @@ class Packer:
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, max_open: int = 2048, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on demand its ids."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    fields = f"`{doc_id}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    fields = schema_of(docs, [doc_id], "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
     names = [doc_id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

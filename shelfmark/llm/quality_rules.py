@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import materialize, table
+from .common import materialize, schema_of, table
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -87,7 +87,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def with_counts(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns in keep and the counts of the texts; the scan's partitions stay as they are."""
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS])
+    fields = schema_of(docs, keep, ", ".join(f"{c} long" for c in COUNTS))
     return docs.select(*keep, docs[text].alias("__text__")).mapInArrow(_count_batches, fields)
 
 

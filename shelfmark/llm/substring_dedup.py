@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import row_key, table
+from .common import packed, row_key, schema_of, table
 from .superkmers import Scheme, bucket_runs, open_runs, stretches
 
 K_WORDS, M_WORDS = 35, 3
@@ -109,10 +109,10 @@ def _finish(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.R
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K_WORDS, m: int = M_WORDS) -> DataFrame:
     """docs without the text, with n_words, n_removed, kept_text and kept_sha256 in place of columns of these names."""
     keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_text", "kept_sha256")]
-    keyed = docs.select(row_key(doc_id, text).alias("key"), F.lit(0).cast("long").alias("id"), F.struct(*[docs[c] for c in keep]).alias("_doc"), docs[text].alias("text"))
+    keyed = docs.select(row_key(doc_id, text).alias("key"), F.lit(0).cast("long").alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
     cuts = bucket_runs(keyed.select("key", "id", "text"), Scheme(True, k, min(m, k))).groupBy("bucket").applyInArrow(_count_windows(k), CUTS)
     joined = join_cuts(keyed.select("key", "_doc", "text"), cuts)
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_words long, n_removed long, kept_text string, kept_sha256 string"])
+    fields = schema_of(docs, keep, "n_words long, n_removed long, kept_text string, kept_sha256 string")
     return joined.select(*[F.col("_doc")[c].alias(c) for c in keep], F.col("text").alias("__text__"), F.col("_cuts").alias("__cuts__")).mapInArrow(lambda batches: _finish(batches, keep), fields)
 
 
