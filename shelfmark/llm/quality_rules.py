@@ -1,12 +1,13 @@
 """Quality rules: weak supervision over voting rules.
 
-Every rule looks at counts of the whole text and votes good (1), bad (0) or abstains (-1). No rule decides alone:
+Every rule looks at counts of the whole text and votes good (1), bad (0) or abstains (-1): six look for one kind of
+fault and else abstain, one looks for prose. No rule decides alone:
 expectation-maximisation (Dawid and Skene's model, two classes) estimates from the votes of all documents how often
 each rule votes each way on good and on bad documents, and a document stays if its posterior probability of being good
 is at least `threshold`. The vote patterns are counted by Spark over all documents; the driver only sees one row a
-pattern (at most 3**8, whatever the number of documents) and runs EM on these counts.
+pattern (at most 3**7, whatever the number of documents) and runs EM on these counts.
 
-Defined cases: null text counts as empty; a text without words has no votes but those on its length and fails the base
+Defined cases: null text counts as empty; a text without words has no votes and fails the base
 test; equal rows get equal verdicts; an empty table gives an empty result.
 """
 
@@ -29,7 +30,7 @@ _LETTERS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
 _CAPITALS = np.zeros(256, bool)
 _CAPITALS[65:91] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_shouts", "n_stops", "n_bare"]
-RULES = ["length", "repetition", "symbols", "lines", "capitals", "word_size", "bare_words", "sentences"]
+RULES = ["repetition", "symbols", "lines", "capitals", "word_size", "bare_words", "sentences"]
 
 
 def text_counts(buf: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
@@ -96,7 +97,7 @@ def base_failed() -> Column:
 
 
 def votes() -> Column:
-    """The eight votes as an array of -1 (abstain), 0 (bad) and 1 (good)."""
+    """The seven votes as an array of -1 (abstain), 0 (bad) and 1 (good)."""
     n = F.greatest("n_words", F.lit(1))
 
     def vote(bad: Column, good: Column) -> Column:
@@ -104,13 +105,12 @@ def votes() -> Column:
 
     c, never = F.col, F.lit(False)
     return F.array(
-        F.when(c("n_words") < 50, 0).otherwise(-1),
-        vote(4 * c("n_repeat_words") > n, 10 * c("n_repeat_words") <= n),
-        vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
+        vote(20 * c("n_repeat_words") > 7 * n, never),
+        vote(5 * c("n_symbols") > n, never),
         vote((c("n_dup_lines") >= 2) & (2 * c("n_dup_lines") > c("n_lines")), never),
-        vote(5 * c("n_capitals") > 2 * c("n_letters"), 20 * c("n_capitals") <= 3 * c("n_letters")),
+        vote(5 * c("n_capitals") > 2 * c("n_letters"), never),
         vote((c("word_chars") < 2 * n) | (c("word_chars") > 12 * n), never),
-        vote(10 * c("n_bare") > 3 * n, 10 * c("n_bare") <= n),
+        vote(10 * c("n_bare") > 2 * n, never),
         vote(10 * c("n_shouts") > 3 * n, (100 * c("n_stops") >= 2 * n) & (10 * c("n_stops") <= 4 * n)),
     ).cast("array<int>")
 
@@ -122,7 +122,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[flo
     never likelier, and a good vote never less likely, on good documents than on bad ones.
     """
     bad, good = (patterns == 0).sum(1), (patterns == 1).sum(1)
-    belief = 1 / (1 + np.exp(np.clip(4.0 * bad - 1.0 * good - 1.0, -30, 30)))
+    belief = 1 / (1 + np.exp(np.clip(4.0 * bad - 2.0 * good - 1.0, -30, 30)))
     table_, prior = np.full((patterns.shape[1], 2, 3), 1 / 3), 0.5
     for _ in range(rounds):
         weight = np.stack([counts * (1 - belief), counts * belief])
@@ -153,7 +153,8 @@ def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, k
     made = {*COUNTS, "base_failed", "quality", "kept"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     rows = materialize(with_counts(docs, text, keep).withColumn("_votes", votes()))
-    seen = rows.groupBy("_votes").count().collect()
+    # documents that fail the base test are decided; the model learns from the others and scores all
+    seen = rows.groupBy("_votes").agg(F.count_if(~base_failed())).collect()
     if not seen:
         verdicts = rows.sparkSession.createDataFrame([], "_votes array<int>, quality double")
     else:
@@ -161,7 +162,7 @@ def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, k
         counts = np.array([r[1] for r in seen], float)
         belief = posterior(patterns, *fit(patterns, counts))
         verdicts = rows.sparkSession.createDataFrame([(p.tolist(), float(b)) for p, b in zip(patterns, belief, strict=True)], "_votes array<int>, quality double")
-    joined = rows.join(F.broadcast(verdicts), "_votes", "left")  # at most 3**8 rows
+    joined = rows.join(F.broadcast(verdicts), "_votes", "left")  # at most 3**7 rows
     return joined.select(*keep, *COUNTS, base_failed().alias("base_failed"), "quality", (~base_failed() & (F.coalesce("quality", F.lit(0.0)) >= threshold)).alias("kept"))
 
 
