@@ -1,6 +1,8 @@
 """Suffix-array dedup: byte strings of `k` or more that also start in an earlier document, by a logarithmic index family.
 
-The byte windows of a text are dealt out by super-k-mers, so that all suffixes with equal first k bytes meet in one bucket.
+Most text has no copy. So the minimisers of all windows are counted first, as compressed 32-bit fingerprints, and only
+runs of windows whose minimiser occurs again take part: equal windows have equal minimisers, so none is lost. These
+windows are dealt out by super-k-mers, so that all suffixes with equal first k bytes meet in one bucket.
 A bucket takes its documents in the order of their ids, in batches. Each batch gets a suffix array (its suffixes
 sorted by their first k bytes, with the smallest id that has each) and is merge-scanned against every level of the
 index; suffixes that no level has become a level of their own, and as long as the level before is not larger, the two are merged,
@@ -15,19 +17,19 @@ equal id are not removed; rows with a null id neither lose bytes nor make others
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import row_key, table
-from .substring_dedup import CUTS, cut_places, join_cuts
-from .superkmers import Scheme, bucket_runs, open_runs, stretches
+from .common import packed, row_key, schema_of, table
+from .substring_dedup import CUTS
+from .superkmers import SEEDS, WIRE, Scheme, Sender, open_runs, pack_seeds, plan, repeated_seeds, seeds_of, stretches, unpack_seeds
 
 K_BYTES, M_BYTES, BATCH = 50, 16, 1 << 15
+#: Text of a chunk of documents, and text whose minimisers go to one bucket.
+CHUNK_BYTES, SEED_BUCKET_BYTES = 8 << 20, 8 << 20
 
 
 class IndexFamily:
@@ -107,31 +109,71 @@ def _scan(k: int):
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch], keep: list[str], with_bytes: bool) -> Iterator[pa.RecordBatch]:
+def _seeds(scheme: Scheme, buckets: int):
+    def run(part: pa.Table) -> pa.Table:
+        known = part.filter(part.column("id").is_valid())
+        return pack_seeds(part.column("chunk")[0].as_py(), *seeds_of(known.column("text"), scheme, buckets))
+
+    return run
+
+
+def _candidate_runs(scheme: Scheme, buckets: int, hot: np.ndarray):
+    def run(part: pa.Table, replies: pa.Table) -> pa.Table:
+        only = [np.zeros(0, np.uint64)]
+        for bucket, blob in zip(replies.column("bucket").to_pylist(), replies.column("seeds"), strict=True):
+            only.append(unpack_seeds(blob.as_py())[0].astype(np.uint64) | np.uint64(bucket << 32))
+        sender = Sender(scheme, buckets, hot, np.sort(np.concatenate(only)))
+        known = part.filter(part.column("id").is_valid())
+        keys, ids = (known.column(c).to_numpy() for c in ("key", "id"))
+        return pa.Table.from_batches([*sender.add(keys, ids, known.column("text")), sender.flush()])
+
+    return run
+
+
+def _finish(keep: list[str], with_bytes: bool):
     names = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * with_bytes
-    for batch in batches:
-        cuts = batch.column(len(keep) + 1)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_bytes]
+
+    def run(part: pa.Table, cuts: pa.Table) -> pa.Table:
+        cuts = cuts.group_by(["key", "a", "b"]).aggregate([]).sort_by("key")  # equal rows have sent the same
+        owner, a, b = (cuts.column(c).to_numpy() for c in ("key", "a", "b"))
+        keys = part.column("key").to_numpy()
+        upper, lower = np.searchsorted(owner, keys, "right"), np.searchsorted(owner, keys, "left")
         rows: list[tuple] = []
-        for low, _, buf, bounds in B.text_blocks(batch.column(len(keep))):
+        for low, _, buf, bounds in B.text_blocks(part.column("text")):
             for i in range(len(bounds) - 1):
-                text = buf[bounds[i] : bounds[i + 1]]
-                gone = cut_places(cuts[low + i].values, len(text))
+                text, at = buf[bounds[i] : bounds[i + 1]], slice(lower[low + i], upper[low + i])
+                edge = np.zeros(len(text) + 1, np.int64)
+                np.add.at(edge, a[at], 1)
+                np.subtract.at(edge, b[at], 1)
+                gone = np.cumsum(edge[:-1]) > 0
                 kept = text[~gone].tobytes()
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
                 rows.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_bytes]
-        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=names)
+        docs = part.column("_doc").combine_chunks()
+        return pa.table([*(docs.field(c) for c in keep), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=names)
+
+    return run
 
 
 def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K_BYTES, m: int = M_BYTES, with_bytes: bool = True) -> DataFrame:
     """docs without the text, with n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept_bytes (a cut may fall inside a character)."""
     made = (text, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
     keep = [c for c in docs.columns if c not in made]
-    keyed = docs.select(row_key(doc_id, text).alias("key"), docs[doc_id].cast("long").alias("id"), F.struct(*[docs[c] for c in keep]).alias("_doc"), docs[text].alias("text"))
-    cuts = bucket_runs(keyed.select("key", "id", "text").filter("id is not null"), Scheme(False, k, min(m, k))).groupBy("bucket").applyInArrow(_scan(k), CUTS)
-    joined = join_cuts(keyed.select("key", "_doc", "text"), cuts)
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + ["kept_bytes binary"] * with_bytes)
-    return joined.select(*[F.col("_doc")[c].alias(c) for c in keep], F.col("text").alias("__text__"), F.col("_cuts").alias("__cuts__")).mapInArrow(lambda batches: _finish(batches, keep, with_bytes), fields)
+    scheme = Scheme(False, k, min(m, k))
+    keyed = docs.select(row_key(doc_id, text).alias("key"), docs[doc_id].cast("long").alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
+    total, _, hot = plan(keyed.select("key", "text"), scheme)
+    chunks = max(4, total // CHUNK_BYTES)
+    chunk = F.pmod(F.xxhash64("key", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk")
+    # the texts are shuffled once: all three readers take the same exchange
+    dealt = keyed.select(chunk, "key", "id", "_doc", "text").repartition(chunks, "chunk")
+    seed_buckets = max(8, total // SEED_BUCKET_BYTES)
+    seeds = dealt.groupBy("chunk").applyInArrow(_seeds(scheme, seed_buckets), SEEDS)
+    replies = seeds.repartition(max(4, seed_buckets // 2), "bucket").groupBy("bucket").applyInArrow(repeated_seeds, SEEDS)
+    runs = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_candidate_runs(scheme, seed_buckets, hot), WIRE)
+    cuts = runs.repartition(max(4, seed_buckets // 2), "bucket").groupBy("bucket").applyInArrow(_scan(k), CUTS)
+    fields = schema_of(docs, keep, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_bytes)
+    return dealt.groupBy("chunk").cogroup(cuts.select(chunk, "key", "a", "b").groupBy("chunk")).applyInArrow(_finish(keep, with_bytes), fields)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

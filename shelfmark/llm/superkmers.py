@@ -76,72 +76,143 @@ def elements_of(buf: np.ndarray, bounds: np.ndarray, words: bool) -> tuple[np.nd
     return hashes, first, packed, place[starts], place[ends - 1] + 1 if len(ends) else place[ends]
 
 
+class Sender:
+    """Gathers the distinct runs of one task and packs them by bucket; `only` holds the seeds to send, all if None."""
+
+    def __init__(self, scheme: Scheme, buckets: int, hot: np.ndarray, only: np.ndarray | None = None):
+        self.scheme, self.buckets, self.hot, self.only = scheme, buckets, hot, only
+        self.pack = zstandard.ZstdCompressor(level=3).compress
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.homes: list[np.ndarray] = []
+        self.numbers: list[np.ndarray] = []
+        self.rows: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        k = self.scheme.k
+        for low, high, buf, bounds in B.text_blocks(texts):
+            hashes, limits, packed, start, end = elements_of(buf, bounds, self.scheme.words)
+            first, after, least = runs_of(hashes, limits, k, self.scheme.m)
+            if self.only is not None and len(first):
+                wanted = in_sorted(seed_of(least, self.buckets), self.only)
+                first, after, least = first[wanted], after[wanted], least[wanted]
+            if not len(first):
+                continue
+            is_hot = np.isin(least, self.hot)
+            if is_hot.any():  # one run a window, sent by the window's own hash
+                sizes = np.where(is_hot, after - first, 1)
+                again = np.repeat(np.arange(len(first)), sizes)
+                step = np.arange(len(again)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                own = B.windows_hash(hashes, k)
+                first, after = first[again] + step, np.where(is_hot[again], first[again] + step + 1, after[again])
+                least = np.where(is_hot[again], own[first], least[again])
+            a, b = start[first].tolist(), end[after - 2 + k].tolist()
+            data, known = packed.tobytes(), self.known
+            self.numbers.append(np.array([known.setdefault(data[i:j], len(known)) for i, j in zip(a, b, strict=True)], np.int64))
+            row = B.row_of(limits, first)
+            self.homes.append((B.mix(least.copy()) % np.uint64(self.buckets)).astype(np.int64))
+            self.rows.append(np.stack([keys[low:high][row], ids[low:high][row], first - limits[row]], 1).astype("<i8"))
+            self.held += sum(b) - sum(a)
+            if self.held >= FLUSH_BYTES:
+                yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        runs = list(self.known)
+        number, place = (np.concatenate(x) if x else np.zeros(shape, np.int64) for x, shape in ((self.numbers, 0), (self.rows, (0, 3))))
+        home = np.empty(len(runs), np.int64)
+        home[number] = np.concatenate(self.homes) if self.homes else 0
+        order = np.argsort(home, kind="stable")
+        new_number = np.empty(len(runs), np.int64)
+        new_number[order] = np.arange(len(runs))
+        place = place[np.argsort(new_number[number], kind="stable")]
+        times = np.bincount(new_number[number], minlength=len(runs))
+        upto = np.concatenate([[0], np.cumsum(times)])
+        ranked = home[order]
+        out: list[tuple] = []
+        for a, b in _groups(ranked):
+            part = [runs[i] for i in order[a:b]]
+            spots = place[upto[a] : upto[b]]
+            meta = np.array([b - a, len(spots)], "<i8").tobytes() + np.array([len(x) for x in part], "<i4").tobytes() + times[a:b].astype("<i4").tobytes() + b"".join(np.ascontiguousarray(spots[:, i]).tobytes() for i in range(3))
+            out.append((int(ranked[a]), self.pack(b"".join(part)), self.pack(meta)))
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "runs", "places"])
+
+
+def _groups(ranked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs of equal values."""
+    if len(ranked):
+        cut = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, [len(ranked)]]).tolist()
+        yield from zip(cut[:-1], cut[1:], strict=True)
+
+
+def in_sorted(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    if not len(ranked):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ranked, values)
+    at[at == len(ranked)] = 0
+    return ranked[at] == values
+
+
+def seed_of(least: np.ndarray, buckets: int) -> np.ndarray:
+    """A minimiser's bucket and 32 more bits of its hash, as one number: enough to tell it from the few others of its bucket."""
+    h = B.mix(least.copy())
+    return (h % np.uint64(buckets)) << np.uint64(32) | h >> np.uint64(32)
+
+
+def seeds_of(texts: pa.Array, scheme: Scheme, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct seeds of the texts, whether each has several runs)."""
+    found = []
+    for _, _, buf, bounds in B.text_blocks(texts):
+        hashes, limits, _, _, _ = elements_of(buf, bounds, scheme.words)
+        found.append(seed_of(runs_of(hashes, limits, scheme.k, scheme.m)[2], buckets))
+    seeds, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    return seeds, times > 1
+
+
+SEEDS = "bucket int, chunk int, seeds binary"
+
+
+def pack_seeds(chunk: int, seeds: np.ndarray, many: np.ndarray) -> pa.Table:
+    """Rows of SEEDS: gaps between the 32-bit parts of a bucket's seeds, and a bit each that says whether it has several runs."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    home = (seeds >> np.uint64(32)).astype(np.int64)
+    low = (seeds & np.uint64(0xFFFFFFFF)).astype("<u4")
+    rows = [(int(home[a]), pack(np.array([b - a], "<i8").tobytes() + np.diff(low[a:b], prepend=low[a : a + 1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(many[a:b]).tobytes())) for a, b in _groups(home)]
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "seeds": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def unpack_seeds(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.uint32), np.unpackbits(np.frombuffer(raw, np.uint8, -1, 8 + 4 * n))[:n].astype(bool)
+
+
+def repeated_seeds(part: pa.Table) -> pa.Table:
+    """Of a bucket's seeds, back to each chunk those with several runs in it or in other chunks."""
+    chunks, bucket = part.column("chunk").to_pylist(), part.column("bucket")[0].as_py()
+    opened = [unpack_seeds(b.as_py()) for b in part.column("seeds")]
+    low, many = np.concatenate([s for s, _ in opened]), np.concatenate([m for _, m in opened])
+    good = B.repeated(low) | many
+    out, at = [], 0
+    for chunk, (seeds, _) in zip(chunks, opened, strict=True):
+        keep = seeds[good[at : at + len(seeds)]]
+        at += len(seeds)
+        if len(keep):
+            out.append(pack_seeds(chunk, keep.astype(np.uint64) | np.uint64(bucket << 32), np.ones(len(keep), bool)))
+    return pa.concat_tables(out) if out else pack_seeds(0, np.zeros(0, np.uint64), np.zeros(0, bool))
+
+
 def _sender(scheme: Scheme, buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        known: dict[bytes, int] = {}
-        homes: list[np.ndarray] = []
-        numbers: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held
-            runs = list(known)
-            number, place = np.concatenate(numbers), np.concatenate(rows)
-            home = np.empty(len(runs), np.int64)
-            home[number] = np.concatenate(homes)
-            order = np.argsort(home, kind="stable")
-            new_number = np.empty(len(runs), np.int64)
-            new_number[order] = np.arange(len(runs))
-            by_run = np.argsort(new_number[number], kind="stable")
-            place = place[by_run]
-            times = np.bincount(new_number[number], minlength=len(runs))
-            upto = np.concatenate([[0], np.cumsum(times)])
-            ranked = home[order]
-            cut = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, [len(ranked)]])
-            out: list[tuple] = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                part = [runs[i] for i in order[a:b]]
-                lengths = np.array([len(x) for x in part], "<i4")
-                spots = place[upto[a] : upto[b]]
-                meta = np.array([b - a, len(spots)], "<i8").tobytes() + lengths.tobytes() + times[a:b].astype("<i4").tobytes() + b"".join(np.ascontiguousarray(spots[:, i]).tobytes() for i in range(3))
-                out.append((int(ranked[a]), pack(b"".join(part)), pack(meta)))
-            known.clear()
-            homes.clear()
-            numbers.clear()
-            rows.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "runs", "places"])
-
+        sender = Sender(scheme, buckets, hot)
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            for low, high, buf, bounds in B.text_blocks(batch.column(2)):
-                hashes, limits, packed, start, end = elements_of(buf, bounds, scheme.words)
-                first, after, least = runs_of(hashes, limits, scheme.k, scheme.m)
-                if not len(first):
-                    continue
-                is_hot = np.isin(least, hot)
-                if is_hot.any():  # one run a window, sent by the window's own hash
-                    sizes = np.where(is_hot, after - first, 1)
-                    again = np.repeat(np.arange(len(first)), sizes)
-                    step = np.arange(len(again)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    own = B.windows_hash(hashes, scheme.k)
-                    first, after = first[again] + step, np.where(is_hot[again], first[again] + step + 1, after[again])
-                    least = np.where(is_hot[again], own[first], least[again])
-                a, b = start[first].tolist(), end[after - 2 + scheme.k].tolist()
-                data = packed.tobytes()
-                number = np.array([known.setdefault(data[i:j], len(known)) for i, j in zip(a, b, strict=True)], np.int64)
-                row = B.row_of(limits, first)
-                numbers.append(number)
-                homes.append((B.mix(least.copy()) % np.uint64(buckets)).astype(np.int64))
-                rows.append(np.stack([keys[low:high][row], ids[low:high][row], first - limits[row]], 1).astype("<i8"))
-                held += sum(b) - sum(a)
-                if held >= FLUSH_BYTES:
-                    yield flush()
-        if known:
-            yield flush()
+            yield from sender.add(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2))
+        if sender.known:
+            yield sender.flush()
 
     return run
 
@@ -149,7 +220,7 @@ def _sender(scheme: Scheme, buckets: int, hot: np.ndarray):
 def _minimisers(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, bounds in B.text_blocks(batch.column(2)):
+            for _, _, buf, bounds in B.text_blocks(batch.column(0)):
                 hashes, limits, packed, start, end = elements_of(buf, bounds, scheme.words)
                 first, after, least = runs_of(hashes, limits, scheme.k, scheme.m)
                 if len(first):
@@ -161,16 +232,23 @@ def _minimisers(scheme: Scheme):
     return run
 
 
-def bucket_runs(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Rows of WIRE from docs(key long, id long, text), dealt out by bucket."""
+def plan(docs: DataFrame, scheme: Scheme) -> tuple[int, int, np.ndarray]:
+    """(bytes of text, rows, minimisers that many runs share) of docs(key, text)."""
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    buckets = max(8, int((total or 0) * EXPANSION / BUCKET_BYTES))
     share = min(1.0, SAMPLE_DOCS / max(rows, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_003)) < F.lit(int(1_000_003 * share) + 1))
-    counts = sample.mapInArrow(_minimisers(scheme), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    sample = docs.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_003)) < F.lit(int(1_000_003 * share) + 1)).select("text")
+    counts = sample.mapInArrow(_minimisers(scheme), "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).cache()
     everything = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(200, int(HOT_SHARE * everything))  # at most 1 / HOT_SHARE minimisers can reach it
     hot = np.array([r[0] for r in counts.filter(F.col("n") >= floor).select("least").collect()], np.int64).view(np.uint64)
+    counts.unpersist()
+    return total or 0, rows, hot
+
+
+def bucket_runs(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Rows of WIRE from docs(key long, id long, text), dealt out by bucket."""
+    total, _, hot = plan(docs, scheme)
+    buckets = max(8, int(total * EXPANSION / BUCKET_BYTES))
     sent = docs.select("key", "id", "text").mapInArrow(_sender(scheme, buckets, hot), WIRE)
     return sent.repartition(max(4, buckets // 4), "bucket")
 
