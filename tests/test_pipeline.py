@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators.digest import table_digest
 from shelfmark.plans.gates import GateFailed
 from shelfmark.plans.pipeline import Warehouse
+from shelfmark.plans.reconcile import reconcile
 from shelfmark.sources import generator
 from shelfmark.sources.raw import SOURCES
 from shelfmark.streaming.landing import land_stream
@@ -57,6 +58,15 @@ def test_marts_agree_with_pandas(chain):
     assert len(got) > 50 and got == {k: want.get(k, 0) for k in got}
 
 
+def test_reconciliation_passes_and_can_fail(chain):
+    found = reconcile(chain)
+    assert [c for c in found if not c.passed] == [] and len(found) == 29
+    whole = chain.read("sales")
+    chain.save("sales", whole.withColumn("revenue_gross", F.col("revenue_gross") + 1), None)
+    assert {c.name for c in reconcile(chain) if not c.passed} == {"gross revenue", "net is gross less returns"}
+    chain.build()
+
+
 def test_incremental_equals_full_and_reruns_change_nothing(chain):
     columns = [c for c in chain.read("sales").columns]
     before = {t: table_digest(chain.read(t).select(*sorted(chain.read(t).columns))).first() for t in ("sales", "conversion", "trend", "quality", "order_lines")}
