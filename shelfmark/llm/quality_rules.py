@@ -46,8 +46,8 @@ def text_counts(buf: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     feed = np.flatnonzero(buf == 10)
     line_start = np.unique(np.concatenate([bounds[:-1][np.diff(bounds) > 0], feed + 1]))
     line_start = line_start[line_start < len(buf)]
-    cut = np.unique(np.concatenate([bounds[1:], feed]))
-    line_end = cut[np.searchsorted(cut, line_start)] if len(line_start) else line_start
+    next_feed = np.concatenate([feed, [len(buf)]])[np.searchsorted(feed, line_start)]
+    line_end = np.minimum(next_feed, bounds[B.row_of(bounds, line_start) + 1])
     filled = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end = line_start[filled], line_end[filled]
     values = B.byte_values(buf)
