@@ -2,15 +2,16 @@
 
 The join is a product of the sparse document by n-gram matrix with its transpose, in column blocks: an n-gram and all its
 documents are in one block. Documents with equal sets are one row of the matrix. Bounds from set sizes keep
-the product small and lose nothing:
- - a pair at similarity t has sizes within a factor of t, and shares one of the first n - ceil(t n) + 1 n-grams of each
-   under any fixed order, so a row only enters these columns. The order puts n-grams that a sample shows to be
-   frequent last; it decides cost, not results;
- - a column entry without a partner of fitting size is dropped in its block;
- - the overlap that a pair can still reach is bounded by its 1-bit sketches (sets hashed to about one bit an n-gram)
-   before the overlap is accumulated over the full rows.
-
-Groups of near copies don't emit all pairs: first every row of a column is held against the column's smallest row of its size
+the product small and lose nothing, for a similarity of t:
+ - an n-gram that only one document has adds to no overlap. A first exchange of compressed 32-bit fingerprints tells every
+   document which of its n-grams occur again; a row of size n with fewer than ceil(t n) of them has no partner and is out;
+ - a pair has sizes within a factor of t, and shares one of the first n - ceil(t n) + 1 n-grams of each row
+   under any fixed order, so a row only enters these columns. The order is by rarity: n-grams of one document first, those that a
+   sample shows to be frequent last; it decides cost, not results;
+ - the overlap of a candidate pair is accumulated over the two full rows, and the pair is discarded below the bound
+   overlap * (1 + t) >= t * (sum of the sizes).
+
+Groups of near copies don't emit all pairs: first every row of a column is held against the column's most central row of its size
 class only, then links are joined to components, and then only pairs of rows that share a column but are in
 different components are looked at. Every candidate pair is thus either linked through others or verified exactly.
 
@@ -26,17 +27,18 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import discard, materialize, row_key, table
+from .common import discard, materialize, packed, row_key, schema_of, table
 from .components import components
+from .superkmers import SEEDS, in_sorted, pack_seeds, repeated_seeds, seed_of, unpack_seeds
 
 N, TENTHS = 5, 8
 SAMPLE_DOCS, FREQUENT, FREQUENT_MAX = 20_000, 0.0005, 200_000
-BUCKET_BYTES = 4 << 20
+#: Text of a chunk of documents, and text whose n-grams go to one block of columns.
+CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -67,32 +69,6 @@ def needed(size: np.ndarray | int, tenths: int) -> np.ndarray | int:
     return -(-size * tenths // 10)
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Presence bits of the hashes modulo a power of two of about the set's size."""
-    bits = 1 << max(6, int(len(grams) - 1).bit_length())
-    flags = np.zeros(bits, bool)
-    flags[(grams % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little").tobytes()
-
-
-def sketch_gap(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of n-grams that only one of two sets has."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), 0) for z in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def _set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, prints = [], []
-        for _, _, buf, bounds in B.text_blocks(batch.column(batch.num_columns - 1)):
-            for grams in gram_sets(buf, bounds, n):
-                sizes.append(len(grams))
-                prints.append(set_print(grams))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], names=[*batch.schema.names[:-1], "n", "f"])
-
-
 def frequent_grams(docs: DataFrame, rows: int, n: int) -> np.ndarray:
     """Sorted hashes of n-grams in many distinct sets of a sample (at most FREQUENT_MAX), by falling frequency cut."""
     share = min(1.0, SAMPLE_DOCS / max(rows, 1))
@@ -111,115 +87,59 @@ def frequent_grams(docs: DataFrame, rows: int, n: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found.orderBy(F.desc("m"), "gram").limit(FREQUENT_MAX).collect()], np.int64).view(np.uint64))
 
 
-def _send_prefixes(n: int, tenths: int, buckets: int, frequent):
-    """Blobs of (n-gram, set, size) of the necessary columns of each distinct set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        often = frequent.value
-        seen: set[int] = set()
-        grams_of: list[np.ndarray] = []
-        prints: list[int] = []
-        sizes: list[int] = []
-
-        def flush() -> pa.RecordBatch:
-            count = np.array([len(g) for g in grams_of])
-            gram = np.concatenate(grams_of)
-            owner = np.repeat(np.arange(len(count)), count)
-            home = (B.mix(gram.copy()) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            ranked = home[order]
-            cut = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, [len(ranked)]])
-            f, size = np.array(prints, np.int64), np.array(sizes, np.int64)
-            homes, blobs = [], []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                at = order[a:b]
-                own, each = np.unique(owner[at], return_counts=True)
-                raw = np.array([len(own), b - a], "<i8").tobytes() + f[own].astype("<i8").tobytes() + size[own].astype("<i4").tobytes() + each.astype("<i4").tobytes() + gram[at].astype("<u8").tobytes()
-                homes.append(int(ranked[a]))
-                blobs.append(pack(raw))
-            grams_of.clear()
-            prints.clear()
-            sizes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(homes, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-        held = 0
-        for batch in batches:
-            for _, _, buf, bounds in B.text_blocks(batch.column(0)):
-                for grams in gram_sets(buf, bounds, n):
-                    if not len(grams) or (f := set_print(grams)) in seen:
-                        continue
-                    seen.add(f)
-                    want = len(grams) - int(needed(len(grams), tenths)) + 1
-                    common = np.isin(grams, often, assume_unique=True) if len(often) else np.zeros(len(grams), bool)
-                    if common.any():
-                        grams = np.concatenate([grams[~common], grams[common]])
-                    size = len(grams)
-                    grams_of.append(grams[:want])
-                    prints.append(f)
-                    sizes.append(size)
-                    held += want
-            if held >= 1 << 20:
-                yield flush()
-                held = 0
-        if grams_of:
-            yield flush()
-
-    return run
-
-
-def _match_block(tenths: int):
-    """The entries of a column block that have a partner of fitting size in their column."""
+def _gram_seeds(n: int, buckets: int):
+    """A chunk's n-grams as seeds, with a flag on those that several of its distinct sets have."""
 
     def run(part: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        grams, prints, sizes = [], [], []
-        for blob in part.column("blob"):
-            raw = unpack(blob.as_py())
-            m, e = np.frombuffer(raw, "<i8", 2)
-            each = np.frombuffer(raw, "<i4", m, 16 + 12 * m)
-            prints.append(np.repeat(np.frombuffer(raw, "<i8", m, 16), each))
-            sizes.append(np.repeat(np.frombuffer(raw, "<i4", m, 16 + 8 * m), each))
-            grams.append(np.frombuffer(raw, "<u8", e, 16 + 16 * m))
-        gram, f, size = np.concatenate(grams), np.concatenate(prints), np.concatenate(sizes).astype(np.int64)
-        order = np.argsort(gram, kind="stable")
-        alone = np.ones(len(order), bool)
-        equal = gram[order[1:]] == gram[order[:-1]]
-        alone[1:] &= ~equal
-        alone[:-1] &= ~equal
-        order = order[~alone]
-        order = order[np.lexsort((f[order], size[order], gram[order]))]
-        gram, f, size = gram[order], f[order], size[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (f[1:] != f[:-1])
-        gram, f, size = gram[new], f[new], size[new]
-        fits = (gram[1:] == gram[:-1]) & (10 * size[:-1] >= tenths * size[1:])
-        keep = np.zeros(len(gram), bool)
-        keep[1:] |= fits
-        keep[:-1] |= fits
-        return pa.table({"gram": pa.array(gram[keep].view(np.int64)), "f": pa.array(f[keep]), "n": pa.array(size[keep])})
+        sets = {set_print(g): g for _, _, buf, bounds in B.text_blocks(part.column("text")) for g in gram_sets(buf, bounds, n)}
+        grams = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
+        seeds, times = np.unique(seed_of(grams, buckets), return_counts=True)
+        return pack_seeds(part.column("chunk")[0].as_py(), seeds, times > 1)
 
     return run
 
 
-def _full_sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, buf, bounds in B.text_blocks(batch.column(1)):
-                sets = list(gram_sets(buf, bounds, n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary()), pa.array([sketch(g) for g in sets], pa.binary())], names=["f", "n", "grams", "sketch"])
+def _rows_of_chunk(n: int, tenths: int, buckets: int):
+    """Every document with its set's size and fingerprint; grams (those that occur nowhere else first) if it may have a partner."""
+
+    def run(part: pa.Table, replies: pa.Table) -> pa.Table:
+        parts = [unpack_seeds(blob.as_py())[0].astype(np.uint64) | np.uint64(bucket << 32) for bucket, blob in zip(replies.column("bucket").to_pylist(), replies.column("seeds"), strict=True)]
+        again = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
+        sizes, prints, lone, out = [], [], [], []
+        for _, _, buf, bounds in B.text_blocks(part.column("text")):
+            for grams in gram_sets(buf, bounds, n):
+                shared = in_sorted(seed_of(grams, buckets), again)
+                alone = len(grams) - int(shared.sum())
+                may = len(grams) and len(grams) - alone >= needed(len(grams), tenths)
+                sizes.append(len(grams))
+                prints.append(set_print(grams))
+                lone.append(alone)
+                out.append(np.concatenate([grams[~shared], grams[shared]]).tobytes() if may else None)
+        return pa.table({"id": part.column("id"), "_doc": part.column("_doc"), "n": pa.array(sizes, pa.int64()), "f": pa.array(prints, pa.int64()), "alone": pa.array(lone, pa.int64()), "grams": pa.array(out, pa.binary())})
 
     return run
 
 
-def _sketch_pairs(tenths: int):
-    """Pairs whose sketches leave a similarity of tenths / 10 possible: overlap * (10 + tenths) >= tenths * (sum of sizes)."""
+def _entries(tenths: int, frequent):
+    """(gram, f, n) of the necessary columns of each row that other rows can be in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
         for batch in batches:
-            a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
-            good = [i for i in range(len(a)) if (na[i] + nb[i] - sketch_gap(sa[i], sb[i])) * (10 + tenths) >= 2 * tenths * (na[i] + nb[i])]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+            f, alone, blobs = (batch.column(i).to_pylist() for i in range(3))
+            for low in range(0, len(f), 500):
+                columns, owners, sizes = [], [], []
+                for i in range(low, min(low + 500, len(f))):
+                    grams = np.frombuffer(blobs[i], np.uint64)
+                    want = len(grams) - needed(len(grams), tenths) + 1 - alone[i]
+                    if want > 0:
+                        shared = grams[alone[i] :]
+                        common = in_sorted(shared, often)
+                        columns.append(np.concatenate([shared[~common], shared[common]])[:want])
+                        owners.append(np.full(want, f[i]))
+                        sizes.append(np.full(want, len(grams)))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], names=["gram", "f", "n"])
 
     return run
 
@@ -241,32 +161,33 @@ def _verify_pairs(tenths: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    thin = sets.select("f", "n", "sketch")
-    one, two = (thin.select(F.col("f").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    likely = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketch_pairs(tenths), "a long, b long")
     one, two = (sets.select(F.col("f").alias(x), F.col("grams").alias(f"s{x}")) for x in "ab")
-    return materialize(likely.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify_pairs(tenths), "a long, b long"))
+    return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify_pairs(tenths), "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, tenths: int = TENTHS) -> DataFrame:
     """docs without the text, with n_shingles and component_id in place of columns of these names."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in (text, "n_shingles", "component_id")]
-    keyed = docs.select(row_key(doc_id, text).alias("key"), docs[doc_id].alias("id"), F.struct(*[docs[c] for c in keep]).alias("_doc"), docs[text].alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = materialize(keyed.mapInArrow(lambda batches: _set_rows(batches, n), f"key long, id {kind}, _doc {keyed.schema['_doc'].dataType.simpleString()}, n long, f long"))
-    total, count = rows.agg(F.sum("n"), F.count("*")).first()
-    buckets = max(8, int((total or 0) * 0.2 * 12 / BUCKET_BYTES))
+    keyed = docs.select(row_key(doc_id, text).alias("key"), docs[doc_id].alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
+    total, count = keyed.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    chunks, buckets = (max(4, (total or 0) // size) for size in (CHUNK_BYTES, BLOCK_BYTES))
+    # the texts are shuffled once: both readers take the same exchange
+    dealt = keyed.select(F.pmod("key", F.lit(chunks)).cast("int").alias("chunk"), "id", "_doc", "text").repartition(chunks, "chunk")
+    seeds = dealt.groupBy("chunk").applyInArrow(_gram_seeds(n, buckets), SEEDS)
+    replies = seeds.repartition(max(4, buckets // 2), "bucket").groupBy("bucket").applyInArrow(repeated_seeds, SEEDS)
+    fields = schema_of(keyed, ["id", "_doc"], "n long, f long, alone long, grams binary")
+    found = materialize(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_rows_of_chunk(n, tenths, buckets), fields))
+    rows = found.select("id", "_doc", "n", "f")
+    sets = materialize(found.filter("grams is not null").select("f", "alone", "grams").dropDuplicates(["f"]))
     frequent = spark.sparkContext.broadcast(frequent_grams(keyed, count, n))
-    sent = keyed.select("text").mapInArrow(_send_prefixes(n, tenths, buckets, frequent), "bucket int, blob binary")
-    entries = materialize(sent.repartition(max(4, buckets // 2), "bucket").groupBy("bucket").applyInArrow(_match_block(tenths), "gram long, f long, n long"))
-    # one text for each set that has an entry
-    chosen = rows.join(entries.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.min("key").alias("key"))
-    texts = keyed.select("key", "text").join(chosen, "key").select("f", "text")
-    sets = materialize(texts.mapInArrow(_full_sets(n), "f long, n long, grams binary, sketch binary").dropDuplicates(["f"]))
-    # every entry against the smallest of its column and size class, and neighbouring classes by their smallest
-    classed = entries.withColumn("c", F.floor(F.log("n") / log(10 / tenths) + 1e-9))
-    least = classed.groupBy("gram", "c").agg(F.min(F.struct("n", "f")).alias("first"))
+    entries = materialize(sets.mapInArrow(_entries(tenths, frequent), "gram long, f long, n long"))
+    # every entry against the most central row of its column and size class, and neighbouring classes by these rows: the
+    # text that a group was copied from has its commonest n-grams, so most of the group links to it at once
+    width = entries.groupBy("gram").agg(F.count("*").alias("w"))
+    rank = entries.join(width, "gram").groupBy("f").agg(F.avg("w").alias("rank"))
+    classed = materialize(entries.join(rank, "f").withColumn("c", F.floor(F.log("n") / log(10 / tenths) + 1e-9)))
+    least = classed.groupBy("gram", "c").agg(F.max(F.struct("rank", "f")).alias("first"))
     stars = classed.join(least, ["gram", "c"]).select(F.col("first.f").alias("a"), F.col("f").alias("b"))
     steps = least.select("gram", "c", F.col("first.f").alias("a")).join(least.select("gram", (F.col("c") - 1).alias("c"), F.col("first.f").alias("b")), ["gram", "c"]).select("a", "b")
     tried = materialize(stars.unionByName(steps).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -286,9 +207,27 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = labelled.filter("n > 0").groupBy("root").agg(F.min("id").alias("first"))
     out = labelled.join(smallest, (labelled.root == smallest.root) & (labelled.n > 0), "left")
     result = out.select(*[F.col("_doc")[c].alias(c) for c in keep], F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
-    discard(spark, tried, left, sets, entries)
+    discard(spark, tried, left, sets, entries, classed, links)
     return result
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * n_both >= 80 * (s.n + t.n - n_both)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.other = links.x
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.first AS component_id
+FROM d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other) AS first FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
