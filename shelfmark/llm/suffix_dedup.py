@@ -178,3 +178,31 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_earlier(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False)
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT doc_id, low, substr(h, 2 * low + 1, 598) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 250)) AS low FROM d)
+), windows AS (
+  SELECT doc_id, low + j AS i, substr(part, 2 * j + 1, 100) AS win
+  FROM (SELECT doc_id, low, part, unnest(range(0, least(250, length(part) // 2 - 49))) AS j FROM blocks)
+), firsts AS (
+  SELECT win, min(doc_id) AS first FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows JOIN firsts USING (win) WHERE first < doc_id
+), spans AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, count(*) FILTER (WHERE before IS NULL OR i - before > 50) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits)
+  GROUP BY doc_id, run
+), parts AS (
+  SELECT doc_id, run, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT doc_id, max(run) + 1, max(b), NULL FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT parts.doc_id, string_agg(CASE WHEN b IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY run) AS h
+  FROM parts JOIN d USING (doc_id) GROUP BY parts.doc_id
+), sums AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(s.n, 0) AS n_removed, coalesce(s.spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums s USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
