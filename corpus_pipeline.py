@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialize, row_key, table
+from shelfmark.llm.common import discard, materialize, row_key, table
 from shelfmark.llm.decontamination import decontaminate
 from shelfmark.llm.line_dedup import dedup_lines
 from shelfmark.llm.ngram_join import similar_groups
@@ -25,9 +25,15 @@ from shelfmark.llm.packing import pack_documents
 from shelfmark.llm.quality_rules import score_quality
 
 
+BROADCAST_KEYS = 200_000
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs without the rows whose row_key is in keys(_key)."""
-    return docs.withColumn("_key", row_key()).join(keys.distinct(), "_key", "left_anti").select(*docs.columns)
+    """docs without the rows whose row_key is in keys(_key); the keys are broadcast only if a count proves them few."""
+    keys = keys.distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return docs.withColumn("_key", row_key()).join(keys, "_key", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +78,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        discard(spark, *written)
+        written = [docs]
     return docs
