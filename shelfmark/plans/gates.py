@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -102,3 +102,65 @@ def enforce(gates: list[Gate]) -> dict[str, int]:
     return found
 
 
+
+
+@dataclass(frozen=True)
+class Shape:
+    """The generic gates of one table; parents maps a column to the table that must hold its values in a column of that name."""
+
+    not_null: tuple[str, ...] = ()
+    not_negative: tuple[str, ...] = ()
+    values: dict[str, list[str]] = field(default_factory=dict)
+    unique: tuple[str, ...] = ()
+    grain: tuple[str, ...] = ()
+    parents: dict[str, str] = field(default_factory=dict)
+
+
+#: The 87 generic gates of SURVEY section 2.11.
+DECLARED: dict[str, Shape] = {
+    "stg_stores": Shape(not_null=("store_id", "opened_on"), unique=("store_id",)),
+    "stg_orders": Shape(
+        not_null=("order_id", "store_id", "order_date", "is_cancelled", "is_offline"), unique=("order_id",), parents={"store_id": "stg_stores"},
+        values={"channel": ["offline", "web", "app"], "status": ["placed", "cancelled"]},
+    ),
+    "stg_order_items": Shape(
+        not_null=("order_id", "line_no", "sku", "quantity", "line_amount", "source_copies"), not_negative=("quantity",), grain=("order_id", "line_no"), parents={"order_id": "stg_orders"},
+    ),
+    "stg_returns": Shape(not_null=("return_id", "order_id", "order_date", "returned_date", "delay_days"), not_negative=("delay_days",), unique=("return_id",), parents={"order_id": "stg_orders"}),
+    "stg_cancellations": Shape(not_null=("cancellation_id", "order_id", "cancelled_date", "reason"), unique=("cancellation_id",), parents={"order_id": "stg_orders"}),
+    "stg_store_traffic": Shape(not_null=("store_id", "traffic_date", "visitors"), not_negative=("visitors",), grain=("store_id", "traffic_date"), parents={"store_id": "stg_stores"}),
+    "order_lines": Shape(not_null=("order_date", "store_id", "is_cancelled", "quantity", "line_amount"), not_negative=("quantity",), grain=("order_id", "line_no")),
+    "returns": Shape(not_null=("return_id", "store_id", "is_cancelled", "order_date", "returned_date", "delay_days"), not_negative=("delay_days",), unique=("return_id",)),
+    "spine": Shape(not_null=("store_id", "calendar_date"), grain=("store_id", "calendar_date")),
+    "sales": Shape(not_null=("store_id", "order_date", "has_orders", "returns_arrived_amount"), not_negative=("returns_arrived_amount",), grain=("store_id", "order_date")),
+    "conversion": Shape(not_null=("store_id", "traffic_date", "has_traffic"), not_negative=("visitors", "orders_offline"), grain=("store_id", "traffic_date")),
+    "trend": Shape(not_null=("store_id", "order_date"), grain=("store_id", "order_date")),
+    "quality": Shape(
+        not_null=("store_id", "flag_date", "check_name", "reason"), grain=("store_id", "flag_date", "check_name"),
+        values={"check_name": ["conversion_above_threshold", "return_outside_window", "orders_partition_missing", "traffic_partition_missing"]},
+    ),
+    "revisions": Shape(
+        not_null=("store_id", "order_date", "revised_at", "version_no", "reason"), grain=("store_id", "order_date", "version_no"),
+        values={"reason": ["late return", "raw layer rebuilt", "order mix changed", "other"]},
+    ),
+}
+
+
+def enforce_declared(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Run the declared gates of these tables (parents must be among them), all of them stops; those on single rows take one pass a table."""
+    found = {}
+    for table, df in tables.items():
+        shape = DECLARED[table]
+        bad = {f"{table}.{c} not_null": F.col(c).isNull() for c in shape.not_null}
+        bad |= {f"{table}.{c} not_negative": F.col(c) < 0 for c in shape.not_negative}
+        bad |= {f"{table}.{c} accepted_values": ~F.col(c).isin(v) for c, v in shape.values.items()}
+        counts = df.agg(*[F.count_if(condition) for condition in bad.values()]).first()
+        found |= dict(zip(bad, counts, strict=True))
+        for name in bad:
+            if found[name]:
+                raise GateFailed(f"{name}: {found[name]} rows")
+        keyed = [Gate(f"{table}.{c} unique", lambda df=df, c=c: unique(df, c)) for c in shape.unique]
+        keyed += [Gate(f"{table} unique_grain", lambda df=df, shape=shape: unique_grain(df, list(shape.grain)))] if shape.grain else []
+        keyed += [Gate(f"{table}.{c} relationship", lambda df=df, c=c, p=p: relationship(df, c, tables[p], c)) for c, p in shape.parents.items()]
+        found |= enforce(keyed)
+    return found
