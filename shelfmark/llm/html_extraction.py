@@ -3,7 +3,7 @@
 A block's features are its ancestor tags, the words of their class, id and role, and its text (length, links, stops,
 signs). The two labels are article and furniture. The field is trained by stochastic gradient ascent on the exact
 log-likelihood (forward-backward) from two sets of labelled pages: those of html_pages (a fixed seed), and a bounded
-sample of the table's own pages that mark their article, at most `train_pages` of them by a hash of their URL, whose
+sample of the table's own pages that mark their article, at most `train_pages` of them, whole, by a hash of their URL, whose
 labels are read from these marks. Each is seen twice, once with the tags that mark an article left out, so that text and
 furniture alone must do. Training runs on the driver over a few hundred short sequences; pages are parsed, scored and
 decoded in Spark tasks, whole, with no shuffle.
@@ -148,7 +148,7 @@ def train_field(sequences: list[tuple[list[list[int]], list[int]]], rounds: int
 
 
 def _both_views(html: str, marked: frozenset[str]) -> list[tuple[list[list[int]], list[int]]]:
-    blocks = leaf_blocks(html)[:400]  # of a training page
+    blocks = leaf_blocks(html)
     labels = page_labels(blocks, marked) if marked is MARKS else [int(any(t == "main-part" for t, _ in b.path)) for b in blocks]
     return [(block_features(blocks, blind), labels) for blind in (False, True)] if labels else []
 
