@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.Generator(np.random.PCG64(20240101)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -25,16 +25,17 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i <= n."""
+    """base**i and base**-i modulo 2**64 for i <= n; a worker keeps one block's length a base, longer ones are made anew."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 2 * BLOCK_BYTES)
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, _U)
+            steps = np.full(max(n, BLOCK_BYTES) + 1, b, _U)
             steps[0] = 1
             made.append(np.cumprod(steps, dtype=_U))
-        have = _powers[base] = (made[0], made[1])
+        have = (made[0], made[1])
+        if n <= BLOCK_BYTES:
+            _powers[base] = have
     return have
 
 
@@ -58,11 +59,19 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 
 
 def windows_hash(values: np.ndarray, size: int, base: int = 0xD1342543DE82EF95) -> np.ndarray:
-    """Hash of each run of size consecutive values."""
-    if len(values) < size:
+    """Hash of each run of size consecutive values: sum(v[i + j] * base**j), put together from runs of powers of two."""
+    n = len(values) - size + 1
+    if n <= 0:
         return np.zeros(0, _U)
-    starts = np.arange(len(values) - size + 1)
-    return spans_hash(values, starts, starts + size, base)
+    total, part, width, done = np.zeros(n, _U), values, 1, 0
+    for bit in range(size.bit_length()):
+        if size >> bit & 1:
+            total += part[done : done + n] * _U(pow(base, done, 1 << 64))
+            done += width
+        if size >> bit > 1:
+            part = part[:-width] + part[width:] * _U(pow(base, width, 1 << 64))
+            width *= 2
+    return mix(total ^ _U(size * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def byte_values(buf: np.ndarray) -> np.ndarray:

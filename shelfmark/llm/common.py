@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names. Only a local master may go without one; it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -43,15 +45,24 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text"):
-    """64-bit identity of a row: rows with equal id and text share it, and every answer depends on these two only."""
-    return F.xxhash64(F.lit(1), F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
+def row_key(doc_id: str = "doc_id", text: str = "text", seed: int = 1) -> Column:
+    """64 bits of a row's identity: rows with equal id and text share it, and every answer depends on these two only."""
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
 
 
-def task_count(docs: DataFrame, bytes_per_task: int, text: str = "text") -> int:
-    """Tasks such that each holds about bytes_per_task of text; counted over all rows."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return int(max(4, -(-total // bytes_per_task)))
+def row_identity(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of it, for joins over a whole corpus."""
+    return F.struct(row_key(doc_id, text).alias("a"), row_key(doc_id, text, 2).alias("b"))
+
+
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, marked for broadcast if a count proves it to hold at most that many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def chunk_bytes(total: int) -> int:
+    """Text of a chunk of documents: 8 MB up to 100 GB of text, then growing with its square root, 128 MB at most."""
+    return min(128 << 20, max(8 << 20, int((640 * (total or 0)) ** 0.5)))
 
 
 def relaxed(kind: T.DataType) -> T.DataType:

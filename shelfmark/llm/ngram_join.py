@@ -1,23 +1,32 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are similar, and the groups that these links make.
 
-The join is a product of the sparse document by n-gram matrix with its transpose, in column blocks: an n-gram and all its
-documents are in one block. Documents with equal sets are one row of the matrix. Bounds from set sizes keep
-the product small and lose nothing, for a similarity of t:
+The join is the product of the sparse document by n-gram matrix with its transpose. Documents with equal sets are one row of
+the matrix; its columns, the n-grams, are ordered by the number of documents that have them. Bounds from set sizes say
+which entries of the product can matter, and only these are computed; for a similarity of t they lose nothing:
  - an n-gram that only one document has adds to no overlap. A first exchange of compressed 32-bit fingerprints tells every
-   document which of its n-grams occur again; a row of size n with fewer than ceil(t n) of them has no partner and is out;
- - a pair has sizes within a factor of t, and shares one of the first n - ceil(t n) + 1 n-grams of each row
-   under any fixed order, so a row only enters these columns. The order is by rarity: n-grams of one document first, those that a
-   sample shows to be frequent last; it decides cost, not results;
- - the overlap of a candidate pair is accumulated over the two full rows, and the pair is discarded below the bound
-   overlap * (1 + t) >= t * (sum of the sizes).
-
-Groups of near copies don't emit all pairs: first every row of a column is held against the column's most central row of its size
-class only, then links are joined to components, and then only pairs of rows that share a column but are in
-different components are looked at. Every candidate pair is thus either linked through others or verified exactly.
-
-Sets are of 64-bit hashes, rows are known by a 64-bit fingerprint of their set. Defined cases: null and word-less texts have no
-n-grams and link with nothing; texts of fewer than n words have one, their whole sequence; equal rows are one group; a group whose
-ids are all null has a null component; other columns are kept.
+   document which of its n-grams occur again, and in how many documents (a logarithmic class). A row of size n with fewer than
+   ceil(t n) of them has no partner and is out;
+ - a similar pair has an overlap of at least t / (1 + t) times its summed sizes. Let i and j be the places, in column order, of
+   the first n-gram that both rows have: the overlap is at most the lesser of n - i and m - j. So an entry (row, column) at
+   place i only meets rows up to the size `top` for which n - i is enough, and a row has no entries from place
+   n - ceil(t n) + 1 on. As rare n-grams come first, two rows that first meet in a common column have few n-grams of
+   their own before it: both then resemble what they were copied from;
+ - for the entries of the product that are left, overlaps are accumulated by blocks of columns: each block adds its part
+   to the sum of the pair, map-side first, and pairs below the bound are discarded.
+
+Groups of near copies don't emit all pairs. First every entry of a column is held against the column's most central row of its size
+class only, and the links found are joined to components. Then, in columns with several components, only rows outside the
+component of the column's most central row are held against others, and only those entries of either side that the sizes of the other side admit.
+Every similar pair is thus in one component through others or computed exactly.
+
+Skew: a hot column, row or set is a key of joins whose other side has one row a key, which adaptive execution splits; a hot
+row of the product is salted. Sets are of 64-bit hashes, where two would have to collide inside one pair to matter; rows are known
+by 128 bits of their set.
+
+Defined cases: null and word-less texts have no n-grams and link with nothing; texts of fewer than n words have one, their
+whole sequence; a very long text is one row, its n-grams travel in `BLOCKS` parts; equal rows are one group; ties of size, place or
+centrality are broken by row numbers and don't change groups; a group whose ids are all null has a null component; an empty table
+gives no rows; other columns are kept, and columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -31,14 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import discard, materialize, packed, row_key, schema_of, table
+from .common import chunk_bytes, discard, few, materialize, packed, row_key, schema_of, table
 from .components import components
-from .superkmers import SEEDS, in_sorted, pack_seeds, repeated_seeds, seed_of, unpack_seeds
+from .superkmers import SEEDS, chosen_seeds, pack_seeds, repeated_seeds, seed_of
 
 N, TENTHS = 5, 8
-SAMPLE_DOCS, FREQUENT, FREQUENT_MAX = 20_000, 0.0005, 200_000
-#: Text of a chunk of documents, and text whose n-grams go to one block of columns.
-CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
+#: Blocks of columns (a power of two), and rows of the product that meet one row in one task.
+BLOCKS, SALT_ROWS = 8, 4096
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -53,15 +61,15 @@ def gram_sets(buf: np.ndarray, bounds: np.ndarray, n: int = N) -> Iterator[np.nd
         if b - a >= n:
             yield np.unique(grams[a : b - n + 1])
         elif b > a:
-            yield B.spans_hash(words[a:b], np.array([0]), np.array([b - a]), 0x8EBC6AF09C88C6E3)
+            yield B.windows_hash(words[a:b], b - a, 0x8EBC6AF09C88C6E3)
         else:
             yield np.zeros(0, np.uint64)
 
 
-def set_print(grams: np.ndarray) -> int:
-    """Fingerprint of a set, as a signed 64-bit number."""
-    total = B.mix(grams.copy()).sum(dtype=np.uint64) if len(grams) else np.uint64(0)
-    return int(B.mix(np.array([total], np.uint64) ^ np.uint64(len(grams) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)[0])
+def set_print(grams: np.ndarray) -> bytes:
+    """128-bit fingerprint of a set."""
+    one = B.mix(grams ^ np.uint64(0x9E3779B97F4A7C15))
+    return np.array([one.sum(dtype=np.uint64), B.mix(one ^ np.uint64(len(grams))).sum(dtype=np.uint64)], "<u8").tobytes()
 
 
 def needed(size: np.ndarray | int, tenths: int) -> np.ndarray | int:
@@ -69,100 +77,105 @@ def needed(size: np.ndarray | int, tenths: int) -> np.ndarray | int:
     return -(-size * tenths // 10)
 
 
-def frequent_grams(docs: DataFrame, rows: int, n: int) -> np.ndarray:
-    """Sorted hashes of n-grams in many distinct sets of a sample (at most FREQUENT_MAX), by falling frequency cut."""
-    share = min(1.0, SAMPLE_DOCS / max(rows, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_003)) < F.lit(int(1_000_003 * share) + 1)).select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, buf, bounds in B.text_blocks(batch.column(0)):
-                seen = {set_print(g): g for g in gram_sets(buf, bounds, n)}
-                if sets := [g for g in seen.values() if len(g)]:
-                    value, times = np.unique(np.concatenate(sets), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], names=["gram", "m"])
-
-    floor = max(8, int(FREQUENT * min(rows, SAMPLE_DOCS)))
-    found = sample.mapInArrow(run, "gram long, m long").groupBy("gram").agg(F.sum("m").alias("m")).filter(F.col("m") >= floor)
-    return np.sort(np.array([r[0] for r in found.orderBy(F.desc("m"), "gram").limit(FREQUENT_MAX).collect()], np.int64).view(np.uint64))
-
-
 def _gram_seeds(n: int, buckets: int):
-    """A chunk's n-grams as seeds, with a flag on those that several of its distinct sets have."""
+    """A chunk's n-grams as seeds, with the number of its distinct sets that have each."""
 
     def run(part: pa.Table) -> pa.Table:
         sets = {set_print(g): g for _, _, buf, bounds in B.text_blocks(part.column("text")) for g in gram_sets(buf, bounds, n)}
         grams = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
-        seeds, times = np.unique(seed_of(grams, buckets), return_counts=True)
-        return pack_seeds(part.column("chunk")[0].as_py(), seeds, times > 1)
+        return pack_seeds(part.column("chunk")[0].as_py(), *np.unique(seed_of(grams, buckets), return_counts=True))
 
     return run
 
 
 def _rows_of_chunk(n: int, tenths: int, buckets: int):
-    """Every document with its set's size and fingerprint; grams (those that occur nowhere else first) if it may have a partner."""
+    """Every document with its set's size and fingerprint; if it may have a partner, also the number of its columns that no other
+    document has, the mean weight of its columns, the columns that it can meet a partner in first (rarest first), and its
+    shared columns by block."""
+    edges = np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(65 - BLOCKS.bit_length())
 
     def run(part: pa.Table, replies: pa.Table) -> pa.Table:
-        parts = [unpack_seeds(blob.as_py())[0].astype(np.uint64) | np.uint64(bucket << 32) for bucket, blob in zip(replies.column("bucket").to_pylist(), replies.column("seeds"), strict=True)]
-        again = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
-        sizes, prints, lone, out = [], [], [], []
+        again, weights = chosen_seeds(replies)
+        rows: list[tuple] = []
         for _, _, buf, bounds in B.text_blocks(part.column("text")):
             for grams in gram_sets(buf, bounds, n):
-                shared = in_sorted(seed_of(grams, buckets), again)
-                alone = len(grams) - int(shared.sum())
-                may = len(grams) and len(grams) - alone >= needed(len(grams), tenths)
-                sizes.append(len(grams))
-                prints.append(set_print(grams))
-                lone.append(alone)
-                out.append(np.concatenate([grams[~shared], grams[shared]]).tobytes() if may else None)
-        return pa.table({"id": part.column("id"), "_doc": part.column("_doc"), "n": pa.array(sizes, pa.int64()), "f": pa.array(prints, pa.int64()), "alone": pa.array(lone, pa.int64()), "grams": pa.array(out, pa.binary())})
-
-    return run
-
-
-def _entries(tenths: int, frequent):
-    """(gram, f, n) of the necessary columns of each row that other rows can be in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
-        for batch in batches:
-            f, alone, blobs = (batch.column(i).to_pylist() for i in range(3))
-            for low in range(0, len(f), 500):
-                columns, owners, sizes = [], [], []
-                for i in range(low, min(low + 500, len(f))):
-                    grams = np.frombuffer(blobs[i], np.uint64)
-                    want = len(grams) - needed(len(grams), tenths) + 1 - alone[i]
-                    if want > 0:
-                        shared = grams[alone[i] :]
-                        common = in_sorted(shared, often)
-                        columns.append(np.concatenate([shared[~common], shared[common]])[:want])
-                        owners.append(np.full(want, f[i]))
-                        sizes.append(np.full(want, len(grams)))
-                if columns:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], names=["gram", "f", "n"])
-
-    return run
-
-
-def _verify_pairs(tenths: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, sa, sb = (c.to_pylist() for c in batch.columns)
-            good = []
-            for i in range(len(a)):
-                x, y = np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                if int(np.count_nonzero(both[1:] == both[:-1])) * (10 + tenths) >= tenths * (len(x) + len(y)):
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+                size, weight = len(grams), np.zeros(len(grams), np.uint8)
+                if len(again) and size:
+                    seeds = seed_of(grams, buckets)
+                    at = np.minimum(np.searchsorted(again, seeds), len(again) - 1)
+                    weight = np.where(again[at] == seeds, weights[at], 0)
+                shared = weight > 0
+                alone = size - int(shared.sum())
+                if size and size - alone >= needed(size, tenths):
+                    mine, weight = grams[shared], weight[shared]
+                    head = mine[np.lexsort((mine, weight))][: max(0, size - needed(size, tenths) + 1 - alone)]
+                    cells = [x.view(np.int64) for x in np.split(mine, np.searchsorted(mine, edges))]
+                    rows.append((size, set_print(grams), alone, float(weight.sum()) / size, head.view(np.int64), cells))
+                else:
+                    rows.append((size, set_print(grams), None, None, None, None))
+        kinds = {"n": pa.int64(), "f": pa.binary(), "alone": pa.int64(), "centre": pa.float64(), "head": pa.list_(pa.int64()), "cells": pa.list_(pa.list_(pa.int64()))}
+        made = {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}
+        return pa.table({"id": part.column("id"), "_doc": part.column("_doc"), **made})
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    one, two = (sets.select(F.col("f").alias(x), F.col("grams").alias(f"s{x}")) for x in "ab")
-    return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify_pairs(tenths), "a long, b long"))
+def _similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """The pairs (a, b) of rows whose overlap, summed over the blocks of columns, reaches the bound."""
+    cells = sets.select("node", "n", F.posexplode("cells").alias("block", "cell")).filter(F.size("cell") > 0)
+    one = cells.select(F.col("node").alias("a"), "n", "block", F.col("cell").alias("x"))
+    # a row that meets very many others is held once for every SALT_ROWS of them
+    salted = pairs.join(pairs.groupBy("b").agg(F.floor(F.count("*") / SALT_ROWS).alias("salts")), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts") + 1))
+    homes = salted.select("b", "salt").distinct().join(cells.select(F.col("node").alias("b"), F.col("n").alias("m"), "block", F.col("cell").alias("y")), "b")
+    met = salted.select("a", "b", "salt").join(one, "a").join(homes, ["b", "salt", "block"])
+    sums = met.groupBy("a", "b", "n", "m").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("both"))
+    return materialize(sums.filter(F.col("both") * (10 + tenths) >= tenths * (F.col("n") + F.col("m"))).select("a", "b"))
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs, the smaller row first."""
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _star_pairs(entries: DataFrame, tenths: int) -> DataFrame:
+    """Every entry with the most central row of its column and size class, and these rows with those of the next class."""
+    classed = entries.withColumn("c", F.floor(F.log("n") / log(10 / tenths) + 1e-9))
+    least = classed.groupBy("gram", "c").agg(F.max(F.struct("centre", "node", "n", "top")).alias("hub"))
+    hubs = least.select("gram", "c", F.col("hub.node").alias("g"), F.col("hub.n").alias("m"), F.col("hub.top").alias("top2"))
+    steps = hubs.select("gram", F.col("g").alias("node"), F.col("m").alias("n"), F.col("top2").alias("top"), (F.col("c") + 1).alias("c"))
+    met = classed.select("gram", "node", "n", "top", "c").unionByName(steps).join(hubs, ["gram", "c"])
+    return _ordered(met.filter("node <> g and m <= top and n <= top2"), "node", "g")
+
+
+def _cross_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of rows of a column that are in different components and of sizes that their places in the column admit."""
+    marked = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    column = marked.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", F.struct("centre", "node")).alias("home"), F.min("n").alias("least"), F.max("top").alias("most"))
+    near = materialize(marked.join(column.filter("low <> high"), "gram").filter("least <= top and n <= most").select("gram", "node", "n", "top", "root", "home"))
+    minor = near.filter("root <> home")
+    reach = minor.groupBy("gram").agg(F.min("n").alias("least"), F.max("top").alias("most"))
+    other = near.join(reach, "gram").filter("least <= top and n <= most").select("gram", F.col("node").alias("g"), F.col("n").alias("m"), F.col("top").alias("top2"), F.col("root").alias("root2"), "home")
+    bound = other.groupBy("gram").agg(F.min("m").alias("least"), F.max("top2").alias("most"))
+    left = minor.drop("home").join(bound, "gram").filter("least <= top and n <= most").select("gram", "node", "n", "top", "root")
+    apart = "root <> root2 and m <= top and n <= top2 and (root2 = home or node < g)"
+    return _ordered(left.join(other, "gram").filter(apart), "node", "g")
+
+
+def _groups(sets: DataFrame, tenths: int) -> DataFrame:
+    """(node, root): the component of every row that is similar to another."""
+    spark = sets.sparkSession
+    # the sizes that an entry's place admits: (10 + tenths) * (n - place) >= tenths * (n + m)
+    top = F.floor(((10 + tenths) * (F.col("n") - F.col("alone") - F.col("at"))) / tenths) - F.col("n")
+    heads = sets.select("node", "n", "alone", "centre", F.posexplode("head").alias("at", "gram")).withColumn("top", top)
+    entries = materialize(heads.filter(10 * F.col("top") >= tenths * F.col("n")).select("gram", "node", "n", "top", "centre"))
+    tried = materialize(_star_pairs(entries, tenths))
+    links = _similar(tried, sets, tenths)
+    roots = materialize(components(links))
+    more = _similar(materialize(_cross_pairs(entries, roots).join(tried, ["a", "b"], "left_anti")), sets, tenths)
+    if not more.isEmpty():
+        roots = materialize(components(links.unionByName(more)))
+    discard(spark, entries, tried, links, more)
+    return roots
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, tenths: int = TENTHS) -> DataFrame:
@@ -170,45 +183,26 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in (text, "n_shingles", "component_id")]
     keyed = docs.select(row_key(doc_id, text).alias("key"), docs[doc_id].alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
-    total, count = keyed.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    chunks, buckets = (max(4, (total or 0) // size) for size in (CHUNK_BYTES, BLOCK_BYTES))
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = buckets = max(4, total // chunk_bytes(total))
     # the texts are shuffled once: both readers take the same exchange
     dealt = keyed.select(F.pmod("key", F.lit(chunks)).cast("int").alias("chunk"), "id", "_doc", "text").repartition(chunks, "chunk")
     seeds = dealt.groupBy("chunk").applyInArrow(_gram_seeds(n, buckets), SEEDS)
     replies = seeds.repartition(max(4, buckets // 2), "bucket").groupBy("bucket").applyInArrow(repeated_seeds, SEEDS)
-    fields = schema_of(keyed, ["id", "_doc"], "n long, f long, alone long, grams binary")
+    fields = schema_of(keyed, ["id", "_doc"], "n long, f binary, alone long, centre double, head array<long>, cells array<array<long>>")
     found = materialize(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_rows_of_chunk(n, tenths, buckets), fields))
-    rows = found.select("id", "_doc", "n", "f")
-    sets = materialize(found.filter("grams is not null").select("f", "alone", "grams").dropDuplicates(["f"]))
-    frequent = spark.sparkContext.broadcast(frequent_grams(keyed, count, n))
-    entries = materialize(sets.mapInArrow(_entries(tenths, frequent), "gram long, f long, n long"))
-    # every entry against the most central row of its column and size class, and neighbouring classes by these rows: the
-    # text that a group was copied from has its commonest n-grams, so most of the group links to it at once
-    width = entries.groupBy("gram").agg(F.count("*").alias("w"))
-    rank = entries.join(width, "gram").groupBy("f").agg(F.avg("w").alias("rank"))
-    classed = materialize(entries.join(rank, "f").withColumn("c", F.floor(F.log("n") / log(10 / tenths) + 1e-9)))
-    least = classed.groupBy("gram", "c").agg(F.max(F.struct("rank", "f")).alias("first"))
-    stars = classed.join(least, ["gram", "c"]).select(F.col("first.f").alias("a"), F.col("f").alias("b"))
-    steps = least.select("gram", "c", F.col("first.f").alias("a")).join(least.select("gram", (F.col("c") - 1).alias("c"), F.col("first.f").alias("b")), ["gram", "c"]).select("a", "b")
-    tried = materialize(stars.unionByName(steps).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = _links(tried, sets, tenths)
-    roots = materialize(components(links))
-    # what is left: pairs of a column that are in different components
-    marked = entries.join(roots, entries.f == roots.node, "left").select("gram", "f", "n", F.coalesce("root", "f").alias("root"))
-    mixed = marked.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gram")
-    left = materialize(marked.join(mixed, "gram"))
-    other = left.select("gram", F.col("f").alias("g"), F.col("n").alias("m"), F.col("root").alias("root2"))
-    apart = (F.col("root") < F.col("root2")) & (10 * F.least("n", "m") >= tenths * F.greatest("n", "m"))
-    cross = left.join(other, "gram").filter(apart).select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")).distinct()
-    more = _links(cross.join(tried, ["a", "b"], "left_anti"), sets, tenths)
-    if not more.isEmpty():
-        roots = materialize(components(links.unionByName(more)))
-    labelled = rows.join(roots, rows.f == roots.node, "left").select("_doc", "id", "n", F.coalesce("root", "f").alias("root"))
-    smallest = labelled.filter("n > 0").groupBy("root").agg(F.min("id").alias("first"))
-    out = labelled.join(smallest, (labelled.root == smallest.root) & (labelled.n > 0), "left")
-    result = out.select(*[F.col("_doc")[c].alias(c) for c in keep], F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
-    discard(spark, tried, left, sets, entries, classed, links)
-    return result
+    rows = found.select("id", "_doc", "n", "f", F.col("alone").isNotNull().alias("active"))
+    sets = materialize(found.filter("alone is not null").select("f", "n", "alone", "centre", "head", "cells").dropDuplicates(["f"]).withColumn("node", F.monotonically_increasing_id()))
+    roots = _groups(sets, tenths)
+    # sets that several documents have, or that are linked to others, with their smallest id
+    firsts = rows.filter("n > 0").groupBy("f").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("active").alias("active"))
+    linked = firsts.filter("copies > 1 or active").join(sets.select("f", "node").join(roots, "node").select("f", "root"), "f", "left")
+    smallest = linked.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    named = materialize(linked.join(smallest, "root", "left").select("f", F.coalesce("least", "first").alias("component_id")))
+    discard(spark, roots, sets)
+    out = rows.join(few(named), "f", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    return out.select(*[F.col("_doc")[c].alias(c) for c in keep], F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .common import packed, row_key, schema_of, table
 from .substring_dedup import CUTS
-from .superkmers import SEEDS, WIRE, Scheme, Sender, open_runs, pack_seeds, plan, repeated_seeds, seeds_of, stretches, unpack_seeds
+from .superkmers import SEEDS, WIRE, Scheme, Sender, chosen_seeds, open_runs, pack_seeds, plan, repeated_seeds, seeds_of, stretches
 
 K_BYTES, M_BYTES, BATCH = 50, 16, 1 << 15
 #: Text of a chunk of documents, and text whose minimisers go to one bucket.
@@ -119,10 +119,7 @@ def _seeds(scheme: Scheme, buckets: int):
 
 def _candidate_runs(scheme: Scheme, buckets: int, hot: np.ndarray):
     def run(part: pa.Table, replies: pa.Table) -> pa.Table:
-        only = [np.zeros(0, np.uint64)]
-        for bucket, blob in zip(replies.column("bucket").to_pylist(), replies.column("seeds"), strict=True):
-            only.append(unpack_seeds(blob.as_py())[0].astype(np.uint64) | np.uint64(bucket << 32))
-        sender = Sender(scheme, buckets, hot, np.sort(np.concatenate(only)))
+        sender = Sender(scheme, buckets, hot, chosen_seeds(replies)[0])
         known = part.filter(part.column("id").is_valid())
         keys, ids = (known.column(c).to_numpy() for c in ("key", "id"))
         return pa.Table.from_batches([*sender.add(keys, ids, known.column("text")), sender.flush()])

@@ -163,47 +163,57 @@ def seed_of(least: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def seeds_of(texts: pa.Array, scheme: Scheme, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct seeds of the texts, whether each has several runs)."""
+    """(sorted distinct seeds of the texts, number of runs of each)."""
     found = []
     for _, _, buf, bounds in B.text_blocks(texts):
         hashes, limits, _, _, _ = elements_of(buf, bounds, scheme.words)
         found.append(seed_of(runs_of(hashes, limits, scheme.k, scheme.m)[2], buckets))
-    seeds, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-    return seeds, times > 1
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
 
 
 SEEDS = "bucket int, chunk int, seeds binary"
 
 
-def pack_seeds(chunk: int, seeds: np.ndarray, many: np.ndarray) -> pa.Table:
-    """Rows of SEEDS: gaps between the 32-bit parts of a bucket's seeds, and a bit each that says whether it has several runs."""
+def pack_seeds(chunk: int, seeds: np.ndarray, times: np.ndarray) -> pa.Table:
+    """Rows of SEEDS: gaps between the 32-bit parts of a bucket's sorted seeds, and a byte each (a count, 255 at most)."""
     pack = zstandard.ZstdCompressor(level=3).compress
     home = (seeds >> np.uint64(32)).astype(np.int64)
     low = (seeds & np.uint64(0xFFFFFFFF)).astype("<u4")
-    rows = [(int(home[a]), pack(np.array([b - a], "<i8").tobytes() + np.diff(low[a:b], prepend=low[a : a + 1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(many[a:b]).tobytes())) for a, b in _groups(home)]
+    times = np.minimum(times, 255).astype(np.uint8)
+    rows = [(int(home[a]), pack(np.diff(low[a:b], prepend=low[a : a + 1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + times[a:b].tobytes())) for a, b in _groups(home)]
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "seeds": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def unpack_seeds(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(gaps, dtype=np.uint32), np.unpackbits(np.frombuffer(raw, np.uint8, -1, 8 + 4 * n))[:n].astype(bool)
+    n = len(raw) // 5
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.uint32), np.frombuffer(raw, np.uint8, n, 4 * n)
 
 
 def repeated_seeds(part: pa.Table) -> pa.Table:
-    """Of a bucket's seeds, back to each chunk those with several runs in it or in other chunks."""
+    """Of a bucket's seeds, back to each chunk those that occur twice or more in all, each with 8 * log2 of its count."""
     chunks, bucket = part.column("chunk").to_pylist(), part.column("bucket")[0].as_py()
     opened = [unpack_seeds(b.as_py()) for b in part.column("seeds")]
-    low, many = np.concatenate([s for s, _ in opened]), np.concatenate([m for _, m in opened])
-    good = B.repeated(low) | many
+    _, of = np.unique(np.concatenate([s for s, _ in opened]), return_inverse=True)
+    total = np.bincount(of, np.concatenate([t for _, t in opened]))[of]
     out, at = [], 0
     for chunk, (seeds, _) in zip(chunks, opened, strict=True):
-        keep = seeds[good[at : at + len(seeds)]]
+        mine = total[at : at + len(seeds)]
         at += len(seeds)
-        if len(keep):
-            out.append(pack_seeds(chunk, keep.astype(np.uint64) | np.uint64(bucket << 32), np.ones(len(keep), bool)))
-    return pa.concat_tables(out) if out else pack_seeds(0, np.zeros(0, np.uint64), np.zeros(0, bool))
+        many = mine >= 2
+        if many.any():
+            out.append(pack_seeds(chunk, seeds[many].astype(np.uint64) | np.uint64(bucket << 32), 8 * np.log2(mine[many])))
+    return pa.concat_tables(out) if out else pack_seeds(0, np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+
+
+def chosen_seeds(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted seeds, weight of each) of the replies to a chunk."""
+    opened = [(bucket, *unpack_seeds(blob.as_py())) for bucket, blob in zip(replies.column("bucket").to_pylist(), replies.column("seeds"), strict=True)]
+    seeds = np.concatenate([np.zeros(0, np.uint64), *(low.astype(np.uint64) | np.uint64(bucket << 32) for bucket, low, _ in opened)])
+    weights = np.concatenate([np.zeros(0, np.uint8), *(w for _, _, w in opened)])
+    order = np.argsort(seeds)
+    return seeds[order], weights[order]
 
 
 def _sender(scheme: Scheme, buckets: int, hot: np.ndarray):
