@@ -1,108 +1,148 @@
 """Line dedup: a suffix array over line sequences by prefix doubling, in DataFrame operations only.
 
 The text of a corpus is the sequence of its lines that hold a word, documents in the order of their ids; no match crosses a document.
-A run of `min_lines` or more such lines that already starts earlier is a copy: its lines are deleted, with the blank
-lines between them, and the first copy stays.
+A maximal repeated run is a run of such lines that also starts at an earlier place and that no line before or after it
+extends there. If it holds `min_words` words or more, it is a copy: its lines are deleted, with the blank lines between
+them, and the first copy stays. So a line of `min_words` words goes wherever it was seen before, and shorter lines
+go if together with their neighbours they were: of `A B C`, after `A B` and `B C` at two other places, all three
+go if both pairs have the words, and none does if only the three together have them.
 
 Prefix doubling: every line has a rank that orders lines by their fingerprints. Given ranks by the first h lines, the
 pair of the rank at a place and the rank h lines on orders suffixes by their first 2h lines; sorting the distinct pairs
 over the cluster (range partitions) and numbering them gives the next ranks. Suffixes whose rank is theirs alone are sorted
-for good and leave (discarding), so a round costs as much as there are repeats of that depth. Neighbours in the suffix
-array with equal rank form the intervals of longest common prefix h or more. In each interval of depth `min_lines` or
-more all suffixes but the first in text order are copies. Doubling goes on until no interval is left, so an interval's
-depth is known to a factor of two, and the rest of a longer run is found from the places inside it; the overlapping
-copies of a document are merged to maximal runs.
+for good and leave. Every line holds a word, so runs of `min_words` lines are copies whatever follows; the windows of longer
+runs cover them, and doubling stops there: nothing deeper is decided.
 
-Skew: the rounds group by rank with map-side aggregation, and the join that hands new ranks back has a side with one row
-a group and is left to adaptive execution, which splits hot keys; no group is collected anywhere. Only fingerprints (96
-bits and the length) of lines are shuffled, never their text. Tables between rounds are written to the shared scratch folder.
+Longest-common-prefix intervals: suffixes of equal rank share 2**j lines, their true common length is found by adding the
+powers of two below, from large to small. Where part of an interval agrees on so many lines more, that part becomes an
+interval of its own and leaves its first suffix behind, for the others to be compared with. In the end every interval has its exact
+common length, and every suffix that is not the first of all is in one interval as another than its first: that is its
+longest run with an earlier copy, as (target, source, length).
+
+Skew: all rounds group by rank with map-side aggregation, and the joins that hand ranks back have a side with one row
+a group and are left to adaptive execution, which splits hot keys; no group is collected anywhere. Only fingerprints (128
+bits) of lines are shuffled, never their text. Tables between rounds are written to the shared scratch folder.
 
 Defined cases: a null text has no lines and stays null; an empty text stays empty; lines are split at \\n only and compared
-byte for byte, white space included; a text whose lines all go becomes empty; of rows with equal ids the one read first counts as earlier;
-rows with a null id come first in text order; other columns are kept as they are.
+whole, white space included (by 128 bits); a text whose lines all go becomes empty; very long texts are one row each, whose lines
+are dealt out like others; of rows with equal ids the one read first counts as earlier, so repeated rows are copies of the first; rows
+with a null id come first in text order; an empty table gives no rows; other columns are kept, and columns with the names
+of results are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .common import discard, materialize, packed, table
 
-MIN_LINES = 2
+MIN_WORDS = 10
+WORD = r"[^\x20\x09-\x0D]+"
 PLACE = ["_id", "_row", "_at"]
 
 
 def _said(text: Column) -> Column:
     """Array of (line number, line) of the lines with a word."""
     numbered = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-    return F.filter(numbered, lambda x: F.rlike(x["line"], F.lit(r"[^\x20\x09-\x0D]")))
+    return F.filter(numbered, lambda x: F.rlike(x["line"], F.lit(WORD)))
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-preserving numbers of the keys that occur twice or more."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    """Order-preserving numbers of the keys that occur twice or more, with the first place of each."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*PLACE)).alias("_first")).filter("_n > 1").drop("_n")
     return materialize(groups.orderBy(*keys).withColumn("_new", F.monotonically_increasing_id()))
 
 
-def repeated_starts(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(_row, _at, depth): starts of runs of at least depth lines that also start earlier.
-
-    lines has _id, _row, _at and line; earlier means a smaller (_id, _row, _at).
-    """
+def _suffix_ranks(lines: DataFrame, depths: int) -> DataFrame:
+    """Places of repeated lines with r0, r1, ...: their ranks by the first 1, 2, 4, ... lines, null where they are alone, and
+    f0, f1, ...: whether they are the first of their rank."""
     spark = lines.sparkSession
-    prints = lines.select(*PLACE, F.xxhash64("line").alias("_h"), F.hash("line").alias("_g"), F.octet_length("line").alias("_l"))
-    ranks = _ranked(prints, ["_h", "_g", "_l"])
-    active = materialize(prints.join(ranks, ["_h", "_g", "_l"]).select(*PLACE, F.col("_new").alias("rank")))
+    prints = lines.select(*PLACE, F.xxhash64(F.lit(1), "line").alias("_h"), F.xxhash64(F.lit(2), "line").alias("_g"))
+    ranks = _ranked(prints, ["_h", "_g"])
+    first = F.coalesce(F.struct(*PLACE) == F.col("_first"), F.lit(False))
+    known = materialize(prints.join(ranks, ["_h", "_g"]).select(*PLACE, F.col("_new").alias("r0"), first.alias("f0")))
     discard(spark, ranks)
-    depth, found = 1, []
-    while not active.isEmpty():
-        if depth >= min_lines:
-            first = active.groupBy("rank").agg(F.min(F.struct(*PLACE)).alias("first"))
-            copies = active.join(first, "rank").filter(F.struct(*PLACE) > F.col("first"))
-            found.append(materialize(copies.select("_row", "_at", F.lit(depth).alias("depth"))))
-        # the last round before min_lines overlaps, so that a depth of exactly min_lines is met
-        step = depth if depth >= min_lines or 2 * depth <= min_lines else min_lines - depth
-        on = active.select("_row", (F.col("_at") - step).alias("_at"), F.col("rank").alias("next"))
-        pairs = active.join(on, ["_row", "_at"])
-        ranks = _ranked(pairs, ["rank", "next"])
-        previous, active = active, materialize(pairs.join(ranks, ["rank", "next"]).select(*PLACE, F.col("_new").alias("rank")))
+    for j in range(1, depths):
+        on = W.partitionBy("_row").orderBy("_at").rangeBetween(1 << (j - 1), 1 << (j - 1))
+        pairs = known.withColumn("_next", F.first(f"r{j - 1}").over(on))
+        ranks = _ranked(pairs.filter(f"r{j - 1} is not null and _next is not null"), [f"r{j - 1}", "_next"])
+        deeper = pairs.join(ranks, [f"r{j - 1}", "_next"], "left")
+        previous, known = known, materialize(deeper.select(*known.columns, F.col("_new").alias(f"r{j}"), first.alias(f"f{j}")))
         discard(spark, previous, ranks)
-        depth += step
-    discard(spark, active)
-    if not found:
-        return lines.select("_row", "_at", F.lit(min_lines).alias("depth")).filter(F.lit(False))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    return known
+
+
+def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_row, _at, length, source): of every place with an earlier copy, the longest run of lines that also starts earlier, up to
+    min_words of them at least, and the first place that it starts at.
+
+    lines has _id, _row, _at and line, one row a line with a word; earlier means a smaller (_id, _row, _at).
+    """
+    spark = lines.sparkSession
+    depths = max(1, (min_words - 1).bit_length() + (min_words & (min_words - 1) == 0))
+    top = depths - 1
+    known = _suffix_ranks(lines, depths)
+    # the ranks that the rounds below look up: by 2**k lines, from a common length on that the powers above k add up to
+    order = W.partitionBy("_row").orderBy("_at")
+    sought = {(k, length): f"s{k}_{length}" for k in range(top) for length in range(2 << k, min_words, 2 << k)}
+    looked = known.select("*", *[F.first(f"r{k}").over(order.rangeBetween(length, length)).alias(name) for (k, length), name in sought.items()])
+    # intervals by depth: a suffix is in the deepest one it shares with another, and the first one of a deeper one also in that above
+    kept = ["length", "a", "b", *PLACE, *sought.values()]
+    member = [F.when(F.col(f"r{j}").isNotNull() & (F.lit(True) if j == top else F.col(f"r{j + 1}").isNull() | F.col(f"f{j + 1}")), F.lit(1 << j)) for j in range(depths)]
+    spread = looked.withColumn("length", F.explode(F.array_compact(F.array(*member))))
+    own = F.coalesce(*[F.when(F.col("length") == 1 << j, F.col(f"r{j}")) for j in range(depths)])
+    entries = materialize(spread.withColumn("a", own).withColumn("b", F.lit(-1)).select(*kept))
+    discard(spark, known)
+    for k in range(top - 1, -1, -1):
+        lengths = [length for (bit, length) in sought if bit == k]
+        if not lengths:
+            continue
+        key = F.coalesce(*[F.when(F.col("length") == length, F.col(sought[k, length])) for length in lengths])
+        tried = entries.withColumn("_key", key)
+        parts = tried.filter("_key is not null").groupBy("length", "a", "b", "_key").agg(F.count("*").alias("_n"), F.min(F.struct(*PLACE)).alias("_first")).filter("_n > 1").drop("_n")
+        split = tried.join(parts, ["length", "a", "b", "_key"], "left")
+        into = F.struct((F.col("length") + (1 << k)).alias("length"), F.col("_first._row").alias("a"), F.col("_first._at").alias("b"))
+        here = F.struct("length", "a", "b")
+        stays = F.when(F.col("_first").isNull() | (F.struct(*PLACE) == F.col("_first")), here)
+        both = split.withColumn("_to", F.explode(F.array_compact(F.array(F.when(F.col("_first").isNotNull(), into), stays))))
+        previous, entries = entries, materialize(both.select("_to.length", "_to.a", "_to.b", *PLACE, *sought.values()))
+        discard(spark, previous)
+    firsts = entries.groupBy("length", "a", "b").agg(F.count("*").alias("_n"), F.min(F.struct(*PLACE)).alias("source")).filter("_n > 1").drop("_n")
+    found = entries.join(firsts, ["length", "a", "b"]).filter(F.struct(*PLACE) > F.col("source"))
+    out = materialize(found.select("_row", "_at", "length", "source"))
+    discard(spark, entries)
     return out
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text cut, and n_lines (with a word), n_removed (of these) and n_runs in place of columns of these names."""
     made = ("n_lines", "n_removed", "n_runs")
     keep = [c for c in docs.columns if c not in made]
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs, keep).alias("_doc")))
     body = F.col("_doc")[text]
     lines = rows.select(F.col("_doc")[doc_id].alias("_id"), "_row", F.posexplode(_said(body)).alias("_at", "_line")).select("_id", "_row", "_at", F.col("_line.line").alias("line"))
-    deepest = repeated_starts(lines, min_lines).groupBy("_row", "_at").agg(F.max("depth").alias("depth"))
-    # maximal runs: a start that no earlier copy reaches opens one
-    order = W.partitionBy("_row").orderBy("_at")
-    reached = deepest.withColumn("_end", F.col("_at") + F.col("depth")).withColumn("_before", F.max("_end").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    numbered = reached.withColumn("_run", F.sum(F.when(F.col("_before") >= F.col("_at"), 0).otherwise(1)).over(order))
-    runs = numbered.groupBy("_row", "_run").agg(F.min("_at").alias("a"), F.max("_end").alias("b"))
-    cuts = runs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cut"))
-    joined = rows.join(cuts, "_row", "left").withColumn("_said", _said(body)).withColumn("_all", F.split(body, "\n", -1))
-    # what is kept lies between the cuts: from the line after each cut's last to the next one's first
+    runs = repeated_runs(lines, min_words).groupBy("_row").agg(F.collect_list(F.struct("_at", "length")).alias("_runs"))
+    joined = rows.join(runs, "_row", "left").withColumn("_said", _said(body)).withColumn("_all", F.split(body, "\n", -1))
+    # a run of min_words lines has the words; of shorter ones they are counted
+    words = F.when(F.col("_runs").isNotNull(), F.transform("_said", lambda x: F.regexp_count(x["line"], F.lit(WORD))))
+    counted = joined.withColumn("_words", words)
+    enough = lambda x: (x["length"] >= min_words) | (F.aggregate(F.slice("_words", x["_at"] + 1, x["length"]), F.lit(0), lambda s, n: s + n) >= min_words)
+    gone = F.array_distinct(F.flatten(F.transform(F.filter("_runs", enough), lambda x: F.sequence(x["_at"], x["_at"] + x["length"] - 1))))
+    # the deleted lines as runs from a to b
+    opens = F.array_sort(F.array_except("_gone", F.transform("_gone", lambda x: x + 1)))
+    ends = F.array_sort(F.array_except(F.transform("_gone", lambda x: x + 1), F.col("_gone")))
+    cut = counted.withColumn("_gone", F.when(F.size("_runs") > 0, gone)).withColumn("_cut", F.when(F.size("_gone") > 0, F.arrays_zip(opens.alias("a"), ends.alias("b"))))
+    # what is kept lies between them: from the line after each run's last to the next one's first
     after = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda x: F.element_at("_said", x["b"])["i"] + 1))
     until = F.concat(F.transform("_cut", lambda x: F.element_at("_said", x["a"] + 1)["i"]), F.array(F.size("_all")))
     parts = F.filter(F.arrays_zip(after.alias("a"), until.alias("b")), lambda x: x["b"] > x["a"])
-    kept = F.array_join(F.flatten(F.transform(parts, lambda x: F.slice("_all", x["a"] + 1, x["b"] - x["a"]))), "\n")
-    removed = F.coalesce(F.aggregate("_cut", F.lit(0), lambda s, x: s + x["b"] - x["a"]), F.lit(0))
-    columns = [(F.when(F.col("_cut").isNull(), body).otherwise(kept) if c == text else F.col("_doc")[c]).alias(c) for c in keep]
+    left = F.array_join(F.flatten(F.transform(parts, lambda x: F.slice("_all", x["a"] + 1, x["b"] - x["a"]))), "\n")
+    columns = [(F.when(F.col("_cut").isNull(), body).otherwise(left) if c == text else F.col("_doc")[c]).alias(c) for c in keep]
     count = F.when(body.isNull(), 0).otherwise(F.size("_said"))
-    return joined.select(*columns, count.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long").alias("n_runs"))
+    removed = F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_gone"))
+    return cut.select(*columns, count.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long").alias("n_runs"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,13 +155,19 @@ WITH every AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents
 ), lines AS (
-  SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place
+  SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place,
+         len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n_words
   FROM every WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), pairs AS (
-  SELECT a.doc_id, a.place, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.place) AS copy
-  FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.place = a.place + 1
+  SELECT b.doc_id, b.place, b.n_words, a.doc_id AS source, b.place - a.place AS apart
+  FROM lines a JOIN lines b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.place < b.place)
+), chained AS (
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id, source, apart ORDER BY place) AS chain FROM pairs
+), runs AS (
+  SELECT doc_id, min(place) AS first, max(place) AS last FROM chained
+  GROUP BY doc_id, source, apart, chain HAVING sum(n_words) >= 10
 ), gone AS (
-  SELECT DISTINCT doc_id, place + d AS place FROM pairs, (VALUES (0), (1)) AS x(d) WHERE copy > 1
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS place FROM (SELECT DISTINCT doc_id, first, last FROM runs)
 ), marked AS (
   SELECT l.doc_id, l.i, g.place IS NOT NULL AS cut,
          g.place IS NOT NULL AND lag(g.place) OVER (PARTITION BY l.doc_id ORDER BY l.place) IS NULL AS opens

@@ -83,22 +83,32 @@ def groups(docs, tenths=8):
     return [(len(s), best.get(find(i)) if s else docs[i][0]) for i, s in enumerate(sets)]
 
 
-def cut_lines(docs, k=2):
-    """The text of each document without later copies of runs of k or more lines, and the numbers of lines and of removed ones."""
+def cut_lines(docs, min_words=10):
+    """The text of each document without later copies of maximal repeated runs of lines with min_words words or more, and the
+    numbers of lines and of removed ones. Every pair of equal lines that no equal lines precede is followed to its end."""
     order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0, i))
-    seen, out = set(), {}
+    split = {i: (docs[i][1] or "").split("\n") for i in order}
+    said = {i: [j for j, line in enumerate(split[i]) if words(line)] for i in order}
+    told = {i: [split[i][j] for j in said[i]] for i in order}
+    seen, gone = defaultdict(list), {i: set() for i in order}
     for i in order:
-        text = docs[i][1]
-        lines = (text or "").split("\n")
-        said = [j for j, line in enumerate(lines) if words(line)]
-        gone = set()
-        for a in range(len(said) - k + 1):
-            key = tuple(lines[j] for j in said[a : a + k])
-            if key in seen:
-                gone.update(range(said[a], said[a + k - 1] + 1))
-            seen.add(key)
-        kept = "\n".join(line for j, line in enumerate(lines) if j not in gone)
-        out[i] = (text if not gone else kept, len(said), sum(j in gone for j in said))
+        for p, line in enumerate(told[i]):
+            for o, q in seen[line]:
+                if p and q and told[o][q - 1] == told[i][p - 1]:
+                    continue
+                n = 1
+                while p + n < len(told[i]) and q + n < len(told[o]) and told[o][q + n] == told[i][p + n]:
+                    n += 1
+                if sum(len(words(x)) for x in told[i][p : p + n]) >= min_words:
+                    gone[i].update(range(p, p + n))
+            seen[line].append((i, p))
+    out = {}
+    for i in order:
+        lost = set()
+        for p in gone[i]:  # with the blank lines before the next one if that goes too
+            lost.update(range(said[i][p], said[i][p + 1] if p + 1 in gone[i] else said[i][p] + 1))
+        kept = "\n".join(line for j, line in enumerate(split[i]) if j not in lost)
+        out[i] = (kept if lost else docs[i][1], len(said[i]), len(gone[i]))
     return [out[i] for i in range(len(docs))]
 
 

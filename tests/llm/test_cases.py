@@ -43,10 +43,24 @@ def test_line_dedup(spark, rows):
     assert got(line_dedup.dedup_lines(frame(spark, rows)), "text", "n_lines", "n_removed") == want(expected, rows)
 
 
-@pytest.mark.parametrize("k", [1, 3, 5])
+@pytest.mark.parametrize("k", [1, 3, 5, 8, 13])
 def test_line_dedup_of_other_depths(spark, k):
-    rows = [(i, "\n".join("abcabcab"[i:] + "xyz"[: i % 3])) for i in range(8)] + [(20, "a\nb\nc\na\nb\nc\na\nb\nc\na\nb\nc")]
-    assert got(line_dedup.dedup_lines(frame(spark, rows), min_lines=k), "text", "n_lines", "n_removed") == want(plain.cut_lines(rows, k), rows)
+    rows = [(i, "\n".join("abcabcab"[i:] + "xyz"[: i % 3])) for i in range(8)] + [(20, "a\nb\nc\na\nb\nc\na\nb\nc\na\nb\nc"), (21, "x\n\ny\nq r\n\n\nz a\nb")]
+    rows += [(30 + i, "\n".join(f"{c} {c}" if j % 3 else c for j, c in enumerate("hijklmnopq"[i % 4 : 4 + i]))) for i in range(7)]
+    assert got(line_dedup.dedup_lines(frame(spark, rows), min_words=k), "text", "n_lines", "n_removed") == want(plain.cut_lines(rows, k), rows)
+
+
+def test_line_runs_are_as_long_as_their_words_need(spark):
+    """Three lines of four words go if they were seen together, and stay if only their pairs were: the depth decides."""
+    a, b, c, long = "a1 a2 a3 a4", "b1 b2 b3 b4", "c1 c2 c3 c4", " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{a}\n{b}\nend one"), (2, f"start two\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}\nown three"), (4, f"own four\n{a}\n\n{b}\n{c}\nmore"), (5, f"five\n{long}\nv"), (6, f"six\n{long}\nvi"), (7, long)]
+    cut = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert cut[3] == (rows[2][1], 0, 0)
+    assert cut[4] == ("own four\nmore", 3, 1)
+    assert cut[6] == ("six\nvi", 1, 1) and cut[7] == ("", 1, 1)
+    lines = spark.createDataFrame([(d, d, i, x) for d, t in rows for i, x in enumerate(y for y in t.split("\n") if y)], "_id long, _row long, _at int, line string")
+    runs = {(r._row, r._at): (r.length, r.source._row, r.source._at) for r in line_dedup.repeated_runs(lines).collect()}
+    assert runs[3, 0] == (2, 1, 0) and runs[3, 1] == (2, 2, 1) and runs[4, 1] == (3, 3, 0) and runs[4, 2] == (2, 2, 1) and runs[4, 3] == (1, 2, 2) and runs[7, 0] == (1, 5, 1)
 
 
 @pytest.mark.parametrize("rows", [ROWS, []], ids=["rows", "empty"])
