@@ -3,21 +3,24 @@
 Each task packs the documents of its own scan partition, in order, with no shuffle. A document that fills whole windows
 gives them at once; its rest is placed online. The state is a level array: open[h] is the number of partially filled
 windows with h tokens in them. A rest of s tokens goes to the level h (0: a new window) that makes the sum over all
-levels of open[h]**2 smallest, which keeps complementary levels in stock. Windows that are still open at the end of a
-task, or beyond `max_open` of them, are closed by cutting: the fullest are filled up from the emptiest, and the last one
-is cut to lengths that are powers of two, which need no padding. Memory is bounded by max_open windows and one batch of texts.
-
-The ids are those of the named tokenizer. Texts of plain Latin characters are split by the tokenizer's own published
-pattern and each distinct piece is looked up once per worker; any other text is encoded whole by the library. Both ways
-give the same ids (tested).
-
-Defined cases: null text counts as empty and gives only the end id; equal rows are packed each; a null id is kept; an empty
-table gives no pieces; other columns are ignored. Pieces depend on how the scan is split, but a task run again gives the
-same pieces.
+levels of open[h]**2 smallest, which keeps complementary levels in stock (ties: the fullest level). While `max_open` windows are open, no new one is
+opened: a rest that fits in none is cut, its start fills a window of the commonest level (the choice that lowers the sum most), and
+what is left of it is placed in turn. Windows that are still open at the end of a task are closed by cutting: the
+fullest are filled up from the emptiest, and the last one is cut to lengths that are powers of two, which need no
+padding. Memory is bounded by max_open windows and one batch of texts.
+
+The ids are those of the named tokenizer. If its file names the normalisation and splitting that `Encoder` knows, texts of plain
+Latin characters are split by the file's own pattern and each distinct piece is looked up once per worker; any other
+text, and every text of another tokenizer, is encoded whole by the library. Both ways give the same ids (tested).
+
+Defined cases: null text counts as empty and gives only the end id; a very long text is encoded whole and cut into windows; equal
+rows are packed each; a null id is kept; an empty table gives no pieces; columns other than id and text are not handed on.
+Pieces depend on how the scan is split, but a task run again gives the same pieces.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -31,15 +34,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import schema_of, table
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-CACHED_PIECES = 500_000
-# The pre-tokenisation pattern in the vocabulary file (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CACHED_PIECES = 100_000
+MAX_OPEN = 2048
+# What the fast way knows, as vocabulary files state it (fixed values); the pattern is the file's.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+KNOWN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Characters whose normalisation and case mapping are one to one: printable ASCII, Latin-1 and Latin Extended letters.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ɏ]*")
 
 _encoders: dict[str, Encoder] = {}
 
 
+def split_pattern(spec: dict) -> str | None:
+    """The pattern that a vocabulary file splits texts by, if the rest of its way is the known one."""
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if spec.get("normalizer") != KNOWN_NORMALIZER or len(parts) != 2 or parts[1] != KNOWN_BYTES:
+        return None
+    pattern = parts[0].get("pattern", {}).get("Regex")
+    return pattern if {k: v for k, v in parts[0].items() if k != "pattern"} == KNOWN_SPLIT else None
+
+
 class Encoder(dict):
     """Piece -> its ids as little-endian bytes; encode() gives the bytes of a text."""
 
@@ -49,8 +64,13 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.pieces = regex.compile(PATTERN).findall
+        path = public_tokenizers.path(name)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.tokenizer = Tokenizer.from_file(path)
+        pattern = split_pattern(spec)
+        self.pieces = regex.compile(pattern).findall if pattern else None
+        self.added = [t["content"].lower() for t in spec.get("added_tokens") or []]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level alphabet
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -63,8 +83,10 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.__getitem__, self.pieces(text.lower())))
+        if self.pieces and _PLAIN.fullmatch(text):
+            low = text.lower()
+            if not any(t in low for t in self.added):
+                return b"".join(map(self.__getitem__, self.pieces(low)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -80,6 +102,7 @@ class Packer:
     def __init__(self, window: int, max_open: int, first_id: int):
         self.window, self.max_open, self.next_id = window, max_open, first_id
         self.open = np.zeros(window + 1, np.int64)
+        self.n_open = 0
         self.stock: dict[int, list[list[tuple]]] = defaultdict(list)
         self.closed: list[tuple] = []
 
@@ -98,34 +121,45 @@ class Packer:
         if rest := ids[whole * step :]:
             self.place((doc, whole * self.window, rest, tokens), len(rest) // 4)
 
-    def place(self, piece: tuple, size: int) -> None:
+    def level_for(self, size: int) -> tuple[int, bool]:
+        """The level that makes the sum of squares smallest, and whether size tokens fit there; 0 is a new window."""
+        may_open = self.n_open < self.max_open
         at = np.flatnonzero(self.open[1 : self.window - size + 1]) + 1
-        level = 0
         if len(at):
-            after = self.open[at + size]
-            after[at + size == self.window] = -1  # a full window leaves the array: nothing is added to the sum
-            change = 2 * (after - self.open[at]) + 2
-            change[at + size == self.window] = 1 - 2 * self.open[self.window - size]
-            best = int(np.flatnonzero(change == change.min())[-1])
-            if change[best] <= 2 * self.open[size] + 1:
-                level = int(at[best])
-        pieces = []
-        if level:
-            pieces = self.stock[level].pop()
-            self.open[level] -= 1
+            full = at + size == self.window  # a full window leaves the array
+            change = 1 - 2 * self.open[at] + np.where(full, 0, 1 + 2 * self.open[at + size])
+            best = len(at) - 1 - int(np.argmin(change[::-1]))
+            if not may_open or change[best] <= 2 * self.open[size] + 1:
+                return int(at[best]), True
+        return (0, True) if may_open else (int(np.argmax(self.open)), False)
+
+    def place(self, piece: tuple, size: int) -> None:
+        level, fits = self.level_for(size)
+        while not fits:
+            doc, start, ids, tokens = piece
+            room = self.window - level
+            self.close([*self.take(level), (doc, start, ids[: 4 * room], tokens)])
+            piece, size = (doc, start + room, ids[4 * room :], tokens), size - room
+            level, fits = self.level_for(size)
+        pieces = self.take(level) if level else []
         pieces.append(piece)
         if level + size == self.window:
             self.close(pieces)
         else:
             self.stock[level + size].append(pieces)
             self.open[level + size] += 1
-            if self.open.sum() > self.max_open:
-                self.finish()
+            self.n_open += 1
+
+    def take(self, level: int) -> list[tuple]:
+        self.open[level] -= 1
+        self.n_open -= 1
+        return self.stock[level].pop()
 
     def finish(self) -> None:
         """Close every open window by cutting."""
         left = [(h, p) for h in range(1, self.window) for p in self.stock[h]]
         self.open[:] = 0
+        self.n_open = 0
         self.stock.clear()
         low, high = 0, len(left) - 1
         spare: list[tuple] = []
@@ -165,7 +199,7 @@ class Packer:
             self.close(part)
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, max_open: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on demand its ids."""
     fields = schema_of(docs, [doc_id], "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
     names = [doc_id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids

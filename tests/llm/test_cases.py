@@ -152,6 +152,45 @@ def test_packer_keeps_every_token_whatever_the_limit():
         assert total == dict(enumerate(sizes))
 
 
+def test_packer_takes_the_level_of_the_least_sum_of_squares():
+    """Against all levels tried one by one, for random states; ties go to the fullest level."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        packer = packing.Packer(32, 10**9, 0)
+        packer.open[1:32] = rng.integers(0, 4, 31) * (rng.random(31) < 0.4)
+        size, sums = int(rng.integers(1, 32)), {}
+        for level in range(32 - size + 1):
+            after = packer.open.copy()
+            if level and not after[level]:
+                continue
+            after[level] -= level > 0
+            after[level + size] += level + size < 32
+            sums[level] = int((after**2).sum())
+        least = min(sums.values())
+        level, fits = packer.level_for(size)
+        assert fits and level == max(k for k, v in sums.items() if v == least)
+
+
+def test_packer_cuts_instead_of_opening_too_many_windows():
+    packer = packing.Packer(100, 3, 0)
+    for d in range(50):
+        packer.add(d, bytes(4 * 60))
+        assert packer.n_open == packer.open.sum() <= 3
+    assert len(packer.closed) > 50
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_gives_the_ids_of_the_library(name):
+    import numpy as np
+
+    encode = packing.Encoder(name)
+    assert bool(encode.pieces) == (name == packing.TOKENIZER)
+    for text in ["Plain text, isn't it?", "  Two  spaces\tand\nlines ", "ÄÖÜ straße é", "a<|endoftext|>b", "<|ENDOFTEXT|>", "İıſK 汉字 \u0301", ""] + [t for _, t in ROWS if t][:6]:
+        assert np.frombuffer(encode.encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_urls(spark):
     urls = ["http://a.org/x", "https://EXAMPLE.org/es/1?x#y", "http://www.example.org/en/19", "http://www.example.org/en/2", "http://notexample.org/es/", "ftp://x.com/fr/", "http://x.com/de/#a", "http://com/de/", "http://x.com", "no scheme", "", None, "http://", "http:///p", "x://y://org/", "http://net/", "http://net/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumnRenamed("page_id", "rule_id")
