@@ -7,7 +7,12 @@
 4. decontamination: documents that contain a benchmark window go.
 5. packing: what is left is tokenised and packed into windows; one row a piece.
 
-Rows without an id can't be named as the smallest of a group, so they stay in stage 3. Of rows with equal id and text one stays there.
+Defined cases, in all stages: a null or empty text has no words; quality rejects it, line_dedup, near_duplicates and
+decontamination keep it and packing gives its end id. Very long texts are handled whole. A null id is an id like others in stages 1, 4
+and 5; it comes first in text order in stage 2; in stage 3 such a row can't be the smallest of a group, goes if its group has
+a row with an id, and stays otherwise. Of repeated rows line_dedup keeps the lines of the first; in stage 3, of rows with equal
+id and text one stays, the least by its other columns. Ties are those of the operators. An empty table passes through. Extra
+columns, whatever their names, are handed on as they are by all stages but packing, which returns pieces.
 The packing of pieces into windows has no counterpart in SQL, so ORACLE_SQL is None and the tests hold run() against a plain
 version of every stage.
 """
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import discard, materialize, row_key, table
+from shelfmark.llm.common import discard, few, materialize, row_identity, table
 from shelfmark.llm.decontamination import decontaminate
 from shelfmark.llm.line_dedup import dedup_lines
 from shelfmark.llm.ngram_join import similar_groups
@@ -25,15 +30,10 @@ from shelfmark.llm.packing import pack_documents
 from shelfmark.llm.quality_rules import score_quality
 
 
-BROADCAST_KEYS = 200_000
-
-
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs without the rows whose row_key is in keys(_key); the keys are broadcast only if a count proves them few."""
-    keys = keys.distinct()
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return docs.withColumn("_key", row_key()).join(keys, "_key", "left_anti").select(*docs.columns)
+    """docs without the rows whose identity is in keys(_key); the keys are broadcast only if a count proves them few."""
+    key = "_key_of_row"
+    return docs.withColumn(key, row_identity()).join(few(keys.select(F.col("_key").alias(key)).distinct()), key, "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,18 +47,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialize(similar_groups(docs.select("doc_id", "text", row_key().alias("_key"))).select("_key", "doc_id", "component_id"))
-    kept = _without(docs, groups.filter("doc_id <> component_id").select("_key"))
-    twice = groups.groupBy("_key").count().filter("count > 1").select("_key")
+    named = docs.select("doc_id", "text", row_identity().alias("_key"))
+    groups = materialize(similar_groups(named).select("_key", F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull()).alias("goes")))
+    kept = _without(docs, groups.filter("goes").select("_key"))
+    twice = groups.filter("not goes").groupBy("_key").count().filter("count > 1").select(F.col("_key").alias("_key_of_row"))
     if twice.isEmpty():
         return kept
-    keyed = kept.withColumn("_key", row_key())
-    once = keyed.join(twice, "_key", "left_semi").dropDuplicates(["_key"])
-    return keyed.join(twice, "_key", "left_anti").unionByName(once).select(*docs.columns)
+    keyed = kept.withColumn("_key_of_row", row_identity())
+    whole = F.struct(*[keyed[c].alias(c) for c in docs.columns])
+    once = keyed.join(few(twice), "_key_of_row", "left_semi").groupBy("_key_of_row").agg(F.min_by(whole, F.to_json(whole)).alias("_least"))
+    return keyed.join(few(twice), "_key_of_row", "left_anti").select(*docs.columns).unionByName(once.select(*[F.col("_least")[c].alias(c) for c in docs.columns]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs.select(row_key().alias("_key"), "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(docs.select(row_identity().alias("_key"), "text"), table(spark, sf_dir, "benchmark"))
     return _without(docs, found.filter("contaminated").select("_key"))
 
 
