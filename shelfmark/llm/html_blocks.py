@@ -10,51 +10,96 @@ INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mar
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
 #: An opening tag closes an open one of the same group, up to the nearest of the holders.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+P_HOLDERS = frozenset("td th li div article section body".split())
 P_ENDERS = frozenset("p div ul ol dl table article section nav header footer aside main form blockquote pre figure h1 h2 h3 h4 h5 h6 hr address fieldset details menu".split())
 
 
+#: Tags that mark an article, tags of what is not one, and the tag by which made training pages tell theirs.
+MARKS = frozenset({"article", "main"})
+FURNITURE = frozenset("nav footer aside form header".split())
+LABEL_TAG = "main-part"
+
+
 class Block(NamedTuple):
     text: str
-    #: (tag, words of its class, id and role), outermost first
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    tags: frozenset[str]
+    marks: frozenset[str]
+    #: innermost tag, and innermost one that marks no article
+    parent: str
+    plain_parent: str
+    in_mark: bool
+    #: under furniture inside the outermost mark
+    in_furniture: bool
     link_chars: int
 
 
+class Level(NamedTuple):
+    """An open tag with what holds for everything below it; each level is made from the one above, and most share its sets."""
+
+    tag: str
+    tags: frozenset[str]
+    marks: frozenset[str]
+    parent: str
+    plain_parent: str
+    in_mark: bool
+    in_furniture: bool
+
+
+MOST_NAMES = 64
+
+
+def _with(have: frozenset[str], new: list[str]) -> frozenset[str]:
+    """The names of all levels so far; past MOST_NAMES different ones, those of the innermost level only."""
+    if have.issuperset(new):
+        return have
+    both = have.union(new)
+    return both if len(both) <= MOST_NAMES else frozenset(sorted(set(new))[:MOST_NAMES])
+
+
+ROOT = Level("", frozenset(), frozenset(), "", "", False, False)
+
+
 class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[Level] = [ROOT]
+        self.places: dict[str, list[int]] = {}
         self.found: list[Block] = []
         self.parts: list[str] = []
         self.links = self.hidden = self.in_link = 0
-        self.path: tuple = ()
+        self.under = ROOT
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.found.append(Block(text, self.path, self.links))
+                self.found.append(Block(text, *self.under[1:], self.links))
         self.parts, self.links = [], 0
 
     def push(self, tag: str, attrs) -> None:
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower().replace("-", " ").replace("_", " ").split()
-        self.stack.append((tag, tuple(marks)))
+        up = self.stack[-1]
+        shown = tag != LABEL_TAG
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Level(
+            tag, _with(up.tags, [tag]), _with(up.marks, marks) if shown else up.marks, tag if shown else up.parent,
+            tag if shown and tag not in MARKS else up.plain_parent, up.in_mark or tag in MARKS, up.in_furniture or up.in_mark and tag in FURNITURE,
+        ))
         self.hidden += tag in HIDDEN
         self.in_link += tag == "a"
 
     def pop_to(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
-            self.hidden -= tag in HIDDEN
-            self.in_link -= tag == "a"
+        for level in self.stack[at:]:
+            self.places[level.tag].pop()
+            self.hidden -= level.tag in HIDDEN
+            self.in_link -= level.tag == "a"
         del self.stack[at:]
 
     def open_at(self, tags, holders=()) -> int | None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                return i
-            if self.stack[i][0] in holders:
-                return None
-        return None
+        """The innermost open one of these tags, unless a holder is open inside it."""
+        last = lambda names: max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+        at = last(tags)
+        return at if at and at >= last(holders) else None
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "br":
@@ -62,11 +107,11 @@ class Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-        if tag == "body":  # an unclosed head ends here
-            self.pop_to(next((i for i, (t, _) in enumerate(self.stack) if t == "head"), len(self.stack)))
+        if tag == "body" and (at := self.places.get("head")):  # an unclosed head ends here
+            self.pop_to(at[0])
         if tag in CLOSES and (at := self.open_at(*CLOSES[tag])) is not None:
             self.pop_to(at)
-        elif tag in P_ENDERS and (at := self.open_at({"p"}, {"td", "th", "li", "div", "article", "section", "body"})) is not None:
+        elif tag in P_ENDERS and (at := self.open_at({"p"}, P_HOLDERS)) is not None:
             self.pop_to(at)
         if tag not in VOID:
             self.push(tag, attrs)
@@ -84,7 +129,7 @@ class Blocks(HTMLParser):
         if self.hidden:
             return
         if not self.parts:
-            self.path = tuple(self.stack)
+            self.under = self.stack[-1]
         self.parts.append(data)
         if self.in_link:
             self.links += len(data)

@@ -9,8 +9,10 @@ furniture alone must do. Training runs on the driver over a few hundred short se
 decoded in Spark tasks, whole, with no shuffle.
 
 Defined cases: null or empty html, and pages without text or without an article block, give an empty text; broken markup
-is read as browsers do in the main (unclosed tags end with their parents); equal rows are extracted each; other columns
-are ignored.
+is read as browsers do in the main (unclosed tags end with their parents); very long and very deeply nested pages are read
+whole, at a cost that grows with their length; equal rows are extracted each; pages with equal hashes are drawn in order
+of their html, and of two equally likely label sequences the one with less text wins; an empty table gives no rows (the made pages are
+training enough); other columns are kept, and columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import schema_of, table
-from .html_blocks import Block, leaf_blocks
+from .html_blocks import LABEL_TAG, MARKS, Block, leaf_blocks
 from .html_pages import labelled_pages
 
 WIDTH = 1 << 13
 TRAIN_PAGES = 200
-MARKS = frozenset({"article", "main"})
-FURNITURE = frozenset("nav footer aside form header".split())
 
 
 def _number(name: str) -> int:
@@ -55,14 +55,12 @@ def block_features(blocks: list[Block], blind: bool = False) -> list[list[int]]:
     """Feature numbers of each block; blind leaves out the tags and marks that tell an article."""
     out = []
     for at, block in enumerate(blocks):
-        path = [(tag, marks) for tag, marks in block.path if tag != "main-part"]
-        if blind:
-            path = [(tag, ()) for tag, _ in path if tag not in MARKS]
         text, n = block.text, len(block.text)
-        names = {"bias", f"parent {path[-1][0] if path else ''}", f"length {int(math.log2(n))}"}
-        for tag, marks in path:
-            names.add(f"under {tag}")
-            names.update(f"mark {m}" for m in marks)
+        tags = block.tags - MARKS if blind else block.tags
+        names = {"bias", f"parent {(block.plain_parent if blind else block.parent) or ''}", f"length {int(math.log2(n))}"}
+        names.update(f"under {tag}" for tag in tags if tag != LABEL_TAG)
+        if not blind:
+            names.update(f"mark {m}" for m in block.marks)
         if block.link_chars * 2 > n:
             names.add("mostly links")
         elif block.link_chars:
@@ -72,17 +70,13 @@ def block_features(blocks: list[Block], blind: bool = False) -> list[list[int]]:
         if text.startswith("©") or "©" in text[:40]:
             names.add("copyright")
         names.add("first" if at == 0 else "last" if at == len(blocks) - 1 else "middle")
-        out.append([_feature(x) for x in names])
+        out.append([_feature(x) for x in sorted(names)])
     return out
 
 
-def page_labels(blocks: list[Block], marked: frozenset[str]) -> list[int] | None:
+def page_labels(blocks: list[Block]) -> list[int] | None:
     """1 for blocks under a marking tag and under no furniture inside it; None if no block is marked."""
-    labels = []
-    for block in blocks:
-        tags = [t for t, _ in block.path]
-        at = next((i for i, t in enumerate(tags) if t in marked), None)
-        labels.append(int(at is not None and not FURNITURE & set(tags[at:])))
+    labels = [int(block.in_mark and not block.in_furniture) for block in blocks]
     return labels if any(labels) else None
 
 
@@ -126,15 +120,16 @@ class Field:
             backward[t] = np.logaddexp(self.pair[:, 0] + onward[0], self.pair[:, 1] + onward[1])
         total = np.logaddexp(*forward[-1])
         belief = np.exp(forward + backward - total)
+        pairs = np.zeros((2, 2))
         for t in range(n):
             gap = -belief[t]
             gap[labels[t]] += 1
             self.unary[features[t]] += rate * gap
             if t:
                 both = np.exp(forward[t - 1][:, None] + self.pair + s[t] + backward[t] - total)
-                both = -both
-                both[labels[t - 1], labels[t]] += 1
-                self.pair += rate * 0.2 * both
+                pairs -= both
+                pairs[labels[t - 1], labels[t]] += 1
+        self.pair += rate * 0.2 * pairs
 
 
 def train_field(sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 6, rate: float = 0.1) -> Field:
@@ -147,25 +142,25 @@ def train_field(sequences: list[tuple[list[list[int]], list[int]]], rounds: int
     return field
 
 
-def _both_views(html: str, marked: frozenset[str]) -> list[tuple[list[list[int]], list[int]]]:
+def _both_views(html: str, made: bool = False) -> list[tuple[list[list[int]], list[int]]]:
+    """(features, labels) of a page, as it is and blind; made pages tell their article by a tag of its own."""
     blocks = leaf_blocks(html)
-    labels = page_labels(blocks, marked) if marked is MARKS else [int(any(t == "main-part" for t, _ in b.path)) for b in blocks]
+    labels = [int(LABEL_TAG in b.tags) for b in blocks] if made else page_labels(blocks)
     return [(block_features(blocks, blind), labels) for blind in (False, True)] if labels else []
 
 
 def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [x for html in batch.column(0).to_pylist() for x in _both_views(html or "", MARKS)]
+        found = [x for html in batch.column(0).to_pylist() for x in _both_views(html or "")]
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.list_(pa.int32()))), pa.array([y for _, y in found], pa.list_(pa.int32()))], names=["features", "labels"])
 
 
 def train(pages: DataFrame, url: str = "url", html: str = "html", train_pages: int = TRAIN_PAGES) -> Field:
-    sequences = [x for page in labelled_pages() for x in _both_views(page, frozenset())]
+    sequences = [x for page in labelled_pages() for x in _both_views(page, made=True)]
     marked = pages.filter(F.contains(F.col(html), F.lit("<article")) | F.contains(F.col(html), F.lit("<main")))
     hashed = F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.lit("train"))
-    total = marked.count()
-    draw = F.pmod(hashed, F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, 2 * train_pages / max(total, 1)))
-    sample = marked.filter(draw).select(F.col(html)).limit(train_pages)
+    # the pages with the smallest hashes: the same ones however the table is laid out
+    sample = marked.select(F.col(html)).orderBy(hashed, F.xxhash64(html)).limit(train_pages)
     sequences += [([list(f) for f in r.features], list(r.labels)) for r in sample.mapInArrow(_label_batches, "features array<array<int>>, labels array<int>").collect()]
     return train_field(sequences)
 

@@ -56,13 +56,14 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _suffix_ranks(lines: DataFrame, depths: int) -> DataFrame:
-    """Places of repeated lines with r0, r1, ...: their ranks by the first 1, 2, 4, ... lines, null where they are alone, and
-    f0, f1, ...: whether they are the first of their rank."""
+    """Places of repeated lines with their words; r0, r1, ...: their ranks by the first 1, 2, 4, ... lines, null where they are
+    alone; f0, f1, ...: whether they are the first of their rank."""
     spark = lines.sparkSession
-    prints = lines.select(*PLACE, F.xxhash64(F.lit(1), "line").alias("_h"), F.xxhash64(F.lit(2), "line").alias("_g"))
+    words = F.regexp_count("line", F.lit(WORD)).alias("words")
+    prints = lines.select(*PLACE, words, F.xxhash64(F.lit(1), "line").alias("_h"), F.xxhash64(F.lit(2), "line").alias("_g"))
     ranks = _ranked(prints, ["_h", "_g"])
     first = F.coalesce(F.struct(*PLACE) == F.col("_first"), F.lit(False))
-    known = materialize(prints.join(ranks, ["_h", "_g"]).select(*PLACE, F.col("_new").alias("r0"), first.alias("f0")))
+    known = materialize(prints.join(ranks, ["_h", "_g"]).select(*PLACE, "words", F.col("_new").alias("r0"), first.alias("f0")))
     discard(spark, ranks)
     for j in range(1, depths):
         on = W.partitionBy("_row").orderBy("_at").rangeBetween(1 << (j - 1), 1 << (j - 1))
@@ -75,8 +76,8 @@ def _suffix_ranks(lines: DataFrame, depths: int) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_row, _at, length, source): of every place with an earlier copy, the longest run of lines that also starts earlier, up to
-    min_words of them at least, and the first place that it starts at.
+    """(_row, _at, length, words, source): of every place with an earlier copy, the longest run of lines that also starts earlier, up
+    to min_words of them at least, its words (of its first min_words lines) and the first place that it starts at.
 
     lines has _id, _row, _at and line, one row a line with a word; earlier means a smaller (_id, _row, _at).
     """
@@ -87,9 +88,10 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # the ranks that the rounds below look up: by 2**k lines, from a common length on that the powers above k add up to
     order = W.partitionBy("_row").orderBy("_at")
     sought = {(k, length): f"s{k}_{length}" for k in range(top) for length in range(2 << k, min_words, 2 << k)}
-    looked = known.select("*", *[F.first(f"r{k}").over(order.rangeBetween(length, length)).alias(name) for (k, length), name in sought.items()])
+    ahead = F.collect_list("words").over(order.rangeBetween(0, min_words - 1)).alias("ahead")
+    looked = known.select("*", ahead, *[F.first(f"r{k}").over(order.rangeBetween(length, length)).alias(name) for (k, length), name in sought.items()])
     # intervals by depth: a suffix is in the deepest one it shares with another, and the first one of a deeper one also in that above
-    kept = ["length", "a", "b", *PLACE, *sought.values()]
+    kept = ["length", "a", "b", *PLACE, "ahead", *sought.values()]
     member = [F.when(F.col(f"r{j}").isNotNull() & (F.lit(True) if j == top else F.col(f"r{j + 1}").isNull() | F.col(f"f{j + 1}")), F.lit(1 << j)) for j in range(depths)]
     spread = looked.withColumn("length", F.explode(F.array_compact(F.array(*member))))
     own = F.coalesce(*[F.when(F.col("length") == 1 << j, F.col(f"r{j}")) for j in range(depths)])
@@ -107,11 +109,13 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         here = F.struct("length", "a", "b")
         stays = F.when(F.col("_first").isNull() | (F.struct(*PLACE) == F.col("_first")), here)
         both = split.withColumn("_to", F.explode(F.array_compact(F.array(F.when(F.col("_first").isNotNull(), into), stays))))
-        previous, entries = entries, materialize(both.select("_to.length", "_to.a", "_to.b", *PLACE, *sought.values()))
+        previous, entries = entries, materialize(both.select("_to.length", "_to.a", "_to.b", *PLACE, "ahead", *sought.values()))
         discard(spark, previous)
     firsts = entries.groupBy("length", "a", "b").agg(F.count("*").alias("_n"), F.min(F.struct(*PLACE)).alias("source")).filter("_n > 1").drop("_n")
     found = entries.join(firsts, ["length", "a", "b"]).filter(F.struct(*PLACE) > F.col("source"))
-    out = materialize(found.select("_row", "_at", "length", "source"))
+    # all lines of a run are repeated ones, so the words ahead of its start are those of its own lines
+    words = F.aggregate(F.slice("ahead", F.lit(1), F.col("length")), F.lit(0), lambda s, n: s + n).alias("words")
+    out = materialize(found.select("_row", "_at", "length", words, "source"))
     discard(spark, entries)
     return out
 
@@ -123,17 +127,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs, keep).alias("_doc")))
     body = F.col("_doc")[text]
     lines = rows.select(F.col("_doc")[doc_id].alias("_id"), "_row", F.posexplode(_said(body)).alias("_at", "_line")).select("_id", "_row", "_at", F.col("_line.line").alias("line"))
-    runs = repeated_runs(lines, min_words).groupBy("_row").agg(F.collect_list(F.struct("_at", "length")).alias("_runs"))
-    joined = rows.join(runs, "_row", "left").withColumn("_said", _said(body)).withColumn("_all", F.split(body, "\n", -1))
-    # a run of min_words lines has the words; of shorter ones they are counted
-    words = F.when(F.col("_runs").isNotNull(), F.transform("_said", lambda x: F.regexp_count(x["line"], F.lit(WORD))))
-    counted = joined.withColumn("_words", words)
-    enough = lambda x: (x["length"] >= min_words) | (F.aggregate(F.slice("_words", x["_at"] + 1, x["length"]), F.lit(0), lambda s, n: s + n) >= min_words)
-    gone = F.array_distinct(F.flatten(F.transform(F.filter("_runs", enough), lambda x: F.sequence(x["_at"], x["_at"] + x["length"] - 1))))
+    runs = repeated_runs(lines, min_words).filter(F.col("words") >= min_words).groupBy("_row").agg(F.collect_list(F.struct("_at", "length")).alias("_runs"))
+    gone = runs.select("_row", F.array_distinct(F.flatten(F.transform("_runs", lambda x: F.sequence(x["_at"], x["_at"] + x["length"] - 1)))).alias("_gone"))
     # the deleted lines as runs from a to b
     opens = F.array_sort(F.array_except("_gone", F.transform("_gone", lambda x: x + 1)))
     ends = F.array_sort(F.array_except(F.transform("_gone", lambda x: x + 1), F.col("_gone")))
-    cut = counted.withColumn("_gone", F.when(F.size("_runs") > 0, gone)).withColumn("_cut", F.when(F.size("_gone") > 0, F.arrays_zip(opens.alias("a"), ends.alias("b"))))
+    cuts = materialize(gone.select("_row", F.size("_gone").alias("_removed"), F.arrays_zip(opens.alias("a"), ends.alias("b")).alias("_cut")))
+    cut = rows.join(cuts, "_row", "left").withColumn("_said", _said(body)).withColumn("_all", F.split(body, "\n", -1))
     # what is kept lies between them: from the line after each run's last to the next one's first
     after = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda x: F.element_at("_said", x["b"])["i"] + 1))
     until = F.concat(F.transform("_cut", lambda x: F.element_at("_said", x["a"] + 1)["i"]), F.array(F.size("_all")))
@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     left = F.array_join(F.flatten(F.transform(parts, lambda x: F.slice("_all", x["a"] + 1, x["b"] - x["a"]))), "\n")
     columns = [(F.when(F.col("_cut").isNull(), body).otherwise(left) if c == text else F.col("_doc")[c]).alias(c) for c in keep]
     count = F.when(body.isNull(), 0).otherwise(F.size("_said"))
-    removed = F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_gone"))
+    removed = F.coalesce("_removed", F.lit(0))
     return cut.select(*columns, count.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long").alias("n_runs"))
 
 

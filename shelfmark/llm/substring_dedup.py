@@ -4,8 +4,11 @@ Words are cut by white space and left as they are. Every window of `k` words tra
 the same minimiser, to a bucket, where all windows are hashed (128 bits), sorted and counted with the number of places
 of their runs. A window with two or more places is repeated, and every word that a repeated window covers is removed, at every place.
 
-Defined cases: null text has no words; a text shorter than k words has no window and keeps all; repeats inside one
-document count; equal rows repeat each other; other columns are kept as they are.
+Rows are known by 128 bits of their id and text.
+
+Defined cases: null text has no words; a text shorter than k words has no window and keeps all; very long texts are cut into
+runs like others; repeats inside one document count; equal rows repeat each other, so there is no tie to break; an empty table
+gives no rows; other columns are kept, and columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from .common import packed, row_key, schema_of, table
 from .superkmers import Scheme, bucket_runs, open_runs, stretches
 
 K_WORDS, M_WORDS = 35, 3
-CUTS = "key long, a int, b int"
+CUTS = "key long, id long, a int, b int"
 
 
 def _second(buf: np.ndarray) -> np.ndarray:
@@ -67,13 +70,13 @@ def spread(runs, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
     at = np.repeat(np.arange(len(row)), times)
     place = np.repeat(upto[row] - (np.cumsum(times) - times), times) + np.arange(len(at))
     start = runs.starts[place]
-    return pa.table({"key": pa.array(runs.keys[place]), "a": pa.array((start + a[at]).astype(np.int32)), "b": pa.array((start + b[at]).astype(np.int32))})
+    return pa.table({"key": pa.array(runs.keys[place]), "id": pa.array(runs.ids[place]), "a": pa.array((start + a[at]).astype(np.int32)), "b": pa.array((start + b[at]).astype(np.int32))})
 
 
 def join_cuts(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """docs(key, ...) with _cuts, the distinct (a, b) of each key, or null."""
-    merged = cuts.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("_cuts"))
-    return docs.join(merged, "key", "left")
+    """docs(key, id, ...) with _cuts, the distinct (a, b) of each key and id, or null."""
+    merged = cuts.groupBy("key", "id").agg(F.collect_set(F.struct("a", "b")).alias("_cuts"))
+    return docs.join(merged, ["key", "id"], "left")
 
 
 def cut_places(cuts: pa.StructScalar | None, n: int) -> np.ndarray:
@@ -109,9 +112,9 @@ def _finish(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.R
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K_WORDS, m: int = M_WORDS) -> DataFrame:
     """docs without the text, with n_words, n_removed, kept_text and kept_sha256 in place of columns of these names."""
     keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_text", "kept_sha256")]
-    keyed = docs.select(row_key(doc_id, text).alias("key"), F.lit(0).cast("long").alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
+    keyed = docs.select(row_key(doc_id, text).alias("key"), row_key(doc_id, text, 2).alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
     cuts = bucket_runs(keyed.select("key", "id", "text"), Scheme(True, k, min(m, k))).groupBy("bucket").applyInArrow(_count_windows(k), CUTS)
-    joined = join_cuts(keyed.select("key", "_doc", "text"), cuts)
+    joined = join_cuts(keyed.select("key", "id", "_doc", "text"), cuts)
     fields = schema_of(docs, keep, "n_words long, n_removed long, kept_text string, kept_sha256 string")
     return joined.select(*[F.col("_doc")[c].alias(c) for c in keep], F.col("text").alias("__text__"), F.col("_cuts").alias("__cuts__")).mapInArrow(lambda batches: _finish(batches, keep), fields)
 

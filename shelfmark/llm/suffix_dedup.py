@@ -10,8 +10,12 @@ so there are logarithmically many levels and a suffix is moved logarithmically o
 hash is alone in the bucket have no match and stay out. A byte is removed if a window over it also starts in a document with a
 smaller id; windows are judged on the input, not on what is left.
 
-Defined cases: null text counts as empty; a text shorter than k bytes keeps all; repeats inside one document and in rows of
-equal id are not removed; rows with a null id neither lose bytes nor make others lose any; other columns are kept as they are.
+Rows are known by their id and 64 bits of id and text.
+
+Defined cases: null text counts as empty; a text shorter than k bytes keeps all; very long texts are read in blocks and cut into
+runs like others; repeats inside one document and in rows of equal id (ties) are not removed, and repeated rows lose the same
+bytes; ids are cast to long, and rows whose id is null or no whole number neither lose bytes nor make others lose any; an empty
+table gives no rows; other columns are kept, and columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -23,13 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import packed, row_key, schema_of, table
+from .common import chunk_bytes, packed, row_key, schema_of, table
 from .substring_dedup import CUTS
 from .superkmers import SEEDS, WIRE, Scheme, Sender, chosen_seeds, open_runs, pack_seeds, plan, repeated_seeds, seeds_of, stretches
 
+#: Bytes of a match, bytes of a minimiser, suffixes of a batch.
 K_BYTES, M_BYTES, BATCH = 50, 16, 1 << 15
-#: Text of a chunk of documents, and text whose minimisers go to one bucket.
-CHUNK_BYTES, SEED_BUCKET_BYTES = 8 << 20, 8 << 20
 
 
 class IndexFamily:
@@ -47,24 +50,31 @@ class IndexFamily:
         keys, least = ranked[new], docs[order][new]
         fresh = np.ones(len(keys), bool)
         for level, first in self.levels:
-            at = np.searchsorted(level, keys)
-            at[at == len(level)] = 0
-            found = level[at] == keys
-            least = np.where(found, np.minimum(least, first[at]), least)
-            fresh &= ~found
+            # both are sorted: merged, a match is two neighbours, the level's first
+            both, at = _merged(level, keys)
+            same = np.flatnonzero(both[1:] == both[:-1])
+            found = at[same + 1] - len(level)
+            least[found] = np.minimum(least[found], first[at[same]])
+            fresh[found] = False
         if fresh.any():
             self.levels.append((keys[fresh], least[fresh]))
             while len(self.levels) > 1 and len(self.levels[-2][0]) <= len(self.levels[-1][0]):
                 (a, da), (b, db) = self.levels.pop(), self.levels.pop()
-                both = np.concatenate([b, a])
-                merged = np.argsort(both, kind="stable")
-                self.levels.append((both[merged], np.concatenate([db, da])[merged]))
+                both, at = _merged(b, a)
+                self.levels.append((both, np.concatenate([db, da])[at]))
         out = np.empty(len(suffixes), np.int64)
         out[order] = least[np.cumsum(new) - 1]
         return out
 
 
-def _scan(k: int):
+def _merged(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted arrays as one, and where each entry was in their concatenation; the sort finds the two runs and merges them."""
+    both = np.concatenate([one, two])
+    at = np.argsort(both, kind="stable")
+    return both[at], at
+
+
+def _scan(k: int, batch: int):
     def run(part: pa.Table) -> pa.Table:
         runs = open_runs(part)
         upto = np.concatenate([[0], np.cumsum(runs.times)])
@@ -85,8 +95,8 @@ def _scan(k: int):
         by_doc = np.argsort(first, kind="stable")
         family, windows = IndexFamily(), np.lib.stride_tricks.sliding_window_view(runs.data, k)
         flags = np.zeros(limits[-1], bool)
-        for at in range(0, len(by_doc), BATCH):
-            pick = by_doc[at : at + BATCH]
+        for at in range(0, len(by_doc), batch):
+            pick = by_doc[at : at + batch]
             place = runs.bounds[of[pick]] + maybe[pick] - limits[of[pick]]
             suffixes = np.ascontiguousarray(windows[place]).view(f"S{k}").ravel()
             flags[maybe[pick]] = family.add(suffixes, first[pick]) < first[pick]
@@ -102,6 +112,7 @@ def _scan(k: int):
         length = np.repeat(np.diff(runs.bounds), runs.times)[other]
         return pa.table({
             "key": pa.array(np.concatenate([runs.keys[place], runs.keys[other]])),
+            "id": pa.array(np.concatenate([runs.ids[place], runs.ids[other]])),
             "a": pa.array(np.concatenate([runs.starts[place] + a[cut], runs.starts[other]]).astype(np.int32)),
             "b": pa.array(np.concatenate([runs.starts[place] + b[cut] - 1 + k, runs.starts[other] + length]).astype(np.int32)),
         })
@@ -132,14 +143,15 @@ def _finish(keep: list[str], with_bytes: bool):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_bytes]
 
     def run(part: pa.Table, cuts: pa.Table) -> pa.Table:
-        cuts = cuts.group_by(["key", "a", "b"]).aggregate([]).sort_by("key")  # equal rows have sent the same
-        owner, a, b = (cuts.column(c).to_numpy() for c in ("key", "a", "b"))
-        keys = part.column("key").to_numpy()
-        upper, lower = np.searchsorted(owner, keys, "right"), np.searchsorted(owner, keys, "left")
+        cuts = cuts.group_by(["key", "id", "a", "b"]).aggregate([]).sort_by([("key", "ascending"), ("id", "ascending")])  # equal rows have sent the same
+        key, owner, a, b = (cuts.column(c).to_numpy() for c in ("key", "id", "a", "b"))
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]), [True]])) if len(key) else np.zeros(0, int)
+        at_rows = {(int(key[i]), int(owner[i])): slice(i, j) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+        names_of = list(zip(part.column("key").to_pylist(), part.column("id").to_pylist(), strict=True))
         rows: list[tuple] = []
         for low, _, buf, bounds in B.text_blocks(part.column("text")):
             for i in range(len(bounds) - 1):
-                text, at = buf[bounds[i] : bounds[i + 1]], slice(lower[low + i], upper[low + i])
+                text, at = buf[bounds[i] : bounds[i + 1]], at_rows.get(names_of[low + i], slice(0, 0))
                 edge = np.zeros(len(text) + 1, np.int64)
                 np.add.at(edge, a[at], 1)
                 np.subtract.at(edge, b[at], 1)
@@ -153,24 +165,24 @@ def _finish(keep: list[str], with_bytes: bool):
     return run
 
 
-def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K_BYTES, m: int = M_BYTES, with_bytes: bool = True) -> DataFrame:
+def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K_BYTES, m: int = M_BYTES, batch: int = BATCH, with_bytes: bool = True) -> DataFrame:
     """docs without the text, with n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept_bytes (a cut may fall inside a character)."""
     made = (text, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
     keep = [c for c in docs.columns if c not in made]
     scheme = Scheme(False, k, min(m, k))
     keyed = docs.select(row_key(doc_id, text).alias("key"), docs[doc_id].cast("long").alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
     total, _, hot = plan(keyed.select("key", "text"), scheme)
-    chunks = max(4, total // CHUNK_BYTES)
+    chunks = max(4, total // chunk_bytes(total))
     chunk = F.pmod(F.xxhash64("key", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk")
     # the texts are shuffled once: all three readers take the same exchange
     dealt = keyed.select(chunk, "key", "id", "_doc", "text").repartition(chunks, "chunk")
-    seed_buckets = max(8, total // SEED_BUCKET_BYTES)
+    seed_buckets = max(8, total // chunk_bytes(total))
     seeds = dealt.groupBy("chunk").applyInArrow(_seeds(scheme, seed_buckets), SEEDS)
     replies = seeds.repartition(max(4, seed_buckets // 2), "bucket").groupBy("bucket").applyInArrow(repeated_seeds, SEEDS)
     runs = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_candidate_runs(scheme, seed_buckets, hot), WIRE)
-    cuts = runs.repartition(max(4, seed_buckets // 2), "bucket").groupBy("bucket").applyInArrow(_scan(k), CUTS)
+    cuts = runs.repartition(max(4, seed_buckets // 2), "bucket").groupBy("bucket").applyInArrow(_scan(k, batch), CUTS)
     fields = schema_of(docs, keep, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_bytes)
-    return dealt.groupBy("chunk").cogroup(cuts.select(chunk, "key", "a", "b").groupBy("chunk")).applyInArrow(_finish(keep, with_bytes), fields)
+    return dealt.groupBy("chunk").cogroup(cuts.select(chunk, "key", "id", "a", "b").groupBy("chunk")).applyInArrow(_finish(keep, with_bytes), fields)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """URL filters: host-suffix and path-prefix expressions, hash-prefix join, digest check, rule precedence.
 
 A rule is (host, path, verdict). It fits its host and all subdomains of it, if the URL's path starts with the
-rule's path. Each URL is expanded into the expressions host suffix + path prefix. Only suffixes at label bounds and
-prefixes of lengths that some rule's path has are made, so the number of expressions of a URL is its number of
-labels times the number of distinct rule path lengths. The expressions join the rules on the first 32 bits of their SHA-256
+rule's path. Each URL is expanded into the expressions host suffix + path prefix. Only suffixes of as many labels and
+prefixes of as many characters as some rule has are made, so the number of expressions of a URL, however long, is
+bounded by the numbers of distinct rule label counts and path lengths. The expressions join the rules on the first 32 bits of their SHA-256
 (sorted and compact to ship), and a candidate counts only if all 256 bits agree. The longest fitting rule wins
 (ties: the longer host, then `block` before `allow`).
 
 Defined cases: a null URL or one without `://` has empty host and path, no expressions, a null rule and the default
-verdict; equal rows are judged each; other columns are ignored; an empty rule set leaves the default for all.
+verdict; very long URLs are judged whole; equal rows are judged each; an empty rule set leaves the default for all; an empty
+table gives no rows; other columns are kept, and columns with the names of results are replaced. A rule with a null host or path fits nothing.
 """
 
 from __future__ import annotations
@@ -46,16 +47,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     by shuffling both sides on the hash prefix.
     """
     keep = pages.columns
-    lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().collect()]
+    rules = rules.filter("rule_host is not null and rule_path is not null")
+    sizes = rules.agg(F.collect_set(F.size(F.split("rule_host", r"\."))), F.collect_set(F.length("rule_path"))).first()
+    counts, lengths = (sorted(x) for x in sizes)
     rules = rules.select(
         "rule_host", "rule_path", "rule_verdict", _digest(F.col("rule_host"), F.col("rule_path")).alias("_digest")
     ).withColumn("_prefix", F.substring("_digest", 1, 8))
     if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:
         rules = F.broadcast(rules)
     base = pages.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[pages[c] for c in keep]).alias("_page"), host_of(pages[url]).alias("_host"), path_of(pages[url]).alias("_path"))
-    labels = F.split("_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    wanted = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("_path"))
+    suffixes = F.array(*[F.substring_index("_host", ".", -n) for n in counts]).cast("array<string>")
+    wanted = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("_path"))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(wanted, lambda n: _digest(h, F.substring(F.col("_path"), F.lit(1), n)))))
     found = base.select("*", F.explode_outer(F.when(F.col("_host") != "", F.array_distinct(expressions))).alias("_expression"))
     joined = found.join(rules, (F.substring("_expression", 1, 8) == F.col("_prefix")) & (F.col("_expression") == F.col("_digest")), "left")

@@ -88,6 +88,31 @@ def test_ngram_join_links_through_others_and_at_the_threshold(spark):
     assert got(ngram_join.similar_groups(frame(spark, rows)), "n_shingles", "component_id") == want(plain.groups(rows), rows)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 100])
+def test_index_family_against_a_dictionary(size):
+    """Batches of any size give every suffix its smallest document so far; levels are sorted, disjoint and fall geometrically."""
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    family, first = suffix_dedup.IndexFamily(), {}
+    docs = np.sort(rng.integers(0, 80, 300))
+    suffixes = np.array([bytes(rng.integers(97, 100, 4).tolist()) for _ in docs], "S4")
+    for at in range(0, len(docs), size):
+        mine, who = suffixes[at : at + size], docs[at : at + size]
+        for s, d in zip(mine.tolist(), who.tolist(), strict=True):
+            first[s] = min(first.get(s, d), d)
+        assert family.add(mine, who).tolist() == [first[s] for s in mine.tolist()]
+        sizes = [len(level) for level, _ in family.levels]
+        assert all(a > b for a, b in zip(sizes, sizes[1:], strict=False)) and sum(sizes) == len(first)
+        assert all((level[1:] > level[:-1]).all() for level, _ in family.levels)
+    assert {s: d for level, least in family.levels for s, d in zip(level.tolist(), least.tolist(), strict=True)} == first
+
+
+def test_suffix_dedup_is_the_same_for_any_batch(spark):
+    df = suffix_dedup.remove_earlier(frame(spark), batch=5)
+    assert got(df, "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(plain.earlier(ROWS), ROWS)
+
+
 def test_decontamination(spark):
     items = [(1, BODY[:200]), (2, BODY[:200]), (3, "A b, c!"), (4, None), (5, ""), (None, "other"), (7, "nowhere at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -203,6 +228,66 @@ def test_urls(spark):
     assert url_filters.filter_urls(pages, url_filters.rules_frame(spark, [("a", "/", "block")]).limit(0)).filter("rule is not null").count() == 0
 
 
+def test_long_hosts_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    urls = [f"http://{'a.' * 16000}example.org/es/x", "http://" + "b" * 5000 + ".com/de/" + "p" * 100_000, "http://x.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").select("*", *[F.lit(1).alias(c) for c in ("host", "path", "rule", "verdict", "_row", "_host", "rule_path", "_digest")])
+    rows = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(pages, url_filters.rules_frame(spark, url_filters.RULES)).collect()}
+    assert rows == {0: ("example.org/es/", "block"), 1: ("com/de/", "block"), 2: (None, "allow")}
+    texts = [(i, ("the cat sat on the mat " if i % 2 else "die katze sitzt auf der matte ") * 3, "en" if i % 2 else "de") for i in range(40)]
+    labelled = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.train(labelled)
+    clash = labelled.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("lang_pred", "score", "ambiguous", "margin")])
+    told = language_id.identify(clash, model)
+    assert len(set(told.columns)) == len(told.columns) and {(r.doc_id % 2, r.lang_pred) for r in told.collect()} == {(1, "en"), (0, "de")}
+
+
+def test_deep_and_wide_pages_and_clashing_columns(spark):
+    """Nesting of any depth is read whole, in time that grows with the length; the sample does not depend on the layout."""
+    from pyspark.sql import functions as F
+
+    deep = "<article>" + "<div>" * 20_000 + "<p>Words in the deep.</p>"
+    wide = "<article>" + "".join(f"<p>Sentence {i} of the text.</p>" for i in range(5000)) + "</article>"
+    marks = "".join(f'<div class="c{i}">' for i in range(3000)) + "<article><p>Under many marks.</p></article>"
+    pages = [(i, f"http://x/{i % 3}", h) for i, h in enumerate([deep, wide, marks] + [f"<nav>menu</nav><article><p>Body {i}.</p></article><footer>end</footer>" for i in range(30)])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    one = html_extraction.train(df, train_pages=12)
+    other = html_extraction.train(df.repartition(7, "page_id"), train_pages=12)
+    assert (one.unary == other.unary).all() and (one.pair == other.pair).all()
+    out = html_extraction.extract(df.select("*", F.lit(0).alias("text"), F.lit(0).alias("n_chars")), one)
+    texts = {r.page_id: r.text for r in out.select("page_id", "text").collect()}
+    assert texts[0] == "Words in the deep." and texts[2] == "Under many marks." and texts[1].count("Sentence") == 5000
+
+
+def test_viterbi_and_gradient_against_all_label_sequences():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5):
+        field = html_extraction.Field()
+        field.unary[:6] = rng.normal(size=(6, 2))
+        field.pair = rng.normal(size=(2, 2))
+        features = [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(n)]
+        score = lambda y, f=field, x=features: sum(f.unary[x[t], y[t]].sum() for t in range(len(y))) + sum(f.pair[y[t - 1], y[t]] for t in range(1, len(y)))
+        every = list(itertools.product((0, 1), repeat=n))
+        assert tuple(field.decode(features)) == max(every, key=score)
+        gold = [int(x) for x in rng.integers(0, 2, n)]
+        weights = np.exp([score(y) for y in every])
+        weights /= weights.sum()
+        want_unary, want_pair = np.zeros((6, 2)), np.zeros((2, 2))
+        for y, w in [(gold, 1.0), *((y, -w) for y, w in zip(every, weights, strict=True))]:
+            for t in range(n):
+                want_unary[features[t], y[t]] += w
+                if t:
+                    want_pair[y[t - 1], y[t]] += w
+        before = field.unary.copy(), field.pair.copy()
+        field.step(features, gold, 0.01)
+        assert np.allclose((field.unary - before[0])[:6], 0.01 * want_unary) and np.allclose(field.pair - before[1], 0.002 * want_pair)
+
+
 def test_html(spark):
     pages = [
         ("<html><body><nav><ul><li><a href='/'>Home</a></ul></nav><main><h1>Title &amp; more</h1><p>First para.<p>Second  <b>bold</b>text.</main><div class='comments'><p>Nice one.</p></div><footer>&copy; x</footer>", "Title & more First para. Second boldtext."),
