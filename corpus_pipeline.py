@@ -41,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = dedup_lines(docs).filter("n_lines = 0 or n_removed < n_lines")
+    cut = dedup_lines(docs).filter("n_removed = 0 or n_removed < n_lines")
     changed = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumn("n_chars", changed).select(*docs.columns)
 
