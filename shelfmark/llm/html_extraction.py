@@ -129,7 +129,8 @@ class Field:
                 both = np.exp(forward[t - 1][:, None] + self.pair + s[t] + backward[t] - total)
                 pairs -= both
                 pairs[labels[t - 1], labels[t]] += 1
-        self.pair += rate * 0.2 * pairs
+        change = rate * 0.2 * pairs
+        self.pair += change / max(1.0, float(np.abs(change).max()))  # a very long page is one step like others
 
 
 def train_field(sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 6, rate: float = 0.1) -> Field:
@@ -142,21 +143,21 @@ def train_field(sequences: list[tuple[list[list[int]], list[int]]], rounds: int
     return field
 
 
-def _both_views(html: str, made: bool = False) -> list[tuple[list[list[int]], list[int]]]:
-    """(features, labels) of a page, as it is and blind; made pages tell their article by a tag of its own."""
+def _both_views(html: str, marked: frozenset[str]) -> list[tuple[list[list[int]], list[int]]]:
+    """(features, labels) of a page, as it is and blind; made pages, of which no tag marks the article, tell it by a tag of its own."""
     blocks = leaf_blocks(html)
-    labels = [int(LABEL_TAG in b.tags) for b in blocks] if made else page_labels(blocks)
+    labels = page_labels(blocks) if marked else [int(LABEL_TAG in b.tags) for b in blocks]
     return [(block_features(blocks, blind), labels) for blind in (False, True)] if labels else []
 
 
 def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [x for html in batch.column(0).to_pylist() for x in _both_views(html or "")]
+        found = [x for html in batch.column(0).to_pylist() for x in _both_views(html or "", MARKS)]
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.list_(pa.int32()))), pa.array([y for _, y in found], pa.list_(pa.int32()))], names=["features", "labels"])
 
 
 def train(pages: DataFrame, url: str = "url", html: str = "html", train_pages: int = TRAIN_PAGES) -> Field:
-    sequences = [x for page in labelled_pages() for x in _both_views(page, made=True)]
+    sequences = [x for page in labelled_pages() for x in _both_views(page, frozenset())]
     marked = pages.filter(F.contains(F.col(html), F.lit("<article")) | F.contains(F.col(html), F.lit("<main")))
     hashed = F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.lit("train"))
     # the pages with the smallest hashes: the same ones however the table is laid out
