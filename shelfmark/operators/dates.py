@@ -8,7 +8,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPROCESS_DAYS = 28
+#: Days that a run rebuilds before its own, and days that the comparison with the raw layer looks back.
+REPROCESS_DAYS, COMPARE_DAYS = 28, 30
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ from ..operators import digest, scd2
 from ..operators.dates import DateWindow
 from ..operators.grain import bounds, dense_spine
 from ..sources import star_schema as star
+from ..sources import store
 from . import gates, layers, marts
 
 RUN_DATE = date(1997, 6, 30)
@@ -80,13 +81,16 @@ class Star:
 
     @property
     def versions(self) -> DataFrame:
-        """Three snapshots: returns known by then; the first one was taken before every 211th order's lines came in."""
+        """Three snapshots: returns known by then; the first one was taken before every 211th order's lines came in.
+
+        All read the same deduplicated lines and orders, which are kept while the session can hold them."""
         keys, checked = ["store_id", "order_date"], ["orders_count", "revenue_gross", "returns_amount", "revenue_net"]
-        found = None
+        found, items, orders = None, self.items.persist(), self.orders.persist()
+        all_lines, all_returns, spine = layers.order_lines(items, orders), layers.returns_attributed(layers.stage_returns(star.returns(items)), orders), self.spine
         for i, at in enumerate(AS_OF):
-            lines = self.lines.filter("order_id % 211 <> 0") if i == 0 else self.lines
-            known = self.returns.filter(F.col("returned_date") <= F.lit(at.date()))
-            mart = marts.sales(self.spine, self.orders, lines, known).select(*keys, *checked)
+            lines = all_lines.filter("order_id % 211 <> 0") if i == 0 else all_lines
+            known = all_returns.filter(F.col("returned_date") <= F.lit(at.date()))
+            mart = marts.sales(spine, orders, lines, known).select(*keys, *checked)
             found = scd2.first_snapshot(mart, keys, at) if found is None else scd2.snapshot(found, mart, keys, checked, at)
         return found
 
@@ -118,7 +122,33 @@ def _forced_orphans(s: Star) -> DataFrame:
 def _line_out() -> list:
     return ["order_id", "line_no", "order_date", "store_id", "channel", "is_cancelled", "is_offline", "sku", "quantity", cents("unit_price"), cents("line_amount"), "source_copies"]
 
+
+def _rewritten(s: Star) -> DataFrame:
+    """Lines landed by month, one month of them replaced, some keys replaced and some rows deleted, then read back."""
+    folder = store.scratch(s.spark, "lines")
+    lines = s.items.select("order_id", "line_no", "order_date", "quantity", "line_amount", F.trunc("order_date", "month").alias("month"))
+    store.reload(lines, folder, "month")
+    june = date(1997, 6, 1)
+    store.replace_dates(lines.filter(F.col("month") == F.lit(june)).filter("order_id % 5 <> 0"), folder, "month", [june])
+    store.replace_keys(s.spark.read.parquet(folder).filter("order_date >= '1998-06-01' and order_id % 7 = 0").withColumn("quantity", F.col("quantity") + 100), folder, ["order_id", "line_no"], "month")
+    store.delete_where(s.spark, folder, F.col("order_date").between("1996-01-01", "1996-01-31") & (F.col("quantity") > 40), "month")
+    return s.spark.read.parquet(folder).groupBy("order_date").agg(F.count("*").alias("n_lines"), F.sum("quantity").alias("units"), F.sum(cents("line_amount")).alias("amount"))
+
+
+def _gate_suite(s: Star) -> DataFrame:
+    """The declared generic gates of the layers that the star schema has, with the rows that break each."""
+    orders, returns = s.orders, s.returns
+    return gates.count_declared({
+        "stg_stores": star.stores(s.spark, s.dir), "stg_orders": orders, "stg_order_items": s.items, "stg_returns": layers.stage_returns(star.returns(s.items)),
+        "stg_cancellations": layers.stage_cancellations(star.cancellations(s.raw_orders)), "order_lines": _forced_orphans(s), "returns": returns, "spine": s.spine, "sales": s.sales(),
+    })
+
+
 _BUILDERS = {
+    "sinks_rewritten": _rewritten,
+    "gate_suite": _gate_suite,
+    "flags_with_conversion": lambda s: s.flags.join(s.conversion().withColumnRenamed("traffic_date", "flag_date"), ["store_id", "flag_date"]).select("store_id", "flag_date", "check_name", "visitors", "orders_offline", F.round(100 * F.col("conversion"), 4).alias("conversion_percent")),
+    "conversion_spread": lambda s: s.conversion().agg(*[F.round(f(F.when(F.col("has_orders") & F.col("has_traffic"), F.col("orders_offline"))), 4).alias(n) for n, f in (("mean_orders", F.avg), ("most_orders", F.max))], F.count("conversion").alias("n_ratios")),
     "dedup_grain": lambda s: s.items.select("order_id", "order_date", "line_no", "sku", "quantity", cents("unit_price"), cents("line_amount"), "source_copies"),
     "order_lines_left": lambda s: _forced_orphans(s).select(*_line_out()),
     "order_lines_one_day": lambda s: layers.order_lines(s.items, s.orders, DateWindow(RUN_DATE, RUN_DATE)).select(*_line_out()),
@@ -272,6 +302,29 @@ _LINE_COLUMNS = "order_id, line_no, order_date, store_id, channel, is_cancelled,
 _TEXT = "CASE WHEN {0} IS NULL THEN '~' ELSE '=' || CAST({0} AS VARCHAR) END"
 _MART_COLUMNS = ["store_id", "order_date", "has_orders", "orders_count", "orders_cancelled_count", "lines_count", "units_sold", "revenue_gross", "returns_amount", "returns_arrived_amount", "revenue_net"]
 
+#: SQL names of the layers that gate_suite looks at
+_LAYERS = {
+    "stg_stores": "(SELECT CAST(r_regionkey AS INTEGER) AS store_id, DATE '1995-01-01' + CAST(100 * r_regionkey AS INTEGER) AS opened_on FROM region)",
+    "stg_orders": "(SELECT *, CASE WHEN is_cancelled THEN 'cancelled' ELSE 'placed' END AS status FROM s_orders)", "stg_order_items": "s_items", "stg_returns": "i_returns",
+    "stg_cancellations": "(SELECT order_id AS cancellation_id, order_id, order_date + CAST(order_id % 3 AS INTEGER) AS cancelled_date, 'changed mind' AS reason FROM s_orders WHERE (is_cancelled AND order_id % 41 <> 0) OR (NOT is_cancelled AND order_id % 97 = 0))",
+    "order_lines": "(SELECT i.*, o.store_id, o.is_cancelled FROM s_items i LEFT JOIN (SELECT * FROM s_orders WHERE order_id % 97 <> 0) o ON i.order_id = o.order_id)",
+    "returns": "i_returns", "spine": "spine", "sales": "mart",
+}
+
+
+def _gate_suite_sql() -> str:
+    parts = []
+    for table, rows in _LAYERS.items():
+        shape = gates.DECLARED[table]
+        wrong = [(f"{table}.{c} not_null", f"{c} IS NULL") for c in shape.not_null] + [(f"{table}.{c} not_negative", f"{c} < 0") for c in shape.not_negative]
+        wrong += [(f"{table}.{c} accepted_values", f"{c} NOT IN ({', '.join(map(repr, v))})") for c, v in shape.values.items()]
+        parts += [f"SELECT '{name}' AS gate, count(*) AS n_rows FROM {rows} x WHERE {condition}" for name, condition in wrong]
+        grains = [(f"{table}.{c} unique", c) for c in shape.unique] + [(f"{table} unique_grain", ", ".join(shape.grain))] * bool(shape.grain)
+        parts += [f"SELECT '{name}', count(*) FROM (SELECT {keys} FROM {rows} x GROUP BY {keys} HAVING count(*) > 1)" for name, keys in grains]
+        parts += [f"SELECT '{table}.{c} relationship', count(*) FROM {rows} x WHERE NOT EXISTS (SELECT 1 FROM {_LAYERS[p]} y WHERE y.{c} = x.{c})" for c, p in shape.parents.items()]
+    return _SALES + " " + " UNION ALL ".join(parts)
+
+
 ORACLE_SQL = {
     "dedup_grain": _BASE + " SELECT order_id, order_date, line_no, sku, quantity, unit_price, line_amount, source_copies FROM s_items",
     "order_lines_left": _BASE + """ SELECT i.order_id, i.line_no, i.order_date, o.store_id, o.channel, o.is_cancelled, o.is_offline, i.sku, i.quantity, i.unit_price, i.line_amount, i.source_copies
@@ -308,9 +361,18 @@ UNION ALL SELECT 'window_days', count(DISTINCT order_date) FROM mart
 UNION ALL SELECT 'window_net_cents', coalesce(sum(revenue_net), 0) FROM mart
 UNION ALL SELECT 'visitors', coalesce(sum(visitors), 0) FROM conv WHERE traffic_date = {_DAY}
 UNION ALL SELECT 'flags ' || check_name, count(*) FROM flags WHERE flag_date {_IN_WINDOW} GROUP BY check_name)""",
-    "table_digest": _SALES + f""", rows_ AS (SELECT md5(concat_ws(chr(31), {', '.join(_TEXT.format(c) for c in _MART_COLUMNS)})) AS h FROM mart),
-parts AS (SELECT substr(h, 1, 2) AS p, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM rows_ GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS n_rows, md5(string_agg(h, '' ORDER BY p)) AS digest FROM parts""",
+    "table_digest": _SALES + f""", rows_ AS (SELECT md5(concat_ws(chr(31), {', '.join(_TEXT.format(c) for c in _MART_COLUMNS)})) AS h FROM mart)
+SELECT count(*) AS n_rows, md5(concat_ws('|', {', '.join(f"CAST(sum(CAST('0x' || substr(h, {at}, 8) AS BIGINT)) AS VARCHAR)" for at in (1, 9, 17, 25))})) AS digest FROM rows_""",
+    "sinks_rewritten": _BASE + """, changed AS (
+  SELECT order_date, CASE WHEN order_date >= DATE '1998-06-01' AND order_id % 7 = 0 THEN quantity + 100 ELSE quantity END AS quantity, line_amount
+  FROM s_items WHERE NOT (order_date BETWEEN DATE '1997-06-01' AND DATE '1997-06-30' AND order_id % 5 = 0)
+) SELECT order_date, count(*) AS n_lines, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(line_amount) AS BIGINT) AS amount
+FROM changed WHERE NOT (order_date BETWEEN DATE '1996-01-01' AND DATE '1996-01-31' AND quantity > 40) GROUP BY order_date""",
+    "gate_suite": _gate_suite_sql(),
+    "flags_with_conversion": _CONV + """ SELECT f.store_id, f.flag_date, f.check_name, c.visitors, c.orders_offline, round(100 * c.conversion, 4) AS conversion_percent
+FROM flags f JOIN conv c ON f.store_id = c.store_id AND f.flag_date = c.traffic_date""",
+    "conversion_spread": _CONV + """ SELECT round(avg(orders_offline) FILTER (WHERE has_orders AND has_traffic), 4) AS mean_orders,
+max(orders_offline) FILTER (WHERE has_orders AND has_traffic) AS most_orders, count(conversion) AS n_ratios FROM conv""",
     "naive_vs_dedup_gap": _BASE + """ SELECT r.order_date, r.n - c.n AS surplus_lines, CAST(r.amount - c.amount AS BIGINT) AS surplus_cents
 FROM (SELECT order_date, count(*) AS n, sum(line_amount) AS amount FROM r_items GROUP BY 1) r JOIN (SELECT order_date, count(*) AS n, sum(line_amount) AS amount FROM s_items GROUP BY 1) c ON r.order_date = c.order_date
 WHERE r.n <> c.n""",

@@ -38,9 +38,11 @@ def stage_traffic(raw: DataFrame) -> DataFrame:
 
 
 def order_lines(items: DataFrame, orders: DataFrame, window: DateWindow | None = None) -> DataFrame:
-    """Lines with their order's store, channel and state; a line without an order stays, with nulls."""
+    """Lines with their order's store, channel and state; a line without an order stays, with nulls.
+
+    A line carries its order's date, so a window cuts both sides."""
     lines = cut(items, "order_date", window)
-    heads = orders.select("order_id", "store_id", "channel", "is_cancelled", "is_offline")
+    heads = cut(orders, "order_date", window).select("order_id", "store_id", "channel", "is_cancelled", "is_offline")
     return lines.join(heads, "order_id", "left").select("order_id", "line_no", "order_date", "store_id", "channel", "is_cancelled", "is_offline", "sku", "quantity", "unit_price", "line_amount", "source_copies")
 
 

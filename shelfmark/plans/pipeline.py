@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scd2
-from ..operators.dates import DateWindow
+from ..operators.dates import COMPARE_DAYS, DateWindow
 from ..operators.grain import bounds, dense_spine
 from ..sources import raw, store
 from . import gates, layers, marts
@@ -31,6 +31,7 @@ class Warehouse:
         return f"{self.root}/{TABLES[name][0]}/{name}"
 
     def read(self, name: str) -> DataFrame:
+        store.restore(self.spark, self.path(name))
         return self.spark.read.parquet(self.path(name))
 
     def raw(self, name: str, window: DateWindow | None = None) -> DataFrame:
@@ -62,6 +63,7 @@ class Warehouse:
         """Build all layers; for a run date only what it can have changed. Stops at the first stop gate with rows."""
         day = DateWindow(run_date, run_date) if run_date else None
         back = DateWindow.ending(run_date) if run_date else None
+        compared = DateWindow.ending(run_date, COMPARE_DAYS) if run_date else None
         traffic = layers.stage_traffic(self.raw("store_traffic"))
         found = gates.enforce([Gate("source_is_fresh", lambda: gates.freshness(self.orders(), traffic, run_date))])
         found |= gates.enforce_declared({
@@ -75,7 +77,7 @@ class Warehouse:
         lines, returns, spine = (self.read(n) for n in ("order_lines", "returns", "spine"))
         found |= gates.enforce_declared({"order_lines": lines, "returns": returns, "spine": spine})
         found |= gates.enforce([
-            Gate("lines_match_raw", lambda: gates.lines_match_raw(self.raw("order_items", back), self.raw("orders"), lines, back)),
+            Gate("lines_match_raw", lambda: gates.lines_match_raw(self.raw("order_items", compared), self.raw("orders"), lines, compared)),
             Gate("line_dates_match", lambda: gates.line_dates(lines, self.orders())),
             Gate("returns_of_live_orders", lambda: gates.live_returns(returns)),
             Gate("cancellations_agree", lambda: gates.status_agreement(self.orders(), layers.stage_cancellations(self.raw("cancellations")))),

@@ -1,11 +1,14 @@
 """Sinks: full reload, replacement of date partitions and of keys, deletes. All are safe to run again.
 
 Parquet has no transactions and no MERGE, so a replacement is written beside its target first and then swapped in partition
-by partition; an empty replacement drops the partition, which dynamic overwrite alone would leave in place.
+by partition; an empty replacement drops the partition, which dynamic overwrite alone would leave in place. In a swap the old
+folder steps aside under a hidden name and goes last: if the driver is lost in between, `restore` puts it back, and every
+write to the table starts with that. Changes of rows rewrite only the partitions that hold them.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from datetime import date
 
@@ -18,6 +21,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that one query writes: in spark.checkpoint.dir, or under a local master without one in a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
@@ -36,13 +50,37 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def _aside(path: str) -> str:
+    """Where a folder waits while its successor takes its place; readers pass over names with a leading dot."""
+    parent, _, name = path.rpartition("/")
+    return f"{parent}/.{name.replace('=', '-')}.before"
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Finish a swap that was cut off: without a new folder the old one comes back, with it the old one goes."""
+    if exists(spark, _aside(path)):
+        if exists(spark, path):
+            remove(spark, _aside(path))
+        else:
+            move(spark, _aside(path), path)
+
+
+def swap(spark: SparkSession, fresh: str | None, path: str) -> None:
+    """Put a written folder (None: nothing) in the place of another."""
+    restore(spark, path)
+    if exists(spark, path):
+        move(spark, path, _aside(path))
+    if fresh:
+        move(spark, fresh, path)
+    remove(spark, _aside(path))
+
+
 def reload(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Replace a whole table by way of a new folder, so that df may read the old one."""
     spark, fresh = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition) if partition else df.write
     writer.parquet(fresh)
-    remove(spark, path)
-    move(spark, fresh, path)
+    swap(spark, fresh, path)
 
 
 def truncate(spark: SparkSession, path: str) -> None:
@@ -50,19 +88,19 @@ def truncate(spark: SparkSession, path: str) -> None:
     reload(spark.createDataFrame([], schema), path)
 
 
-def replace_dates(df: DataFrame, path: str, partition: str, dates: list[date]) -> None:
-    """The partitions of these dates become what df has for them; a date that df lacks is cleared. Rows of other dates are refused."""
+def replace_dates(df: DataFrame, path: str, partition: str, dates: list[date], tasks: int = 8) -> None:
+    """The partitions of these dates become what df has for them; a date that df lacks is cleared. Rows of other dates are refused.
+
+    A date is written by up to `tasks` tasks, by a hash of its rows."""
     spark, fresh = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    df.repartition(F.col(partition)).write.partitionBy(partition).parquet(fresh)  # one file a date
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(tasks))
+    df.repartition(F.col(partition), part).write.partitionBy(partition).parquet(fresh)
     written = {r[0] for r in spark.read.parquet(fresh).select(F.col(partition).cast("date")).distinct().collect()} if _has_parts(spark, fresh, partition) else set()
     if odd := written - set(dates):
         remove(spark, fresh)
         raise ValueError(f"dates outside the replacement: {sorted(odd)}")
     for day in dates:
-        target = f"{path}/{partition}={day}"
-        remove(spark, target)
-        if day in written:
-            move(spark, f"{fresh}/{partition}={day}", target)
+        swap(spark, f"{fresh}/{partition}={day}" if day in written else None, f"{path}/{partition}={day}")
     remove(spark, fresh)
 
 
@@ -71,14 +109,26 @@ def _has_parts(spark: SparkSession, path: str, partition: str) -> bool:
     return any(s.getPath().getName().startswith(f"{partition}=") for s in fs.listStatus(p))
 
 
+def _dates(df: DataFrame, partition: str) -> list[date]:
+    return sorted(r[0] for r in df.select(F.col(partition).cast("date")).distinct().collect())
+
+
 def replace_keys(df: DataFrame, path: str, keys: list[str], partition: str | None = None) -> None:
     """Delete the rows whose keys df has, then add df."""
     spark = df.sparkSession
-    old = spark.read.parquet(path)
-    reload(old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df), path, partition)
+    old, names = spark.read.parquet(path), df.select(*keys).distinct()
+    if partition is None:
+        reload(old.join(names, keys, "left_anti").unionByName(df), path)
+        return
+    touched = sorted({*_dates(old.join(names, keys, "left_semi"), partition), *_dates(df, partition)})
+    kept = old.filter(F.col(partition).isin(touched)).join(names, keys, "left_anti")
+    replace_dates(kept.unionByName(df), path, partition, touched)
 
 
 def delete_where(spark: SparkSession, path: str, condition, partition: str | None = None) -> None:
     """Drop the rows for which condition holds; rows where it is null stay."""
     old = spark.read.parquet(path)
-    reload(old.filter(~F.coalesce(condition, F.lit(False))), path, partition)
+    if partition is None:
+        reload(old.filter(~F.coalesce(condition, F.lit(False))), path)
+    elif touched := _dates(old.filter(condition), partition):
+        replace_dates(old.filter(F.col(partition).isin(touched) & ~F.coalesce(condition, F.lit(False))), path, partition, touched)
