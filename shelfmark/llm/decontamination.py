@@ -12,8 +12,9 @@ the documents' words are joined by shuffling. The windows are broadcast under a
 combined in the task that reads it, so what is shuffled is one row a document.
 
 Defined cases: null text and null items have no words, hits or windows; words are lower-cased in A-Z only; items with equal
-windows are all reported; items with a null id are matched but not listed in the digest; equal rows are judged each; an empty
-benchmark leaves every document clean; other columns of the inputs are ignored.
+windows are all reported; items with a null id are matched but not listed in the digest; of equally rare words of a window the
+first in order is its prefix, which changes no result; very long texts are split whole; equal rows are judged each; an empty
+benchmark leaves every document clean, an empty table gives no rows; other columns of the documents are kept, and columns with the names of results are replaced.
 """
 
 from __future__ import annotations

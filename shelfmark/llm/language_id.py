@@ -14,8 +14,9 @@ their id. Spark sums the n-gram counts by language; the driver gets one vector o
 success counts (languages x bits). Prediction is one pass over all texts, whole, with no shuffle.
 
 Defined cases: null text or one without a letter gives `und` with score 0; with no labelled row every text gets `und`; a single
-known language is predicted with score 1; equal texts get equal answers; other columns are ignored; a language label
-that is rarer than the sample bound is learnt from all its rows.
+known language is predicted with score 1; equal texts get equal answers; of equally near codewords that of the first label in
+sorted order wins; very long texts are read whole, in one block of their own; a language label that is rarer than the sample
+bound is learnt from all its rows; an empty table gives no rows; other columns are kept, and columns with the names of results are replaced.
 """
 
 from __future__ import annotations

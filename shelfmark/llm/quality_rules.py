@@ -8,7 +8,8 @@ is at least `threshold`. The vote patterns are counted by Spark over all documen
 pattern (at most 3**7, whatever the number of documents) and runs EM on these counts.
 
 Defined cases: null text counts as empty; a text without words has no votes and fails the base
-test; equal rows get equal verdicts; an empty table gives an empty result.
+test; very long texts are counted whole; equal rows get equal verdicts; a posterior equal to the threshold (a tie) keeps the document; an
+empty table gives no rows; other columns are kept, and columns with the names of results are replaced.
 """
 
 from __future__ import annotations
