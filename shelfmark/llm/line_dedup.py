@@ -133,7 +133,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     opens = F.array_sort(F.array_except("_gone", F.transform("_gone", lambda x: x + 1)))
     ends = F.array_sort(F.array_except(F.transform("_gone", lambda x: x + 1), F.col("_gone")))
     cuts = materialize(gone.select("_row", F.size("_gone").alias("_removed"), F.arrays_zip(opens.alias("a"), ends.alias("b")).alias("_cut")))
-    cut = rows.join(cuts, "_row", "left").withColumn("_said", _said(body)).withColumn("_all", F.split(body, "\n", -1))
+    # one plan at every size: a broadcast of the cuts would hold for small tables only
+    cut = rows.join(cuts.hint("merge"), "_row", "left").withColumn("_said", _said(body)).withColumn("_all", F.split(body, "\n", -1))
     # what is kept lies between them: from the line after each run's last to the next one's first
     after = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda x: F.element_at("_said", x["b"])["i"] + 1))
     until = F.concat(F.transform("_cut", lambda x: F.element_at("_said", x["a"] + 1)["i"]), F.array(F.size("_all")))
