@@ -3,6 +3,7 @@
 Words are cut by white space and left as they are. Every window of `k` words travels, inside a packed run of windows with
 the same minimiser, to a bucket, where all windows are hashed (128 bits), sorted and counted with the number of places
 of their runs. A window with two or more places is repeated, and every word that a repeated window covers is removed, at every place.
+A run that a task holds twice is cut by that task at all its places; the bucket gets its count only.
 
 Rows are known by 128 bits of their id and text.
 
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .common import packed, row_key, schema_of, table
-from .superkmers import Scheme, bucket_runs, open_runs, stretches
+from .superkmers import CUTS, Runs, Scheme, bucket_runs, judged, spread, stretches
 
 K_WORDS, M_WORDS = 35, 3
-CUTS = "key long, id long, a int, b int"
 
 
 def _second(buf: np.ndarray) -> np.ndarray:
@@ -35,8 +35,7 @@ def _second(buf: np.ndarray) -> np.ndarray:
 
 
 def _count_windows(k: int):
-    def run(part: pa.Table) -> pa.Table:
-        runs = open_runs(part)
+    def judge(runs: Runs) -> pa.Table:
         one, two, sizes = [], [], []
         low = 0
         while low < len(runs.bounds) - 1:  # hash about a megabyte of runs at a time
@@ -60,17 +59,7 @@ def _count_windows(k: int):
         row, a, b = stretches(many, np.concatenate([[0], np.cumsum(size)]))
         return spread(runs, row, a, b - 1 + k)
 
-    return run
-
-
-def spread(runs, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Each cut of a run at every place of the run."""
-    upto = np.concatenate([[0], np.cumsum(runs.times)])
-    times = runs.times[row]
-    at = np.repeat(np.arange(len(row)), times)
-    place = np.repeat(upto[row] - (np.cumsum(times) - times), times) + np.arange(len(at))
-    start = runs.starts[place]
-    return pa.table({"key": pa.array(runs.keys[place]), "id": pa.array(runs.ids[place]), "a": pa.array((start + a[at]).astype(np.int32)), "b": pa.array((start + b[at]).astype(np.int32))})
+    return lambda part: judged(part, judge)
 
 
 def join_cuts(docs: DataFrame, cuts: DataFrame) -> DataFrame:

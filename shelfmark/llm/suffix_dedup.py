@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .common import chunk_bytes, packed, row_key, schema_of, table
-from .substring_dedup import CUTS
-from .superkmers import SEEDS, WIRE, Scheme, Sender, chosen_seeds, open_runs, pack_seeds, plan, repeated_seeds, seeds_of, stretches
+from .superkmers import CUTS, SEEDS, WIRE, Runs, Scheme, Sender, chosen_seeds, judged, pack_seeds, plan, repeated_seeds, seeds_of, spread, stretches
 
 #: Bytes of a match, bytes of a minimiser, suffixes of a batch.
 K_BYTES, M_BYTES, BATCH = 50, 16, 1 << 15
@@ -75,10 +74,8 @@ def _merged(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(k: int, batch: int):
-    def run(part: pa.Table) -> pa.Table:
-        runs = open_runs(part)
-        upto = np.concatenate([[0], np.cumsum(runs.times)])
-        owner = np.minimum.reduceat(runs.ids, upto[:-1])  # the smallest document of each run
+    def judge(runs: Runs) -> pa.Table:
+        owner = runs.ids[np.cumsum(runs.held) - runs.held]  # all places that came with a run are in the smallest document that its task saw
         size = np.diff(runs.bounds) - k + 1
         limits = np.concatenate([[0], np.cumsum(size)])
         hashes = []
@@ -101,23 +98,9 @@ def _scan(k: int, batch: int):
             suffixes = np.ascontiguousarray(windows[place]).view(f"S{k}").ravel()
             flags[maybe[pick]] = family.add(suffixes, first[pick]) < first[pick]
         row, a, b = stretches(flags, limits)
-        # these cuts hold for a run's places in its smallest document; at its other places the whole run is a copy
-        same = runs.ids == np.repeat(owner, runs.times)
-        rank = np.concatenate([[0], np.cumsum(same)])
-        places = np.flatnonzero(same)
-        times = rank[upto[row + 1]] - rank[upto[row]]
-        cut = np.repeat(np.arange(len(row)), times)
-        place = places[np.repeat(rank[upto[row]] - (np.cumsum(times) - times), times) + np.arange(len(cut))]
-        other = np.flatnonzero(~same)
-        length = np.repeat(np.diff(runs.bounds), runs.times)[other]
-        return pa.table({
-            "key": pa.array(np.concatenate([runs.keys[place], runs.keys[other]])),
-            "id": pa.array(np.concatenate([runs.ids[place], runs.ids[other]])),
-            "a": pa.array(np.concatenate([runs.starts[place] + a[cut], runs.starts[other]]).astype(np.int32)),
-            "b": pa.array(np.concatenate([runs.starts[place] + b[cut] - 1 + k, runs.starts[other] + length]).astype(np.int32)),
-        })
+        return spread(runs, row, a, b - 1 + k)
 
-    return run
+    return lambda part: judged(part, judge)
 
 
 def _seeds(scheme: Scheme, buckets: int):
@@ -130,7 +113,7 @@ def _seeds(scheme: Scheme, buckets: int):
 
 def _candidate_runs(scheme: Scheme, buckets: int, hot: np.ndarray):
     def run(part: pa.Table, replies: pa.Table) -> pa.Table:
-        sender = Sender(scheme, buckets, hot, chosen_seeds(replies)[0])
+        sender = Sender(scheme, buckets, hot, chosen_seeds(replies)[0], ordered=True)
         known = part.filter(part.column("id").is_valid())
         keys, ids = (known.column(c).to_numpy() for c in ("key", "id"))
         return pa.Table.from_batches([*sender.add(keys, ids, known.column("text")), sender.flush()])

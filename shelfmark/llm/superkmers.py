@@ -2,8 +2,12 @@
 
 A window is k consecutive elements (words or bytes) of one document; its minimiser is the smallest hash among its m-grams.
 Equal windows have equal minimisers, so all copies of a window meet in one bucket. A task sends each distinct run
-once, with the places where it occurs, so large groups of copies shrink before the shuffle. Runs travel packed: all runs
-of one task and bucket are one compressed string.
+once. Runs travel packed: all runs of one task and bucket are one compressed string.
+
+What a task's own runs decide is settled before the shuffle: of a run that it holds at several places, those that are copies whatever
+the bucket finds are cut there and then, and dealt out evenly as ready verdicts. Only the places that wait for a verdict go
+with the run: none if all are cut, those of the smallest document if a copy is what has an earlier one. So a bucket gets of a passage
+that any number of documents share one run a flush (16 MB of runs) with the places of one document at most.
 
 A minimiser that very many different runs share would make one bucket large. Such minimisers are found on a sample of
 documents beforehand; their windows travel one by one to buckets chosen by the window's own hash. That only decides where
@@ -12,11 +16,13 @@ a window goes: results are the same whatever the sample says.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +30,14 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 FLUSH_BYTES = 16 << 20
+#: Ready verdicts of a packet.
+CUT_ROWS = 1 << 16
 #: Expected growth of text by the overlap of runs, and raw bytes of runs in a bucket.
 EXPANSION, BUCKET_BYTES = 3.5, 8 << 20
 SAMPLE_DOCS, HOT_SHARE = 20_000, 0.001
+#: A packet of runs and their places or, where runs is null, of ready cuts.
 WIRE = "bucket int, runs binary, places binary"
+CUTS = "key long, id long, a int, b int"
 
 
 class Scheme(NamedTuple):
@@ -77,10 +87,13 @@ def elements_of(buf: np.ndarray, bounds: np.ndarray, words: bool) -> tuple[np.nd
 
 
 class Sender:
-    """Gathers the distinct runs of one task and packs them by bucket; `only` holds the seeds to send, all if None."""
+    """Gathers the distinct runs of one task and packs them by bucket; `only` holds the seeds to send, all if None.
+
+    ordered: a place is a copy if the run also starts in a document of smaller id; otherwise, if it also starts anywhere else.
+    """
 
-    def __init__(self, scheme: Scheme, buckets: int, hot: np.ndarray, only: np.ndarray | None = None):
-        self.scheme, self.buckets, self.hot, self.only = scheme, buckets, hot, only
+    def __init__(self, scheme: Scheme, buckets: int, hot: np.ndarray, only: np.ndarray | None = None, ordered: bool = False):
+        self.scheme, self.buckets, self.hot, self.only, self.ordered = scheme, buckets, hot, only, ordered
         self.pack = zstandard.ZstdCompressor(level=3).compress
         self.clear()
 
@@ -114,29 +127,42 @@ class Sender:
             self.numbers.append(np.array([known.setdefault(data[i:j], len(known)) for i, j in zip(a, b, strict=True)], np.int64))
             row = B.row_of(limits, first)
             self.homes.append((B.mix(least.copy()) % np.uint64(self.buckets)).astype(np.int64))
-            self.rows.append(np.stack([keys[low:high][row], ids[low:high][row], first - limits[row]], 1).astype("<i8"))
+            self.rows.append(np.stack([keys[low:high][row], ids[low:high][row], first - limits[row], after - 1 + k - limits[row]], 1).astype("<i8"))
             self.held += sum(b) - sum(a)
             if self.held >= FLUSH_BYTES:
                 yield self.flush()
 
     def flush(self) -> pa.RecordBatch:
         runs = list(self.known)
-        number, place = (np.concatenate(x) if x else np.zeros(shape, np.int64) for x, shape in ((self.numbers, 0), (self.rows, (0, 3))))
+        number, place = (np.concatenate(x) if x else np.zeros(shape, np.int64) for x, shape in ((self.numbers, 0), (self.rows, (0, 4))))
         home = np.empty(len(runs), np.int64)
         home[number] = np.concatenate(self.homes) if self.homes else 0
         order = np.argsort(home, kind="stable")
         new_number = np.empty(len(runs), np.int64)
         new_number[order] = np.arange(len(runs))
-        place = place[np.argsort(new_number[number], kind="stable")]
-        times = np.bincount(new_number[number], minlength=len(runs))
-        upto = np.concatenate([[0], np.cumsum(times)])
+        number = new_number[number]
+        times = np.bincount(number, minlength=len(runs))
+        if self.ordered:
+            least = np.full(len(runs), np.iinfo(np.int64).max)
+            np.minimum.at(least, number, place[:, 1])
+            waits = place[:, 1] == least[number]
+        else:
+            waits = times[number] == 1
+        cuts, place, number = place[~waits], place[waits], number[waits]
+        place = place[np.argsort(number, kind="stable")]
+        held = np.bincount(number, minlength=len(runs))
+        upto = np.concatenate([[0], np.cumsum(held)])
         ranked = home[order]
         out: list[tuple] = []
         for a, b in _groups(ranked):
             part = [runs[i] for i in order[a:b]]
             spots = place[upto[a] : upto[b]]
-            meta = np.array([b - a, len(spots)], "<i8").tobytes() + np.array([len(x) for x in part], "<i4").tobytes() + times[a:b].astype("<i4").tobytes() + b"".join(np.ascontiguousarray(spots[:, i]).tobytes() for i in range(3))
+            numbers = [np.array([len(x) for x in part], "<i4"), times[a:b].astype("<i4"), held[a:b].astype("<i4")]
+            meta = np.array([b - a, len(spots)], "<i8").tobytes() + b"".join(x.tobytes() for x in numbers) + b"".join(np.ascontiguousarray(spots[:, i]).tobytes() for i in range(3))
             out.append((int(ranked[a]), self.pack(b"".join(part)), self.pack(meta)))
+        for at in range(0, len(cuts), CUT_ROWS):
+            ready = np.ascontiguousarray(cuts[at : at + CUT_ROWS].T).tobytes()
+            out.append((zlib.crc32(ready) % self.buckets, None, self.pack(ready)))
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "runs", "places"])
 
@@ -264,11 +290,12 @@ def bucket_runs(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 class Runs(NamedTuple):
-    """The runs of a bucket: bytes, bounds, and for each run its places (key, id, first window in the document)."""
+    """The runs of a bucket: bytes, bounds, how often each occurred, and its places that wait for a verdict (how many; key, id, first window)."""
 
     data: np.ndarray
     bounds: np.ndarray
     times: np.ndarray
+    held: np.ndarray
     keys: np.ndarray
     ids: np.ndarray
     starts: np.ndarray
@@ -276,18 +303,42 @@ class Runs(NamedTuple):
 
 def open_runs(table: pa.Table) -> Runs:
     unpack = zstandard.ZstdDecompressor().decompress
-    data, lengths, times, places = [], [], [], ([], [], [])
+    data, lengths, times, held, places = [], [], [], [], ([], [], [])
     for runs, meta in zip(table.column("runs"), table.column("places"), strict=True):
         data.append(unpack(runs.as_py()))
         raw = unpack(meta.as_py())
         n, m = np.frombuffer(raw, "<i8", 2)
         lengths.append(np.frombuffer(raw, "<i4", n, 16))
         times.append(np.frombuffer(raw, "<i4", n, 16 + 4 * n))
+        held.append(np.frombuffer(raw, "<i4", n, 16 + 8 * n))
         for i in range(3):
-            places[i].append(np.frombuffer(raw, "<i8", m, 16 + 8 * n + 8 * m * i))
+            places[i].append(np.frombuffer(raw, "<i8", m, 16 + 12 * n + 8 * m * i))
     joined = np.frombuffer(b"".join(data), np.uint8)
     bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])
-    return Runs(joined, bounds, np.concatenate(times).astype(np.int64), *(np.concatenate(p) for p in places))
+    return Runs(joined, bounds, *(np.concatenate(x).astype(np.int64) for x in (times, held)), *(np.concatenate(p) for p in places))
+
+
+def _cuts(keys: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"key": pa.array(keys), "id": pa.array(ids), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
+
+
+def judged(part: pa.Table, judge: Callable[[Runs], pa.Table]) -> pa.Table:
+    """CUTS of a bucket: those that came ready, and those that judge finds in its runs."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    is_run = part.column("runs").is_valid()
+    ready = [_cuts(*np.frombuffer(unpack(blob.as_py()), "<i8").reshape(4, -1)) for blob in part.filter(pc.invert(is_run)).column("places")]
+    runs = part.filter(is_run)
+    return pa.concat_tables([*ready, judge(open_runs(runs))] if runs.num_rows else ready)
+
+
+def spread(runs: Runs, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """CUTS: each cut of a run at every place of it that waits for one."""
+    upto = np.concatenate([[0], np.cumsum(runs.held)])
+    times = runs.held[row]
+    at = np.repeat(np.arange(len(row)), times)
+    place = np.repeat(upto[row] - (np.cumsum(times) - times), times) + np.arange(len(at))
+    start = runs.starts[place]
+    return _cuts(runs.keys[place], runs.ids[place], start + a[at], start + b[at])
 
 
 def stretches(flags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

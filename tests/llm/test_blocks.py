@@ -60,3 +60,22 @@ def test_seeds_survive_packing(values):
     table = S.pack_seeds(7, seeds, many)
     back = [(int(s) | b << 32, bool(f)) for b, blob in zip(table.column("bucket").to_pylist(), table.column("seeds").to_pylist(), strict=True) for s, f in zip(*S.unpack_seeds(blob), strict=True)]
     assert back == list(zip(seeds.tolist(), many.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_a_bucket_gets_few_places_of_a_hot_run(ordered):
+    scheme = S.Scheme(True, 5, 2)
+    text = " ".join(f"w{i}" for i in range(40))
+    sender = S.Sender(scheme, 8, np.zeros(0, np.uint64), ordered=ordered)
+    ids = np.arange(1000, dtype=np.int64)
+    packets = [*sender.add(ids + 7, ids, pa.array([text] * 1000)), sender.flush()]
+    part = pa.Table.from_batches(packets)
+    of_runs = S.open_runs(part.filter(part.column("runs").is_valid()))
+    assert set(of_runs.times.tolist()) == {1000} and of_runs.held.tolist() == [int(ordered)] * len(of_runs.held)
+    ready = S.judged(part.filter(part.column("runs").is_null()), None).to_pylist()
+    assert len(ready) == len(of_runs.held) * (1000 - ordered)
+    covered = {i: set() for i in range(1000)}
+    for cut in ready:
+        assert cut["key"] == cut["id"] + 7
+        covered[cut["id"]] |= set(range(cut["a"], cut["b"]))
+    assert all(covered[i] == set(range(40)) for i in range(int(ordered), 1000))
