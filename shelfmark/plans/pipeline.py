@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, time, timedelta
 from pathlib import Path
 
@@ -17,12 +18,18 @@ from .gates import Gate
 
 CHECKED = ["orders_count", "revenue_gross", "returns_amount", "revenue_net"]
 GRAIN = ["store_id", "order_date"]
+#: Partition column of the snapshot and its value for versions that are still open.
+CLOSED, OPEN = "closed_on", date(9999, 12, 31)
 TABLES = {
     "order_lines": ("intermediate", "order_date"), "returns": ("intermediate", None), "spine": ("intermediate", None), "sales": ("marts", "order_date"), "conversion": ("marts", "traffic_date"),
-    "trend": ("marts", None), "quality": ("marts", None), "snapshot": ("ops", None),
+    "trend": ("marts", None), "quality": ("marts", None), "snapshot": ("ops", "closed_on"),
 }
 
 
+def _by_end(versions: DataFrame) -> DataFrame:
+    return versions.withColumn(CLOSED, F.coalesce(F.col("valid_to").cast("date"), F.lit(OPEN)))
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -90,14 +97,27 @@ class Warehouse:
         return found | gates.enforce([Gate("no_quality_flags", lambda: marts.flag_summary(self.read("quality")), stops=False)])
 
     def take_snapshot(self, as_of: datetime) -> None:
+        """Close and open versions as of then. Versions lie by the day they were closed, open ones under OPEN, so only the open ones and
+        those closed on this day are read and written; older history stays as it is.
+
+        Closed versions are put in place first. A run cut off before the open ones follow finds a version in both when it is repeated,
+        closes it again, and keeps one of the two equal rows."""
+        path, day = self.path("snapshot"), as_of.date()
         current = self.read("sales").select(*GRAIN, *CHECKED)
-        if store.exists(self.spark, self.path("snapshot")):
-            store.reload(scd2.snapshot(self.read("snapshot"), current, GRAIN, CHECKED, as_of), self.path("snapshot"))
-        else:
-            store.reload(scd2.first_snapshot(current, GRAIN, as_of), self.path("snapshot"))
+        if not store.exists(self.spark, path):
+            store.reload(_by_end(scd2.first_snapshot(current, GRAIN, as_of)), path, CLOSED)
+            return
+        for end in (day, OPEN):
+            store.restore(self.spark, f"{path}/{CLOSED}={end}")
+        old = self.spark.read.parquet(path).filter(F.col(CLOSED).isin([day, OPEN])).drop(CLOSED)
+        fresh = scd2.snapshot(old, current, GRAIN, CHECKED, as_of).distinct()
+        store.replace_dates(_by_end(fresh), path, CLOSED, [day, OPEN])
+
+    def versions(self) -> DataFrame:
+        return self.read("snapshot").drop(CLOSED)
 
     def revisions(self) -> DataFrame:
-        return scd2.revisions(self.read("snapshot"), GRAIN)
+        return scd2.revisions(self.versions(), GRAIN)
 
     def publish(self, run_date: date) -> DataFrame:
         return marts.publish_summary(self.read("sales"), self.read("conversion"), self.read("quality"), DateWindow.ending(run_date))
@@ -127,3 +147,23 @@ class Warehouse:
         """Forget what came in after a date: later returns go, and the snapshot's history."""
         store.delete_where(self.spark, f"{self.root}/raw/returns", F.col("returned_date") > F.lit(last), "returned_date")
         store.remove(self.spark, self.path("snapshot"))
+
+    def is_healthy(self, day: date) -> bool:
+        """Whether both tables that a run must find have rows of that day."""
+        only = DateWindow(day, day)
+        return not any(self.raw(name, only).isEmpty() for name in ("orders", "store_traffic"))
+
+    def replay(self, last: date, land: Callable[[date], None], days: int = 5, until: date | None = None, alerts: str | None = None) -> list[date]:
+        """Rewind to a date, then live through the days after it: land what came in on each, and run it if it is healthy.
+
+        Ends after `days` healthy days, or with `until`, the latest landed order day if not given. Returns the days run."""
+        until = until or self.orders().agg(F.max("order_date")).first()[0] or last
+        self.rewind(last)
+        done, day = [], last
+        while len(done) < days and day < until:
+            day += timedelta(days=1)
+            land(day)
+            if self.is_healthy(day):
+                self.run(day, alerts)
+                done.append(day)
+        return done
