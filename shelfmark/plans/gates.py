@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -147,40 +146,60 @@ DECLARED: dict[str, Shape] = {
 }
 
 
-def count_declared(tables: dict[str, DataFrame], known: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(gate, n_rows) of the declared gates of these tables, none of them a stop; parents are looked up in tables and known.
+def single_row(table: str) -> dict[str, Column]:
+    """The declared gates of a table that look at one row at a time, with the condition of a bad row."""
+    shape = DECLARED[table]
+    bad = {f"{table}.{c} not_null": F.col(c).isNull() for c in shape.not_null}
+    bad |= {f"{table}.{c} not_negative": F.col(c) < 0 for c in shape.not_negative}
+    return bad | {f"{table}.{c} accepted_values": ~F.col(c).isin(v) for c, v in shape.values.items()}
 
-    Gates on single rows take one pass a table."""
-    known, parts = {**(known or {}), **tables}, []
-    for table, df in tables.items():
-        shape = DECLARED[table]
-        bad = {f"{table}.{c} not_null": F.col(c).isNull() for c in shape.not_null if c in df.columns}
-        bad |= {f"{table}.{c} not_negative": F.col(c) < 0 for c in shape.not_negative}
-        bad |= {f"{table}.{c} accepted_values": ~F.col(c).isin(v) for c, v in shape.values.items()}
-        counted = df.agg(F.array(*[F.struct(F.lit(name).alias("gate"), F.count_if(condition).alias("n_rows")) for name, condition in bad.items()]).alias("found"))
-        parts.append(counted.select(F.explode("found").alias("f")).select("f.*"))
-        keyed = {f"{table}.{c} unique": unique(df, c) for c in shape.unique}
-        keyed |= {f"{table} unique_grain": unique_grain(df, list(shape.grain))} if shape.grain else {}
-        keyed |= {f"{table}.{c} relationship": relationship(df, c, known[p], c) for c, p in shape.parents.items()}
-        parts += [rows.agg(F.lit(name).alias("gate"), F.count("*").alias("n_rows")) for name, rows in keyed.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def enforce_declared(tables: dict[str, DataFrame]) -> dict[str, int]:
-    """Run the declared gates of these tables (parents must be among them), all of them stops; those on single rows take one pass a table."""
-    found = {}
+
+@dataclass(frozen=True)
+class Measured:
+    """A written table and the counts of its single-row gates, which were taken while it was written."""
+
+    df: DataFrame
+    counts: dict[str, int]
+
+
+def measure(table: str, df: DataFrame | Measured, known: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows that break each declared gate of a table, from one pass over it.
+
+    A parent's keys are joined as a flag, so that a missing parent is seen in the row like a null; all that can be seen in a row is counted by
+    metrics that ride on the grouping by key. (If an executor is lost under that grouping, its rows may be counted twice; none stays none.)
+    A table that was measured while being written is only grouped. A gate on a column that the table lacks is an error."""
+    shape, counts = DECLARED[table], {}
+    if isinstance(df, Measured):
+        df, counts = df.df, df.counts
+    named = {*shape.not_null, *shape.not_negative, *shape.values, *shape.unique, *shape.grain, *shape.parents}
+    if lacking := sorted(named - set(df.columns)):
+        raise ValueError(f"{table} lacks {lacking}, which its gates look at")
+    watch = {} if counts else single_row(table)
+    for c, parent in shape.parents.items():
+        keys = known[parent].select(F.col(c).alias(f"_{c}"), F.lit(True).alias(f"_known_{c}")).distinct()
+        df = df.join(keys, F.col(c) == F.col(f"_{c}"), "left")
+        watch[f"{table}.{c} relationship"] = F.col(c).isNotNull() & F.col(f"_known_{c}").isNull()
+    seen = Observation()
+    if watch:
+        df = df.observe(seen, *[F.count_if(condition).alias(f"m{i}") for i, condition in enumerate(watch.values())])
+    keyed = {f"{table}.{c} unique": unique(df, c) for c in shape.unique} | ({f"{table} unique_grain": unique_grain(df, list(shape.grain))} if shape.grain else {})
+    found = {name: rows.count() for name, rows in keyed.items()}
+    return counts | {name: seen.get[f"m{i}"] for i, name in enumerate(watch)} | found
+
+
+def count_declared(tables: dict[str, DataFrame | Measured], known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(gate, n_rows) of the declared gates of these tables, none of them a stop; parents are looked up in tables and known."""
+    known = {**(known or {}), **{n: t.df if isinstance(t, Measured) else t for n, t in tables.items()}}
+    found = [row for name, df in tables.items() for row in measure(name, df, known).items()]
+    return next(iter(known.values())).sparkSession.createDataFrame(found, "gate string, n_rows long")
+
+
+def enforce_declared(tables: dict[str, DataFrame | Measured]) -> dict[str, int]:
+    """Run the declared gates of these tables (parents must be among them), all of them stops, with one pass a table."""
+    found, known = {}, {n: t.df if isinstance(t, Measured) else t for n, t in tables.items()}
     for table, df in tables.items():
-        shape = DECLARED[table]
-        bad = {f"{table}.{c} not_null": F.col(c).isNull() for c in shape.not_null}
-        bad |= {f"{table}.{c} not_negative": F.col(c) < 0 for c in shape.not_negative}
-        bad |= {f"{table}.{c} accepted_values": ~F.col(c).isin(v) for c, v in shape.values.items()}
-        counts = df.agg(*[F.count_if(condition) for condition in bad.values()]).first()
-        found |= dict(zip(bad, counts, strict=True))
-        for name in bad:
-            if found[name]:
-                raise GateFailed(f"{name}: {found[name]} rows")
-        keyed = [Gate(f"{table}.{c} unique", lambda df=df, c=c: unique(df, c)) for c in shape.unique]
-        keyed += [Gate(f"{table} unique_grain", lambda df=df, shape=shape: unique_grain(df, list(shape.grain)))] if shape.grain else []
-        keyed += [Gate(f"{table}.{c} relationship", lambda df=df, c=c, p=p: relationship(df, c, tables[p], c)) for c, p in shape.parents.items()]
-        found |= enforce(keyed)
+        found |= (counts := measure(table, df, known))
+        for name, n in counts.items():
+            if n:
+                raise GateFailed(f"{name}: {n} rows")
     return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from ..operators.dates import REPROCESS_DAYS, DateWindow, cut
 from ..operators.grain import rolling_full_mean
 
 MONEY = "decimal(22,2)"
+#: Rows of the moving mean.
+TREND_ROWS = 7
 FLAG = ["store_id", "flag_date", "check_name", "reason", "measured_value", "threshold_value"]
 
 
@@ -65,8 +68,19 @@ def conversion(spine: DataFrame, traffic: DataFrame, orders: DataFrame, window:
     return joined.select(*on, "has_traffic", "has_orders", "visitors", count.alias("orders_offline"), ratio.alias("conversion"))
 
 
-def trend(mart: DataFrame) -> DataFrame:
-    return rolling_full_mean(mart, "store_id", "order_date", "revenue_net", 7)
+def trend(mart: DataFrame, window: DateWindow | None = None) -> DataFrame:
+    """Means of the last TREND_ROWS days. With a window, those that a change of its days can have moved, from no more days than they need."""
+    if window is None:
+        return rolling_full_mean(mart, "store_id", "order_date", "revenue_net", TREND_ROWS)
+    read, written = trend_windows(window)
+    return written.cut(rolling_full_mean(read.cut(mart, "order_date"), "store_id", "order_date", "revenue_net", TREND_ROWS), "order_date")
+
+
+def trend_windows(window: DateWindow) -> tuple[DateWindow, DateWindow]:
+    """The days to read and the days to write after the window's days changed: a mean reaches TREND_ROWS - 1 days back, so a changed day
+    moves as many days after it, and the first of those needs as many before. Days are rows only because the axis is dense."""
+    reach = timedelta(days=TREND_ROWS - 1)
+    return DateWindow(window.low - reach, window.high + reach), DateWindow(window.low, window.high + reach)
 
 
 def _flag(df: DataFrame, day: str, check: str, reason: Column, measured: Column, threshold: Column) -> DataFrame:

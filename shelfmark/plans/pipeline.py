@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date, datetime, time, timedelta
 from pathlib import Path
 
@@ -10,36 +11,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scd2
-from ..operators.dates import COMPARE_DAYS, DateWindow
-from ..operators.grain import bounds, dense_spine
+from ..operators.dates import COMPARE_DAYS, DateWindow, cut
+from ..operators.grain import dense_spine
 from ..sources import raw, store
+from ..sources.versions import Change, Versions, View
 from . import gates, layers, marts
 from .gates import Gate
 
 CHECKED = ["orders_count", "revenue_gross", "returns_amount", "revenue_net"]
 GRAIN = ["store_id", "order_date"]
-#: Partition column of the snapshot and its value for versions that are still open.
-CLOSED, OPEN = "closed_on", date(9999, 12, 31)
+#: Partition column of the versions that were closed.
+CLOSED = "closed_on"
+#: Built tables and their partition columns. All are versions of one set, so a run's tables appear together.
 TABLES = {
-    "order_lines": ("intermediate", "order_date"), "returns": ("intermediate", None), "spine": ("intermediate", None), "sales": ("marts", "order_date"), "conversion": ("marts", "traffic_date"),
-    "trend": ("marts", None), "quality": ("marts", None), "snapshot": ("ops", "closed_on"),
+    "order_lines": "order_date", "returns": None, "spine": None, "sales": "order_date", "conversion": "traffic_date", "trend": "order_date", "quality": None,
+    "open_versions": "order_date", "closed_versions": CLOSED,
 }
 
 
-def _by_end(versions: DataFrame) -> DataFrame:
-    return versions.withColumn(CLOSED, F.coalesce(F.col("valid_to").cast("date"), F.lit(OPEN)))
+class Warehouse:
+    """Raw tables as they land, and the built tables as versions: a run adds one version when all its stops have passed, and none otherwise.
 
+    `gate_days` bounds how far back the staging gates of a daily run look by the raw tables' own dates; by default they look at all history."""
 
-class Warehouse:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, gate_days: int | None = None):
+        self.spark, self.root, self.gate_days = spark, root.rstrip("/"), gate_days
+        self.tables = Versions(spark, f"{self.root}/tables")
+        self._change: Change | None = None
+
+    @contextmanager
+    def together(self) -> Iterator[Change]:
+        """Everything saved inside becomes one version; an exception leaves the last one. Inside another `together` it is part of that."""
+        if self._change is not None:
+            yield self._change
+            return
+        with self.tables.change() as self._change:
+            try:
+                yield self._change
+            finally:
+                change, self._change = self._change, None
+        del change
+
+    def view(self) -> View:
+        """What a read sees: the change under way in this object, else the last version."""
+        return self._change or self.tables.at()
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{TABLES[name][0]}/{name}"
+        return f"{self.tables.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        store.restore(self.spark, self.path(name))
-        return self.spark.read.parquet(self.path(name))
+        return self.view().read(name)
 
     def raw(self, name: str, window: DateWindow | None = None) -> DataFrame:
         return raw.read(self.spark, f"{self.root}/raw", name, window)
@@ -52,12 +73,15 @@ class Warehouse:
         else:
             store.replace_dates(df, f"{self.root}/raw/{name}", partition, days)
 
-    def save(self, name: str, df: DataFrame, window: DateWindow | None) -> None:
-        partition = TABLES[name][1]
-        if window is None or partition is None or not store.exists(self.spark, self.path(name)):
-            store.reload(df, self.path(name), partition)
-        else:
-            store.replace_dates(df, self.path(name), partition, window.days())
+    def save(self, name: str, df: DataFrame, window: DateWindow | None, gated: bool = False) -> gates.Measured:
+        """Write a table, or its partitions of the window; if it is gated, what its gates see in single rows is counted on the way."""
+        partition, watch = TABLES[name], gates.single_row(name) if gated else None
+        with self.together() as change:
+            if window is None or partition is None or not change.has(name):
+                counts = change.put(name, df, partition, watch)
+            else:
+                counts = change.put_dates(name, df, partition, window.days(), watch)
+            return gates.Measured(change.read(name), counts)
 
     # staging: lazy views of the raw layer
     def orders(self, window: DateWindow | None = None) -> DataFrame:
@@ -67,67 +91,80 @@ class Warehouse:
         return layers.stage_order_items(self.raw("order_items", window))
 
     def build(self, run_date: date | None = None) -> dict[str, int]:
-        """Build all layers; for a run date only what it can have changed. Stops at the first stop gate with rows."""
+        """Build all layers; for a run date only what it can have changed. At the first stop gate with rows nothing of it appears."""
+        with self.together():
+            return self._build(run_date)
+
+    def _build(self, run_date: date | None) -> dict[str, int]:
         day = DateWindow(run_date, run_date) if run_date else None
         back = DateWindow.ending(run_date) if run_date else None
         compared = DateWindow.ending(run_date, COMPARE_DAYS) if run_date else None
+        gated = DateWindow.ending(run_date, self.gate_days) if run_date and self.gate_days is not None else None
         traffic = layers.stage_traffic(self.raw("store_traffic"))
         found = gates.enforce([Gate("source_is_fresh", lambda: gates.freshness(self.orders(), traffic, run_date))])
         found |= gates.enforce_declared({
-            "stg_stores": layers.stage_stores(self.raw("stores")), "stg_orders": self.orders(), "stg_order_items": self.items(), "stg_returns": layers.stage_returns(self.raw("returns")),
-            "stg_cancellations": layers.stage_cancellations(self.raw("cancellations")), "stg_store_traffic": traffic,
+            "stg_stores": layers.stage_stores(self.raw("stores")), "stg_orders": self.orders(), "stg_order_items": self.items(gated), "stg_returns": layers.stage_returns(self.raw("returns", gated)),
+            "stg_cancellations": layers.stage_cancellations(self.raw("cancellations", gated)), "stg_store_traffic": layers.stage_traffic(self.raw("store_traffic", gated)),
         })
         # a late order can only belong to its own date, so one partition is enough here
-        self.save("order_lines", layers.order_lines(self.items(day), self.orders(day)), day)
-        self.save("returns", layers.returns_attributed(layers.stage_returns(self.raw("returns")), self.orders()), None)
-        self.save("spine", dense_spine(layers.stage_stores(self.raw("stores")), bounds((self.orders(), "order_date"), (traffic, "traffic_date"))), None)
-        lines, returns, spine = (self.read(n) for n in ("order_lines", "returns", "spine"))
+        lines = self.save("order_lines", layers.order_lines(self.items(day), self.orders(day)), day, gated=True)
+        returns = self.save("returns", layers.returns_attributed(layers.stage_returns(self.raw("returns")), self.orders()), None, gated=True)
+        spine = self.save("spine", dense_spine(layers.stage_stores(self.raw("stores")), self.horizon()), None, gated=True)
         found |= gates.enforce_declared({"order_lines": lines, "returns": returns, "spine": spine})
+        lines, returns, spine = lines.df, returns.df, spine.df
         found |= gates.enforce([
             Gate("lines_match_raw", lambda: gates.lines_match_raw(self.raw("order_items", compared), self.raw("orders"), lines, compared)),
             Gate("line_dates_match", lambda: gates.line_dates(lines, self.orders())),
             Gate("returns_of_live_orders", lambda: gates.live_returns(returns)),
             Gate("cancellations_agree", lambda: gates.status_agreement(self.orders(), layers.stage_cancellations(self.raw("cancellations")))),
         ])
-        self.save("sales", marts.sales(spine, self.orders(back), lines, returns, back), back)
-        self.save("conversion", marts.conversion(spine, traffic, self.orders(day), day), day)
-        self.save("trend", marts.trend(self.read("sales")), None)
-        self.save("quality", marts.quality(self.read("conversion"), returns), None)
-        found |= gates.enforce_declared({n: self.read(n) for n in ("sales", "conversion", "trend", "quality")})
-        return found | gates.enforce([Gate("no_quality_flags", lambda: marts.flag_summary(self.read("quality")), stops=False)])
-
-    def take_snapshot(self, as_of: datetime) -> None:
-        """Close and open versions as of then. Versions lie by the day they were closed, open ones under OPEN, so only the open ones and
-        those closed on this day are read and written; older history stays as it is.
-
-        Closed versions are put in place first. A run cut off before the open ones follow finds a version in both when it is repeated,
-        closes it again, and keeps one of the two equal rows."""
-        path, day = self.path("snapshot"), as_of.date()
-        current = self.read("sales").select(*GRAIN, *CHECKED)
-        if not store.exists(self.spark, path):
-            store.reload(_by_end(scd2.first_snapshot(current, GRAIN, as_of)), path, CLOSED)
-            return
-        for end in (day, OPEN):
-            store.restore(self.spark, f"{path}/{CLOSED}={end}")
-        old = self.spark.read.parquet(path).filter(F.col(CLOSED).isin([day, OPEN])).drop(CLOSED)
-        fresh = scd2.snapshot(old, current, GRAIN, CHECKED, as_of).distinct()
-        store.replace_dates(_by_end(fresh), path, CLOSED, [day, OPEN])
+        sales = self.save("sales", marts.sales(spine, self.orders(back), lines, returns, back), back, gated=True)
+        conversion = self.save("conversion", marts.conversion(spine, traffic, self.orders(day), day), day, gated=True)
+        moved = back if self.view().has("trend") else None
+        trend = self.save("trend", marts.trend(sales.df, moved), marts.trend_windows(moved)[1] if moved else None, gated=True)
+        quality = self.save("quality", marts.quality(conversion.df, returns), None, gated=True)
+        found |= gates.enforce_declared({"sales": sales, "conversion": conversion, "trend": trend, "quality": quality})
+        return found | gates.enforce([Gate("no_quality_flags", lambda: marts.flag_summary(quality.df), stops=False)])
+
+    def horizon(self) -> DataFrame:
+        """first_day and last_day over the orders and the traffic that landed, read off the names of their partitions."""
+        return store.partition_bounds(self.spark, *[(f"{self.root}/raw/{name}", raw.SOURCES[name].partition) for name in ("orders", "store_traffic")])
+
+    def take_snapshot(self, as_of: datetime, window: DateWindow | None = None) -> None:
+        """Close and open versions as of then; with a window only those of its days, which must be all that changed since the last one.
+
+        Open versions lie by their order date and closed ones by the day they were closed, so the open ones of the window and those closed on this
+        day are read and written, and nothing else. A repeated call finds its own versions and changes nothing."""
+        day = as_of.date()
+        with self.together() as change:
+            current = cut(change.read("sales").select(*GRAIN, *CHECKED), "order_date", window)
+            if not change.has("open_versions"):
+                change.put("open_versions", scd2.first_snapshot(change.read("sales").select(*GRAIN, *CHECKED), GRAIN, as_of), "order_date")
+                change.put("closed_versions", change.read("open_versions").limit(0).withColumn(CLOSED, F.col("valid_to").cast("date")), CLOSED)
+                return
+            today = change.read("closed_versions").filter(F.col(CLOSED) == F.lit(day)).drop(CLOSED)
+            fresh = scd2.snapshot(cut(change.read("open_versions"), "order_date", window).unionByName(today), current, GRAIN, CHECKED, as_of)
+            days = window.days() if window else sorted({*change.dates("open_versions"), *change.dates("sales")})
+            change.put_dates("closed_versions", fresh.filter("valid_to is not null").withColumn(CLOSED, F.col("valid_to").cast("date")), CLOSED, [day])
+            change.put_dates("open_versions", fresh.filter("valid_to is null"), "order_date", days)
 
     def versions(self) -> DataFrame:
-        return self.read("snapshot").drop(CLOSED)
+        return self.read("open_versions").unionByName(self.read("closed_versions").drop(CLOSED))
 
     def revisions(self) -> DataFrame:
         return scd2.revisions(self.versions(), GRAIN)
 
     def publish(self, run_date: date) -> DataFrame:
-        return marts.publish_summary(self.read("sales"), self.read("conversion"), self.read("quality"), DateWindow.ending(run_date))
+        view = self.view()
+        return marts.publish_summary(view.read("sales"), view.read("conversion"), view.read("quality"), DateWindow.ending(run_date))
 
     def run(self, run_date: date, alerts: str | None = None) -> DataFrame:
         """One daily run; a failure leaves a line in the alerts file and stops before publishing."""
         try:
-            self.build(run_date)
-            self.take_snapshot(datetime.combine(run_date, time()))
-            gates.enforce_declared({"revisions": self.revisions()})
+            with self.together():
+                self.build(run_date)
+                self.take_snapshot(datetime.combine(run_date, time()), DateWindow.ending(run_date))
+                gates.enforce_declared({"revisions": self.revisions()})
             return self.publish(run_date)
         except Exception as failure:
             if alerts:
@@ -146,7 +183,9 @@ class Warehouse:
     def rewind(self, last: date) -> None:
         """Forget what came in after a date: later returns go, and the snapshot's history."""
         store.delete_where(self.spark, f"{self.root}/raw/returns", F.col("returned_date") > F.lit(last), "returned_date")
-        store.remove(self.spark, self.path("snapshot"))
+        with self.together() as change:
+            change.drop("open_versions")
+            change.drop("closed_versions")
 
     def is_healthy(self, day: date) -> bool:
         """Whether both tables that a run must find have rows of that day."""

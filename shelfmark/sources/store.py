@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from datetime import date
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,46 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def move_to_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file to a name that must be free; False if it is taken."""
+    jvm = spark._jvm
+    fs, p = _fs(spark, source)
+    _, t = _fs(spark, target)
+    p, t = fs.makeQualified(p), fs.makeQualified(t)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(p, t, options)
+    except Py4JJavaError as failure:
+        if "FileAlreadyExists" in failure.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
@@ -104,6 +145,18 @@ def replace_dates(df: DataFrame, path: str, partition: str, dates: list[date], t
     remove(spark, fresh)
 
 
+def partition_dates(spark: SparkSession, path: str, partition: str) -> list[date]:
+    """The dates for which a table has a folder with data, from names alone."""
+    names = [n for n in children(spark, path) if n.startswith(f"{partition}=")]
+    return sorted(date.fromisoformat(n.partition("=")[2]) for n in names if any(f.endswith(".parquet") for f in children(spark, f"{path}/{n}")))
+
+
+def partition_bounds(spark: SparkSession, *tables: tuple[str, str]) -> DataFrame:
+    """One row, first_day and last_day over several (path, partition column); only names of folders are read. Null without any."""
+    found = [day for path, partition in tables for day in partition_dates(spark, path, partition)]
+    return spark.createDataFrame([(min(found, default=None), max(found, default=None))], "first_day date, last_day date")
+
+
 def _has_parts(spark: SparkSession, path: str, partition: str) -> bool:
     fs, p = _fs(spark, path)
     return any(s.getPath().getName().startswith(f"{partition}=") for s in fs.listStatus(p))

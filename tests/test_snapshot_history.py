@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import scd2
-from shelfmark.plans.pipeline import CHECKED, CLOSED, GRAIN, OPEN, Warehouse
+from shelfmark.operators.dates import DateWindow
+from shelfmark.plans.pipeline import CHECKED, CLOSED, GRAIN, Warehouse
 from shelfmark.sources import generator, store
 from shelfmark.sources.raw import SOURCES
 
@@ -40,12 +41,12 @@ def test_history_equals_that_of_one_table_and_is_not_rewritten(spark, house, tmp
     for i in (1, 2):
         want = scd2.snapshot(want, mart(spark, 100 + i), GRAIN, CHECKED, DAYS[i])
     assert as_set(house.versions()) == as_set(want) and house.versions().count() == 8
-    folder = tmp_path / "ops" / "snapshot"
-    assert {p.name for p in folder.glob(f"{CLOSED}=*")} == {f"{CLOSED}={d}" for d in ("2025-03-02", "2025-03-03", OPEN)}
-    before = sorted(p.name for p in (folder / f"{CLOSED}=2025-03-02").iterdir())
+    assert set(house.view().folders("closed_versions")) == {f"{CLOSED}={d}" for d in ("2025-03-02", "2025-03-03")}
+    before = house.view().folders("closed_versions")
     house.save("sales", mart(spark, 200), None)
     house.take_snapshot(datetime(2025, 3, 4))
-    assert sorted(p.name for p in (folder / f"{CLOSED}=2025-03-02").iterdir()) == before
+    after = house.view().folders("closed_versions")
+    assert {k: after[k] for k in before} == before and len(after) == 3
     assert house.versions().count() == 10 and house.revisions().count() == 6
 
 
@@ -55,23 +56,58 @@ def test_a_repeated_run_changes_nothing(house):
     assert as_set(house.versions()) == before
 
 
-def test_a_run_cut_off_between_the_two_swaps_is_finished_by_the_next(spark, house, monkeypatch):
-    house.save("sales", mart(spark, 200), None)
-    swap, done = store.swap, []
-
-    def lost(*args):
-        if done:
-            raise OSError("driver lost")
-        done.append(args)
-        swap(*args)
-
-    monkeypatch.setattr(store, "swap", lost)
-    with pytest.raises(OSError, match="driver lost"):
-        house.take_snapshot(datetime(2025, 3, 4))
-    monkeypatch.undo()
-    house.take_snapshot(datetime(2025, 3, 4))
-    assert len(as_set(house.versions())) == 10
-    assert house.versions().filter("valid_to is null").count() == 4
+def test_a_snapshot_of_a_window_equals_that_of_all_and_touches_its_days_only(spark, house, tmp_path):
+    """The mart changes on one day; a window around it gives the same history and leaves the other days' files."""
+    at, window = datetime(2025, 3, 4), DateWindow(date(2025, 2, 1), date(2025, 2, 1))
+    house.save("sales", mart(spark, 300), None)
+    before = house.view().folders("open_versions")
+    house.take_snapshot(at, window)
+    after = house.view().folders("open_versions")
+    assert before.keys() == after.keys() and before["order_date=2025-02-02"] == after["order_date=2025-02-02"] and before["order_date=2025-02-01"] != after["order_date=2025-02-01"]
+    whole = Warehouse(spark, f"{tmp_path}/whole")
+    for i, day in enumerate([*DAYS, at]):
+        whole.save("sales", mart(spark, 300 if day == at else 100 + i), None)
+        whole.take_snapshot(day)
+    assert as_set(house.versions()) == as_set(whole.versions())
+    plan = house.view().read("open_versions")
+    house.take_snapshot(at, window)
+    assert as_set(house.versions()) == as_set(whole.versions()) and plan.count() == 4
+
+
+def test_a_run_cut_off_between_any_two_steps_leaves_the_last_version(spark, house, monkeypatch):
+    """Whatever write, listing or rename of a run fails, readers see the version before it, and the next run does the whole work."""
+    steps = ["children", "write_text", "move_to_new"]
+    before, number = as_set(house.versions()), house.view().version
+    fail_at, finished = 0, False
+    while not finished:
+        calls = []
+
+        def lost(real):
+            def call(*args):
+                calls.append(real.__name__)
+                if len(calls) > fail_at:
+                    raise OSError("driver lost")
+                return real(*args)
+
+            return call
+
+        with monkeypatch.context() as m:
+            for name in steps:
+                m.setattr(store, name, lost(getattr(store, name)))
+            m.setattr(store, "remove", lambda *args: None)  # a lost driver does not clear up either
+            try:
+                with house.together():
+                    house.save("sales", mart(spark, 200), None)
+                    house.take_snapshot(datetime(2025, 3, 4))
+                finished = True
+            except OSError:
+                fail_at += 1
+        if not finished:
+            assert house._change is None and house.view().version == number and as_set(house.versions()) == before
+    assert fail_at >= 6 and house.view().version == number + 1
+    assert len(as_set(house.versions())) == 10 and house.versions().filter("valid_to is null").count() == 4
+    gone = house.tables.expire(keep=1)
+    assert gone and len(as_set(house.versions())) == 10
 
 
 def test_replay_skips_days_without_orders(spark, tmp_path):
