@@ -22,7 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,33 +35,39 @@ from pyspark.sql import functions as F
 from .common import materialize, row_identity, table
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Text of a chunk, and pieces that a worker remembers; neither changes a result.
-CHUNK_BYTES, CACHED_PIECES = 8 << 20, 200_000
+#: Text of a chunk, text that is aligned at once, documents of either, and pieces that a worker remembers; none changes a result.
+CHUNK_BYTES, STEP_BYTES, MOST_ROWS, CACHED_PIECES = 6 << 20, 1 << 19, 1 << 15, 300_000
 MADE = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+_PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u0131\u0134-\u024f]*")
 _TWO, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S) ")
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def merge_ends(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Two token sequences given by their cumulative ends (equal at the end): the (tokens of a, tokens of b) seen at each common end, and the
-    links as (token of a, token of b)."""
-    i = j = 0
-    groups, links = [], []
-    while i < len(a) and j < len(b):
-        links.append((i, j))
-        x, y = a[i], b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append((i, j))
-    return groups, links
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def merge_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sequences of tokens given by their cumulative ends (equal at the end): the common ends, and the links as tokens of a and of b.
+
+    The merge of the two sorted lists, for all steps at once: every end of either side is a step, at which the pointers stand on the first
+    tokens that end there or later; where both end, both move on and a group is closed."""
+    last = int(a[-1]) + 1 if len(a) else 0
+    here = np.zeros((2, last), bool)
+    here[0, a] = True
+    here[1, b] = True
+    steps = np.flatnonzero(here[0] | here[1])
+    at_a, at_b = (np.cumsum(h)[steps] - h[steps] for h in here)
+    return np.flatnonzero(here[0] & here[1]), at_a, at_b
 
 
 class Aligner:
     def __init__(self, first: str, second: str):
         import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         path = public_tokenizers.path(first)
@@ -69,7 +76,10 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(second))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level alphabet
         byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in set(shown))}
-        self.a_bytes = {i: bytes(map(byte.__getitem__, t)) if all(c in byte for c in t) else None for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else None
         self.size_b = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else None if self.b.is_control(i) or self.b.is_unknown(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
@@ -77,14 +87,23 @@ class Aligner:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         # both must be known to break before a space that follows another character
-        self.breaks = not any("▁" in n.lstrip("▁") for n in names) and spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        known = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.breaks = known and not any("▁" in n.lstrip("▁") for n in names)
+        # if ids are in the order of the merges, a rank encoder gives the same ids; it is asked about plain Latin characters
+        merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in spec["model"]["merges"]]
+        plain = known and merged == list(range(256, 256 + len(merged)))
+        ranks = {t: i for i, t in enumerate(self.a_bytes[: 256 + len(merged)])}
+        self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if plain else None
+        self.lengths = [np.array([len(x or b"") for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
+        digits = [str(i).encode() for i in range(max(len(self.a_bytes), self.size_b))]
+        self.pool, self.digits = np.frombuffer(b"".join(digits), np.uint8), np.array([len(d) for d in digits], np.int64)
+        self.digit_at = np.cumsum(self.digits) - self.digits
         self.forget()
 
     def forget(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.sizes: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links; all -1 if the bytes differ
-        self.groups: list[str] = []
-        self.links: list[np.ndarray] = []
+        self.known: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.spans = np.zeros((0, 4), np.int64)  # start and number of the ids of each side; numbers of -1 if the bytes differ
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of space + text, each without its leading space."""
@@ -93,44 +112,97 @@ class Aligner:
         return _CUT.split(text) if text[0] == " " or _TWO.search(text) else text.split(" ")
 
     def learn(self, new: list[str]) -> None:
-        encoded_b = self.b.encode(new, num_threads=1)
-        for piece, a, b in zip(new, self.a.encode_batch([" " + p for p in new], add_special_tokens=False), encoded_b, strict=True):
-            a, b = a.ids, b if piece else [self.space]
-            self.ids[piece] = len(self.groups)
-            parts_a, parts_b = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
-            want = (" " + piece).encode()
-            if None in parts_a or None in parts_b or b"".join(parts_a) != want or b"".join(parts_b) != want:
-                self.sizes.append((-1, -1, -1, -1))
-                self.groups.append("")
-                self.links.append(np.zeros(0, np.int64))
-                continue
-            groups, links = merge_ends(np.cumsum([len(x) for x in parts_a]).tolist(), np.cumsum([len(x) for x in parts_b]).tolist())
-            at = [(0, 0), *groups]
-            text = ";".join(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])) for (i, j), (k, m) in zip(at, groups, strict=False))
-            self.sizes.append((len(a), len(b), len(groups), len(links)))
-            self.groups.append(text)
-            self.links.append(np.array([a[i] * self.size_b + b[j] for i, j in links], np.int64))
+        """Encode pieces. Those that end in a character other than white space break from what follows, so they are encoded in one go."""
+        solid = [p for p in new if p and not p[-1].isspace()] if self.breaks else []
+        rest = [p for p in new if not p or p[-1].isspace()] if self.breaks else new
+        plain = [p for p in solid if _PLAIN.fullmatch(p)] if self.quick else []
+        other = [p for p in solid if not _PLAIN.fullmatch(p)] if self.quick else solid
+        for group, encode in ((plain, self.quick), (other, lambda text: self.a.encode(text, add_special_tokens=False).ids)):
+            if group and not self._learn_joined(group, encode):
+                rest = rest + group
+        if not rest:
+            return
+        a, b = [x.ids for x in self.a.encode_batch([" " + p for p in rest], add_special_tokens=False)], [x if p else [self.space] for p, x in zip(rest, self.b.encode(rest, num_threads=1), strict=True)]
+        counts = []
+        for piece, x, y in zip(rest, a, b, strict=True):
+            want = b" " + piece.encode()
+            try:
+                fits = b"".join([self.a_bytes[i] for i in x]) == want == b"".join([self.b_bytes[i] for i in y])
+            except TypeError:  # a token without bytes
+                fits = False
+            counts.append((len(x), len(y)) if fits else (-1, -1))
+        kept = [[x if n[0] >= 0 else [] for x, n in zip(side, counts, strict=True)] for side in (a, b)]
+        self._store(rest, [np.fromiter(chain.from_iterable(side), np.int32) for side in kept], np.array(counts, np.int64))
+
+    def _learn_joined(self, pieces: list[str], encode: Callable[[str], list[int]]) -> bool:
+        text = " ".join(pieces)
+        want = (" " + text).encode()
+        sides = [np.array(x, np.int32) for x in (encode(" " + text), self.b.encode(text, num_threads=1))]
+        edge = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces)))
+        counts = []
+        for own, lengths, known in zip(sides, self.lengths, (self.a_bytes, self.b_bytes), strict=True):
+            ends = np.cumsum(lengths[own])
+            at = np.searchsorted(ends, edge)
+            if ends[-1] != edge[-1] or (ends[at] != edge).any() or b"".join([known[x] or b"" for x in own.tolist()]) != want:
+                return False
+            counts.append(np.diff(at + 1, prepend=0))
+        self._store(pieces, sides, np.stack(counts, 1))
+        return True
+
+    def _store(self, pieces: list[str], ids: list[np.ndarray], counts: np.ndarray) -> None:
+        """Remember pieces with their ids, one after another, and how many each has on either side."""
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        used = np.maximum(counts, 0)
+        start = np.cumsum(used, 0) - used + np.array([len(x) for x in self.ids])
+        self.spans = np.concatenate([self.spans, np.stack([start[:, 0], counts[:, 0], start[:, 1], counts[:, 1]], 1)])
+        self.ids = [np.concatenate(x) for x in zip(self.ids, ids, strict=True)]
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """sizes (documents x 4), digests, and of all links the document and the pair (as one number)."""
+        """sizes (documents x n_a, n_b, n_groups, n_links), digests, and of all links the document and the pair (as one number)."""
         split = [self.pieces(t) if t else [] for t in texts]
-        if len(self.ids) > CACHED_PIECES:
+        if len(self.known) > CACHED_PIECES:
             self.forget()
-        if new := list({p for s in split for p in s if p not in self.ids}):
+        known = self.known
+        if new := [p for p in set(chain.from_iterable(split)) if p not in known]:
             self.learn(new)
-        known = [np.fromiter(map(self.ids.__getitem__, s), np.int64, len(s)) for s in split]
-        sizes, table_ = np.zeros((len(texts), 4), np.int64), np.array(self.sizes or [(0, 0, 0, 0)], np.int64)
-        digests, used = [], []
-        for row, ids in enumerate(known):
-            own = table_[ids]
-            if len(ids) and own.min() >= 0:
-                sizes[row] = own.sum(0)
-                digests.append(hashlib.sha256(";".join(map(self.groups.__getitem__, ids)).encode()).hexdigest())
-                used.append(ids)
-            else:
-                digests.append("")
-        pairs = np.concatenate([np.zeros(0, np.int64), *[self.links[i] for ids in used for i in ids]])
-        return sizes, digests, np.repeat(np.arange(len(texts)), sizes[:, 3]), pairs
+        count = np.array([len(s) for s in split], np.int64)
+        piece = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        spans = self.spans[piece]
+        doc = np.repeat(np.arange(len(texts)), count)
+        bad = np.zeros(len(texts), bool)
+        bad[doc[spans[:, 1] < 0]] = True
+        spans, doc = spans[~bad[doc]], doc[~bad[doc]]
+        ids = [self.ids[side][runs(spans[:, 2 * side], spans[:, 2 * side + 1])].astype(np.int64) for side in (0, 1)]
+        holder = [np.repeat(doc, spans[:, 2 * side + 1]) for side in (0, 1)]
+        ends = [np.cumsum(n[x]) for n, x in zip(self.lengths, ids, strict=True)]
+        common, at_a, at_b = merge_ends(*ends)
+        pairs, of = ids[0][at_a] * self.size_b + ids[1][at_b], holder[0][at_a]
+        group = [np.searchsorted(common, e) for e in ends]
+        group_of = np.zeros(len(common), np.int64)
+        group_of[group[0]] = holder[0]
+        sizes = np.stack([np.bincount(x, minlength=len(texts)) for x in (*holder, group_of, of)], 1).astype(np.int64)
+        return sizes, self._digests(ids, group, len(common), sizes), of, pairs
+
+    def _digests(self, ids: list[np.ndarray], group: list[np.ndarray], groups: int, sizes: np.ndarray) -> list[str]:
+        """SHA-256 of each document's groups, written out as decimal ids: commas within a side, a bar between the sides, semicolons between groups."""
+        held = [np.bincount(g, minlength=groups) for g in group]
+        start = np.cumsum(held[0] + held[1]) - held[0] - held[1]
+        place = [start[group[0]] + np.arange(len(ids[0])) - (np.cumsum(held[0]) - held[0])[group[0]], start[group[1]] + held[0][group[1]] + np.arange(len(ids[1])) - (np.cumsum(held[1]) - held[1])[group[1]]]
+        token = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        after = np.full(len(token), ord(","), np.uint8)
+        for side in (0, 1):
+            token[place[side]] = ids[side]
+        after[start + held[0] - 1] = ord("|")
+        after[start + held[0] + held[1] - 1] = ord(";")
+        width = self.digits[token] + 1
+        end = np.cumsum(width)
+        out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+        out[runs(end - width, width - 1)] = self.pool[runs(self.digit_at[token], width - 1)]
+        out[end - 1] = after
+        tokens = np.cumsum(sizes[:, 0] + sizes[:, 1])
+        edge = np.concatenate([[0], end])[np.concatenate([[0], tokens])]
+        view = memoryview(out)
+        return [hashlib.sha256(view[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
 
 
 def aligner(first: str, second: str) -> Aligner:
@@ -142,21 +214,31 @@ def aligner(first: str, second: str) -> Aligner:
 _CHUNK = "chunk long, key_a array<long>, key_b array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>, pairs array<long>, n_docs array<long>, held binary"
 
 
-def _one_chunk(tool: Aligner, chunk: int, keys: np.ndarray, texts: list[str | None]) -> dict:
-    sizes, digests, doc, pair = tool.align(texts)
-    order = np.lexsort((pair, doc))
-    doc, pair = doc[order], pair[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(pair)))
-    pairs, place, n_docs = np.unique(pair[first], return_inverse=True, return_counts=True)
-    per_doc = np.bincount(doc[first], minlength=len(texts))
-    begin = (np.cumsum(per_doc) - per_doc)[per_doc > 0]
-    step = np.diff(place, prepend=0)
-    step[begin] = place[begin]  # each document starts anew
-    held = zstandard.compress(np.concatenate([[len(texts)], per_doc, step, times]).astype("<i4").tobytes(), 3)
-    return {"chunk": chunk, "key_a": keys[:, 0], "key_b": keys[:, 1], **{n: sizes[:, i] for i, n in enumerate(MADE[:4])}, "digest": digests, "pairs": pairs, "n_docs": n_docs, "held": held}
+class _Chunk:
+    """Documents of one chunk, aligned a megabyte at a time."""
+
+    def __init__(self, tool: Aligner):
+        self.tool, self.keys, self.sizes, self.digests, self.held, self.rows, self.size = tool, [], [], [], [], 0, 0
+
+    def add(self, keys: list[tuple[int, int]], texts: list[str | None]) -> None:
+        sizes, digests, doc, pairs = self.tool.align(texts)
+        self.held.append(np.unique((doc + self.rows) << 47 | pairs, return_counts=True))
+        self.keys += keys
+        self.sizes.append(sizes)
+        self.digests += digests
+        self.rows, self.size = self.rows + len(texts), self.size + sum(len(t or "") for t in texts)
+
+    def row(self, number: int) -> dict:
+        both, times = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        doc, pair = both >> 47, both & ((1 << 47) - 1)
+        pairs, place, n_docs = np.unique(pair, return_inverse=True, return_counts=True)
+        per_doc = np.bincount(doc, minlength=self.rows)
+        begin = (np.cumsum(per_doc) - per_doc)[per_doc > 0]
+        step = np.diff(place, prepend=0)
+        step[begin] = place[begin]  # each document starts anew
+        held = zstandard.compress(np.concatenate([[self.rows], per_doc, step, times]).astype("<i4").tobytes(), 3)
+        keys, sizes = np.array(self.keys, np.int64), np.concatenate(self.sizes)
+        return {"chunk": number, "key_a": keys[:, 0], "key_b": keys[:, 1], **{n: sizes[:, i] for i, n in enumerate(MADE[:4])}, "digest": self.digests, "pairs": pairs, "n_docs": n_docs, "held": held}
 
 
 def held_pairs(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,21 +257,23 @@ def token_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fir
     """One row a chunk of documents, with both tokenizers' groups and links; documents are known by 128 bits of id and text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, n, rows, texts, size = aligner(first, second), 0, [], [], 0
-
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame([_one_chunk(tool, (TaskContext.get().partitionId() << 33) + n, np.array(rows, np.int64), texts)])
-
+        tool, number = aligner(first, second), TaskContext.get().partitionId() << 33
+        chunk, keys, texts, size = _Chunk(tool), [], [], 0
         for frame in frames:
-            for a, b, t in zip(frame["a"], frame["b"], frame["t"], strict=True):
-                rows.append((a, b))
+            for a, b, t in zip(frame["a"].tolist(), frame["b"].tolist(), frame["t"], strict=True):
+                keys.append((a, b))
                 texts.append(t)
                 size += len(t or "")
-                if size >= CHUNK_BYTES:
-                    yield flush()
-                    n, rows, texts, size = n + 1, [], [], 0
-        if rows:
-            yield flush()
+                if size >= STEP_BYTES or len(texts) >= MOST_ROWS:
+                    chunk.add(keys, texts)
+                    keys, texts, size = [], [], 0
+                    if chunk.size >= CHUNK_BYTES or chunk.rows >= MOST_ROWS:
+                        yield pd.DataFrame([chunk.row(number)])
+                        chunk, number = _Chunk(tool), number + 1
+        if texts:
+            chunk.add(keys, texts)
+        if chunk.rows:
+            yield pd.DataFrame([chunk.row(number)])
 
     key = row_identity(doc_id, text)
     return docs.select(key["a"].alias("a"), key["b"].alias("b"), docs[text].alias("t")).mapInPandas(run, _CHUNK)
