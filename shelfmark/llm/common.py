@@ -25,11 +25,11 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: a cut in the lineage that outlives executors."""
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: a cut in the lineage that outlives executors. Options are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,110 +34,125 @@ from .common import materialize, row_identity, table
 
 ORDER, BUCKETS, LEAST_WORDS, SHARE, SEED = 2, 10_000, 20, 25, 7
 #: Text of a chunk and of a part; neither changes a result.
-CHUNK_BYTES, PART_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, PART_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20, 3 << 17
+#: Documents of a chunk at most; a batch from Spark holds fewer.
+MOST_ROWS = 1 << 16
 MADE = ["n_features", "weight", "score", "rank"]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
-_T = "row long, bucket int, n long, a long, b long, n_words long"
+#: In place of a bucket: the two halves of a document's identity, and its words. In place of a row: the whole table.
+KEY_A, KEY_B, N_WORDS, ALL = -1, -2, -3, -1
+#: Rows of a batch that a part gives back at once.
+BATCH_ROWS = 1 << 16
 
 
 def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bytes of the spans, one after another."""
     size = ends - starts
     shift = np.repeat(starts - (np.cumsum(size) - size), size)
-    return buf[shift + np.arange(len(shift))]
+    shift += np.arange(len(shift))
+    return buf[shift]
 
 
-def joined_words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's words in lower case, each followed by one space: (bytes, starts, ends, words of each row)."""
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def block_features(buf: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+    """The words of a block in lower case, each followed by one space, and its features in them: (bytes, starts, ends, row, hash, words of each row)."""
     buf = _LOWER[buf]
     starts, ends, first = B.word_spans(buf, bounds, _GAP)
-    size = ends - starts
+    words, size = np.diff(first), ends - starts
     at = np.cumsum(size + 1) - size - 1
     out = np.full(int(size.sum()) + len(size), 32, np.uint8)
-    if len(size):
-        out[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = gather(buf, starts, ends)
-    return out, at, at + size, np.diff(first)
-
-
-def chunk_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
-    """Distinct features of a chunk in order of their first place, and who has them: (start, end, hash, documents) of each feature, then
-    (document, times) of the documents of the first, of the second and so on. A string may come twice if two hashes are equal."""
-    doc = np.repeat(np.arange(len(words)), words)
-    spans = [(starts, ends, doc)] + [(starts[: 1 - k], ends[k - 1 :], np.where(doc[: 1 - k] == doc[k - 1 :], doc[: 1 - k], -1)) for k in range(2, order + 1)]
-    a, b, d = (np.concatenate(x) for x in zip(*spans, strict=True))
-    a, b, d = (x[d >= 0] for x in (a, b, d))
-    values = B.byte_values(buf)
-    one, two = B.spans_hash(values, a, b), B.spans_hash(values, a, b, 0xA0761D6478BD642F)
-    by = np.argsort(one, kind="stable")  # within a feature by place, so by document
-    one, two, d = one[by], two[by], d[by]
+    out[runs(at, size)] = gather(buf, starts, ends)
+    row = np.repeat(np.arange(len(words)), words)
+    spans = [(at, at + size, row)]
+    for k in range(2, order + 1):
+        same = np.flatnonzero(row[: 1 - k] == row[k - 1 :])
+        spans.append((at[same], (at + size)[same + k - 1], row[same]))
+    a, b, row = (np.concatenate(x) for x in zip(*spans, strict=True))
+    return out, a.astype(np.int32), b.astype(np.int32), row.astype(np.int32), B.spans_hash(B.byte_values(out), a, b), words
+
+
+def chunk_features(a: np.ndarray, b: np.ndarray, row: np.ndarray, hashed: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    """Distinct features of a chunk by part and place, and who has them: (start, end, part, documents) of each feature, then (document, times)
+    of the documents of the first, of the second and so on.
+
+    Features are sorted by 48 bits of their hash and the document, and told apart by all 64. Of two strings that share the 48, one may come
+    more than once; the part that gets them unifies equal strings."""
+    by = np.argsort((hashed & ~np.uint64(MOST_ROWS - 1)) | row.astype(np.uint64))
+    hashed, row = hashed[by], row[by]
     new = np.ones(len(by), bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    new[1:] = hashed[1:] != hashed[:-1]
     own = new.copy()
-    own[1:] |= d[1:] != d[:-1]
+    own[1:] |= row[1:] != row[:-1]
     entry = np.flatnonzero(own)
-    times, of, holder = np.diff(np.append(entry, len(by))), (np.cumsum(new) - 1)[entry], d[entry]
-    head = by[new]
-    rank = np.argsort(a[head], kind="stable")
-    place = np.empty_like(rank)
-    place[rank] = np.arange(len(rank))
-    again = np.argsort(place[of], kind="stable")
-    return a[head][rank], b[head][rank], one[new][rank], np.bincount(of, minlength=len(head))[rank], holder[again], times[again]
+    head = np.flatnonzero(new)
+    times, holder = np.diff(np.append(entry, len(by))), row[entry]
+    first_entry = np.searchsorted(entry, head)
+    holders = np.diff(np.append(first_entry, len(entry)))
+    part = (hashed[head] % np.uint64(parts)).astype(np.int64)
+    a, b = a[by[head]].astype(np.int64), b[by[head]].astype(np.int64)
+    rank = np.argsort((part << 40) | a)
+    at = runs(first_entry[rank], holders[rank])
+    return a[rank], b[rank], part[rank], holders[rank], holder[at], times[at]
 
 
 def pack(lengths: np.ndarray, holders: np.ndarray, doc: np.ndarray, times: np.ndarray, text: np.ndarray) -> bytes:
-    head = np.concatenate([[len(lengths), len(doc)], lengths, holders, np.diff(doc, prepend=0), times]).astype("<i4")
-    return zstandard.compress(head.tobytes() + text.tobytes(), 3)
+    """Numbers go by byte planes, as most fit in one."""
+    head = np.concatenate([lengths, holders, np.diff(doc, prepend=0), times]).astype("<i4")
+    planes = np.ascontiguousarray(head.view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(np.array([len(lengths), len(doc)], "<i4").tobytes() + planes.tobytes() + text.tobytes(), 3)
 
 
 def unpack(packet: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.decompress(packet)
-    n, m = np.frombuffer(raw, "<i4", 2)
-    head = np.frombuffer(raw, "<i4", 2 * int(n) + 2 * int(m), 8).astype(np.int64)
+    raw = np.frombuffer(zstandard.decompress(packet), np.uint8)
+    n, m = (int(x) for x in raw[:8].view("<i4"))
+    size = 2 * (n + m)
+    head = np.ascontiguousarray(raw[8 : 8 + 4 * size].reshape(4, -1).T).view("<i4").ravel()
     lengths, holders, doc, times = np.split(head, [n, 2 * n, 2 * n + m])
-    return lengths, holders, np.cumsum(doc), times, np.frombuffer(raw, np.uint8)[8 + 4 * len(head) :]
+    return lengths, holders, np.cumsum(doc, dtype=np.int64), times, raw[8 + 4 * size :]
 
 
 def _send(parts: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, held, size = TaskContext.get().partitionId() << 40, [], 0
+        base, held, size, rows = TaskContext.get().partitionId() << 40, [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal base, held, size
-            shift = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
-            buf, words = np.concatenate([h[0] for h in held]), np.concatenate([h[3] for h in held])
-            starts, ends = (np.concatenate([h[i] + s for h, s in zip(held, shift, strict=True)]) for i in (1, 2))
-            keys = [np.concatenate([h[i] for h in held]) for i in (4, 5)]
-            a, b, hashed, holders, doc, times = chunk_features(buf, starts, ends, words, order) if len(starts) else (np.zeros(0, np.int64),) * 6
-            part = (hashed % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            entry_part = np.repeat(part, holders)
-            entry_by = np.argsort(entry_part, kind="stable")
-            edge, entry_edge = np.searchsorted(part[by], np.arange(parts + 1)), np.searchsorted(entry_part[entry_by], np.arange(parts + 1))
-            numbers, packets = [], []
-            for p in np.flatnonzero(np.diff(edge)):
-                x, e = by[edge[p] : edge[p + 1]], entry_by[entry_edge[p] : entry_edge[p + 1]]
-                numbers.append(p)
+            nonlocal base, held, size, rows
+            shift, below = (np.cumsum([0, *[len(h[i]) for h in held[:-1]]]) for i in (0, 5))
+            buf, hashed, words, key_a, key_b = (np.concatenate([h[i] for h in held]) for i in (0, 4, 5, 6, 7))
+            a, b = (np.concatenate([h[i] + np.int32(s) for h, s in zip(held, shift, strict=True)]) for i in (1, 2))
+            row = np.concatenate([h[3] + np.int32(s) for h, s in zip(held, below, strict=True)])
+            held = []
+            a, b, part, holders, doc, times = chunk_features(a, b, row, hashed, parts)
+            edge = np.searchsorted(part, np.arange(parts + 1))
+            entry_edge = np.concatenate([[0], np.cumsum(holders)])[edge]
+            numbers = np.flatnonzero(np.diff(edge))
+            packets = []
+            for p in numbers:
+                x, e = slice(edge[p], edge[p + 1]), slice(entry_edge[p], entry_edge[p + 1])
                 packets.append(pack(b[x] - a[x], holders[x], doc[e], times[e], gather(buf, a[x], b[x])))
-            rows, n = len(words), len(packets)
-            own = np.arange(base, base + rows)
+            n, own = len(packets), np.arange(base, base + rows)
             made = {
-                "part": pa.array(np.concatenate([own % parts, np.array(numbers, np.int64)]), pa.int32()), "row": pa.array(np.concatenate([own, np.full(n, base)])),
-                "a": pa.array([*keys[0], *[None] * n], pa.int64()), "b": pa.array([*keys[1], *[None] * n], pa.int64()), "n_words": pa.array([*words, *[None] * n], pa.int64()),
+                "part": pa.array(np.concatenate([own % parts, numbers]), pa.int32()), "row": pa.array(np.concatenate([own, np.full(n, base)])),
+                **{name: pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(n, pa.int64())]) for name, x in (("a", key_a), ("b", key_b), ("n_words", words))},
                 "packet": pa.array([None] * rows + packets, pa.binary()),
             }
-            base, held, size = base + rows, [], 0
+            base, held, size, rows = base + rows, [], 0, 0
             return pa.RecordBatch.from_pydict(made)
 
         for batch in batches:
             keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            for low, high, buf, bounds in B.text_blocks(batch.column(2)):
-                held.append((*joined_words(buf, bounds), keys[0][low:high], keys[1][low:high]))
-                size += len(buf)
-                if size >= CHUNK_BYTES:
+            for low, high, buf, bounds in B.text_blocks(batch.column(2), BLOCK_BYTES):
+                if held and (size + len(buf) > CHUNK_BYTES or rows + high - low > MOST_ROWS):
                     yield flush()
+                held.append((*block_features(buf, bounds, order), keys[0][low:high], keys[1][low:high]))
+                size, rows = size + len(buf), rows + high - low
         if held:
             yield flush()
 
@@ -149,41 +164,41 @@ def _count(buckets: int):
         """Unify and count the strings of a part, and give the bucket of each entry."""
         rows = part.filter(pa.compute.is_valid(part["a"]))
         sent = part.filter(pa.compute.is_valid(part["packet"]))
+        out = [(rows["row"].to_numpy(), np.full(len(rows), code, np.int32), rows[name].to_numpy()) for code, name in ((KEY_A, "a"), (KEY_B, "b"), (N_WORDS, "n_words"))]
         read = [unpack(x.as_py()) for x in sent["packet"]]
-        out = [pa.table({"row": rows["row"], "bucket": pa.nulls(len(rows), pa.int32()), "n": pa.nulls(len(rows), pa.int64()), "a": rows["a"], "b": rows["b"], "n_words": rows["n_words"]})]
         if read:
             lengths, holders, _, times, text = (np.concatenate(x) for x in zip(*read, strict=True))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
             strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
             distinct, entry = strings.dictionary, np.repeat(strings.indices.to_numpy(), holders)
-            bucket = np.fromiter((zlib.crc32(s) % buckets for s in distinct.to_pylist()), np.int32, len(distinct))
+            ends = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1].tolist()
+            data = memoryview(distinct.buffers()[2]) if len(distinct) else b""
+            bucket = np.fromiter((zlib.crc32(data[i:j]) % buckets for i, j in zip(ends, ends[1:], strict=False)), np.int32, len(distinct))
             counts = np.bincount(entry, times, len(distinct)).astype(np.int64)  # of each distinct string, in the whole corpus
             total = np.bincount(bucket, counts, buckets).astype(np.int64)
             doc = np.concatenate([first + d for first, (_, _, d, _, _) in zip(sent["row"].to_pylist(), read, strict=True)])
             by = np.argsort(doc, kind="stable")
             used = np.flatnonzero(total)
-            nothing = pa.nulls(len(doc), pa.int64())
-            out.append(pa.table({"row": doc[by], "bucket": bucket[entry][by], "n": times[by], "a": nothing, "b": nothing, "n_words": nothing}))
-            nothing = pa.nulls(len(used), pa.int64())
-            out.append(pa.table({"row": nothing, "bucket": used.astype(np.int32), "n": total[used], "a": nothing, "b": nothing, "n_words": nothing}))
-        return pa.concat_tables(out)
+            out += [(doc[by], bucket[entry[by]], times[by].astype(np.int64)), (np.full(len(used), ALL), used.astype(np.int32), total[used])]
+        made = [pa.table({"row": row, "bucket": code, "n": n}) for row, code, n in out]
+        return pa.Table.from_batches([x for t in made for x in t.to_batches(max_chunksize=BATCH_ROWS)], made[0].schema)
 
     return run
 
 
 def feature_buckets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
-    """Three sorts of rows: (row, a, b, n_words) of each document, (row, bucket, n) of its distinct features, and (bucket, n) of the whole
-    table without a row, added up over the distinct features of a part."""
+    """(row, bucket, n): for each document its distinct features by bucket, and its identity and words under KEY_A, KEY_B and N_WORDS; and under the row ALL
+    the counts of the whole table by bucket, added up over the distinct features of a part."""
     size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
     parts, key = max(1, size // PART_BYTES), row_identity(doc_id, text)
     sent = docs.select(key["a"].alias("a"), key["b"].alias("b"), docs[text].alias("t")).mapInArrow(_send(parts, order), "part int, row long, a long, b long, n_words long, packet binary")
-    return sent.groupBy("part").applyInArrow(_count(buckets), _T)
+    return sent.groupBy("part").applyInArrow(_count(buckets), "row long, bucket int, n long")
 
 
 def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, gain), one row a bucket: 1000 times the logarithm of how much commoner it is in the target, with one added to every bucket."""
     spark = source.sparkSession
-    sums = [x.filter("row is null").groupBy("bucket").agg(F.sum("n").alias(name)) for x, name in ((source, "s"), (target, "t"))]
+    sums = [x.filter(F.col("row") == ALL).groupBy("bucket").agg(F.sum("n").alias(name)) for x, name in ((source, "s"), (target, "t"))]
     each = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(sums[0], "bucket", "left").join(sums[1], "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in "st"])
     totals = each.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
     ratio = (F.col("t") + 1) * (F.col("all_s") + buckets) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
@@ -192,10 +207,11 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
 
 def importance_weights(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str = "doc_id", target_text: str = "text", target_id: str = "item_id", order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
     """docs without the text, with n_words, n_features and weight."""
-    source = materialize(feature_buckets(docs, text, doc_id, order, buckets))
+    source = materialize(feature_buckets(docs, text, doc_id, order, buckets), compression="zstd")
     gained = materialize(gains(source, feature_buckets(target, target_text, target_id, order, buckets), buckets))
-    total = source.filter("bucket is not null and row is not null").join(F.broadcast(gained), "bucket").groupBy("row").agg(F.sum("n").alias("n_features"), F.sum(F.col("n") * F.col("gain")).alias("total"))
-    known = source.filter("a is not null").select("row", F.struct("a", "b").alias("_key"), "n_words").join(total, "row", "left")
+    total = source.filter((F.col("bucket") >= 0) & (F.col("row") != ALL)).join(F.broadcast(gained), "bucket").groupBy("row").agg(F.sum("n").alias("n_features"), F.sum(F.col("n") * F.col("gain")).alias("total"))
+    parts = {name: F.max(F.when(F.col("bucket") == code, F.col("n"))) for name, code in (("a", KEY_A), ("b", KEY_B), ("n_words", N_WORDS))}
+    known = source.filter("bucket < 0").groupBy("row").agg(*[c.alias(name) for name, c in parts.items()]).select("row", F.struct("a", "b").alias("_key"), "n_words").join(total, "row", "left")
     n = F.coalesce("n_features", F.lit(0))
     one = known.groupBy("_key").agg(F.first("n_words").alias("_n_words"), F.first(n).alias("_n_features"), F.first(F.when(n > 0, F.floor(F.col("total") / n)).otherwise(0)).cast("long").alias("_weight"))
     made = ["n_words", "n_features", "weight"]

@@ -53,7 +53,7 @@ def plain_alignment(tool, text):
 
 
 def test_alignment_equals_whole_texts(spark, tool):
-    assert tool.breaks
+    assert tool.breaks and tool.quick
     plain = [plain_alignment(tool, t) for _, t in HARD]
     assert sum(p is None for p in plain) >= 4
     count = Counter(x for p in plain if p for x in set(p[3]))
@@ -77,7 +77,6 @@ def test_alignment_equals_whole_texts(spark, tool):
 def test_alignment_over_many_chunks_and_forgotten_pieces(spark, monkeypatch):
     rows = [(i, f"tokens of document {i % 7} are few, {'word ' * (i % 5)}end") for i in range(60)]
     whole = got(token_alignment.align_tokens(spark.createDataFrame(rows, "doc_id long, text string")), *token_alignment.MADE)
-    monkeypatch.setattr(token_alignment, "CHUNK_BYTES", 100)
     monkeypatch.setattr(token_alignment, "CACHED_PIECES", 5)
     small = token_alignment.Aligner(token_alignment.FIRST, token_alignment.SECOND)
     texts = [t for _, t in rows]
@@ -91,15 +90,20 @@ def test_alignment_of_an_empty_table(spark):
 
 
 def test_the_merge_of_ends():
-    assert token_alignment.merge_ends([2, 3, 7], [3, 5, 7]) == ([(2, 1), (3, 3)], [(0, 0), (1, 0), (2, 1), (2, 2)])
-    assert token_alignment.merge_ends([], []) == ([], [])
+    def merged(a, b):
+        return [x.tolist() for x in token_alignment.merge_ends(np.array(a, np.int64), np.array(b, np.int64))]
+
+    assert merged([2, 3, 7], [3, 5, 7]) == [[3, 7], [0, 1, 2, 2], [0, 0, 1, 2]]
+    assert merged([], []) == [[], [], []]
 
 
 def test_held_pairs_come_back(tool):
-    keys = np.arange(8).reshape(4, 2)
-    row = token_alignment._one_chunk(tool, 0, keys, ["a b a", None, "", "b a c"])
+    chunk = token_alignment._Chunk(tool)
+    for keys, texts in (([(1, 2), (3, 4)], ["a b a", None]), ([(5, 6), (7, 8)], ["", "b a c"])):
+        chunk.add(keys, texts)
+    row = chunk.row(0)
     doc, place, times = token_alignment.held_pairs(row["held"])
-    assert Counter(doc.tolist()).keys() == {0, 3} and times.sum() == row["n_links"].sum()
+    assert Counter(doc.tolist()).keys() == {0, 3} and times.sum() == row["n_links"].sum() and row["key_a"].tolist() == [1, 3, 5, 7]
     assert row["n_docs"].sum() == len(doc) and np.bincount(place).tolist() == row["n_docs"].tolist()
 
 
@@ -150,8 +154,10 @@ def test_chunks_unify_their_features():
     texts = ["a b a b", "b a", "", "a"]
     buf = np.frombuffer("".join(texts).encode(), np.uint8)
     bounds = np.cumsum([0, *map(len, texts)])
-    norm, starts, ends, words = importance_resampling.joined_words(buf, bounds)
-    a, b, _, holders, doc, times = importance_resampling.chunk_features(norm, starts, ends, words, 2)
+    norm, a, b, row, hashed, words = importance_resampling.block_features(buf, bounds, 2)
+    assert words.tolist() == [4, 2, 0, 1]
+    a, b, part, holders, doc, times = importance_resampling.chunk_features(a, b, row, hashed, 3)
+    assert part.tolist() == sorted(part.tolist())
     data, found, at = norm.tobytes(), {}, 0
     for x, y, n in zip(a, b, holders, strict=True):
         found[data[x:y].decode()] = list(zip(doc[at : at + n].tolist(), times[at : at + n].tolist(), strict=True))
