@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, table
+from .common import materialize, packed, table
 
 SIZE = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,7 +54,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     numbered = windows.select(F.xxhash64("window").alias("_h"), "window").distinct().select("_h", "window", F.posexplode("window").alias("at", "word"))
     rarest = numbered.join(counts, "word", "left").groupBy("_h", "window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "at")).alias("rare"))
     rarest = rarest.filter("rare.n > 0").select("window", F.col("rare.word").alias("prefix"), F.col("rare.at").alias("offset"))
-    index = rarest.join(windows, "window").cache()
+    index = materialize(rarest.join(windows, "window"))
     prefixes = index.select("prefix").distinct().limit(literal_words + 1).collect()
     base = docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs, keep).alias("_doc"), words(docs[text]).alias("_words")).withColumn("n_words", F.size("_words"))
     if len(prefixes) <= literal_words:
