@@ -153,7 +153,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     made = (text, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
     keep = [c for c in docs.columns if c not in made]
     scheme = Scheme(False, k, min(m, k))
-    keyed = docs.select(row_key(doc_id, text).alias("key"), docs[doc_id].cast("long").alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
+    keyed = docs.select(row_key(doc_id, text).alias("key"), docs[doc_id].cast("string").try_cast("long").alias("id"), packed(docs, keep).alias("_doc"), docs[text].alias("text"))
     total, _, hot = plan(keyed.select("key", "text"), scheme)
     chunks = max(4, total // chunk_bytes(total))
     chunk = F.pmod(F.xxhash64("key", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk")

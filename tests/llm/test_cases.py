@@ -75,6 +75,13 @@ def test_suffix_dedup(spark, rows):
     assert got(df, "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(plain.earlier(rows), rows)
 
 
+def test_suffix_dedup_leaves_rows_alone_whose_ids_are_no_numbers(spark):
+    """They lose no bytes and make no other row lose any, and 1.2 and 1.7 are not both 1."""
+    rows = [("1", BODY), ("2", BODY), ("x", BODY), ("1.2", BODY), (None, BODY), ("0", "short")]
+    out = suffix_dedup.remove_earlier(spark.createDataFrame(rows, "doc_id string, text string"), with_bytes=False).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {"1": 0, "2": len(BODY.encode()), "x": 0, "1.2": 0, None: 0, "0": 0}
+
+
 @pytest.mark.parametrize("rows", [ROWS, []], ids=["rows", "empty"])
 def test_ngram_join(spark, rows):
     assert got(ngram_join.similar_groups(frame(spark, rows)), "n_shingles", "component_id") == want(plain.groups(rows), rows)
