@@ -5,7 +5,9 @@ Money leaves as whole cents, so both sides agree to the last digit.
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,18 @@ from pyspark.sql import functions as F
 from ..operators import digest, scd2
 from ..operators.dates import DateWindow
 from ..operators.grain import bounds, dense_spine
+from ..sources import csv_files, keyed, raw, store
 from ..sources import star_schema as star
-from ..sources import store
-from . import gates, layers, marts
+from ..sources.versions import Versions
+from . import gates, layers, marts, reconcile
+from .pipeline import CHECKED, CLOSED, GRAIN, by_part, record_versions, replace_days
 
 RUN_DATE = date(1997, 6, 30)
 WINDOW = DateWindow.ending(RUN_DATE)
+#: Partition column of written marts: their days have a few rows each, so months are enough.
+PART = "order_month"
+#: Days of the daily snapshots, whose windows overlap.
+DAILY = [datetime(1997, 6, 15), datetime(1997, 6, 30), datetime(1997, 7, 14)]
 AS_OF = [datetime(1996, 6, 30), datetime(1997, 6, 30), datetime(1998, 12, 31)]
 
 
@@ -79,18 +87,25 @@ class Star:
         spine = dense_spine(star.event_stores(self.events), bounds((self.event_orders, "order_date"), (self.traffic, "traffic_date")))
         return marts.conversion(spine, self.traffic, self.event_orders, window)
 
+    def states(self, as_of: list[datetime]) -> list[DataFrame]:
+        """The sales mart as it was known at several times: returns that had come in by then; the first one was taken before every 211th
+        order's lines came in. Lines and returns are added up once, by what tells the states apart, and shared as written tables."""
+        items, orders = self.items, self.orders
+        lines = layers.order_lines(items, orders).groupBy("store_id", "order_date", "is_cancelled", (F.col("order_id") % 211 == 0).alias("late")).agg(F.sum("quantity").alias("quantity"), F.sum("line_amount").alias("line_amount"))
+        returned = layers.returns_attributed(layers.stage_returns(star.returns(items)), orders).groupBy("store_id", "order_date", "returned_date").agg(F.sum("returned_amount").alias("returned_amount"))
+        lines, returned, heads = store.settle(lines), store.settle(returned), store.settle(orders.select("store_id", "order_date", "is_cancelled"))
+        keys = ["store_id", "order_date", "orders_count", "revenue_gross", "returns_amount", "revenue_net"]
+        found = []
+        for i, at in enumerate(as_of):
+            here = lines.filter("not late") if i == 0 else lines
+            found.append(marts.sales(self.spine, heads, here, returned.filter(F.col("returned_date") <= F.lit(at.date()))).select(*keys))
+        return found
+
     @property
     def versions(self) -> DataFrame:
-        """Three snapshots: returns known by then; the first one was taken before every 211th order's lines came in.
-
-        All read the same deduplicated lines and orders, which are kept while the session can hold them."""
-        keys, checked = ["store_id", "order_date"], ["orders_count", "revenue_gross", "returns_amount", "revenue_net"]
-        found, items, orders = None, self.items.persist(), self.orders.persist()
-        all_lines, all_returns, spine = layers.order_lines(items, orders), layers.returns_attributed(layers.stage_returns(star.returns(items)), orders), self.spine
-        for i, at in enumerate(AS_OF):
-            lines = all_lines.filter("order_id % 211 <> 0") if i == 0 else all_lines
-            known = all_returns.filter(F.col("returned_date") <= F.lit(at.date()))
-            mart = marts.sales(spine, orders, lines, known).select(*keys, *checked)
+        """Three snapshots of those states."""
+        keys, checked, found = ["store_id", "order_date"], ["orders_count", "revenue_gross", "returns_amount", "revenue_net"], None
+        for at, mart in zip(AS_OF, self.states(AS_OF), strict=True):
             found = scd2.first_snapshot(mart, keys, at) if found is None else scd2.snapshot(found, mart, keys, checked, at)
         return found
 
@@ -136,15 +151,151 @@ def _rewritten(s: Star) -> DataFrame:
 
 
 def _gate_suite(s: Star) -> DataFrame:
-    """The declared generic gates of the layers that the star schema has, with the rows that break each."""
+    """All 87 declared generic gates, with the rows that break each. The built tables are written and measured on the way, like in a run."""
     orders, returns = s.orders, s.returns
+    built = {"order_lines": _forced_orphans(s), "returns": returns, "spine": s.spine, "sales": s.sales(), "conversion": s.conversion(), "quality": s.flags, "revisions": scd2.revisions(s.versions, ["store_id", "order_date"])}
+    tables = Versions(s.spark, store.scratch(s.spark, "gated"))
+    with tables.change() as change:
+        counts = {name: change.put(name, df, watch=gates.single_row(name)) for name, df in built.items()}
+        counts["trend"] = change.put("trend", marts.trend(change.read("sales")), watch=gates.single_row("trend"))
+    written = tables.at()
     return gates.count_declared({
         "stg_stores": star.stores(s.spark, s.dir), "stg_orders": orders, "stg_order_items": s.items, "stg_returns": layers.stage_returns(star.returns(s.items)),
-        "stg_cancellations": layers.stage_cancellations(star.cancellations(s.raw_orders)), "order_lines": _forced_orphans(s), "returns": returns, "spine": s.spine, "sales": s.sales(),
+        "stg_cancellations": layers.stage_cancellations(star.cancellations(s.raw_orders)), "stg_store_traffic": s.traffic, **{name: gates.Measured(written.read(name), n) for name, n in counts.items()},
     })
 
 
+def _before_and_after(s: Star) -> tuple[Versions, DataFrame]:
+    """A set of tables whose sales mart first knows the returns up to the run date, then, as a second version, all of them on the window's days; and
+    the mart that knows all."""
+    known, whole = s.states([AS_OF[0], AS_OF[1], AS_OF[2]])[1:]
+    tables = Versions(s.spark, store.scratch(s.spark, "published"))
+    with tables.change() as change:
+        change.put("sales", by_part(known, PART), PART)
+        change.put("trend", by_part(marts.trend(change.read("sales")), PART), PART)
+    return tables, whole
+
+
+def _learn_all(tables: Versions, whole: DataFrame) -> None:
+    """A second version: the window's days of the sales mart learn of all returns, and the days of the trend that this can have moved follow."""
+    with tables.change() as change:
+        replace_days(change, "sales", WINDOW.cut(whole, "order_date"), WINDOW, PART)
+        replace_days(change, "trend", marts.trend(change.read("sales"), WINDOW), marts.trend_windows(WINDOW)[1], PART)
+
+
+def _published_versions(s: Star) -> DataFrame:
+    """Sales and trend of two versions; the first is opened before the second is written, and read after it."""
+    tables, whole = _before_and_after(s)
+    first = tables.at()
+    _learn_all(tables, whole)
+    both = [v.read("sales").join(v.read("trend").drop("revenue_net"), ["store_id", "order_date"]).select(F.lit(v.version).cast("long").alias("version"), "store_id", "order_date", cents("returns_amount"), cents("revenue_net"), "revenue_net_avg_7d") for v in (first, tables.at())]
+    return both[0].unionByName(both[1])
+
+
+def _trend_by_window(s: Star) -> DataFrame:
+    """The trend after the window's days changed: only the months of the days that this can have moved are read and written."""
+    tables, whole = _before_and_after(s)
+    _learn_all(tables, whole)
+    return tables.at().read("trend").select("store_id", "order_date", cents("revenue_net"), "revenue_net_avg_7d")
+
+
+def _snapshot_by_window(s: Star) -> DataFrame:
+    """Three daily snapshots on disk, each of the days that a run rebuilds."""
+    tables = Versions(s.spark, store.scratch(s.spark, "snapshots"))
+    for at, mart in zip(DAILY, s.states(DAILY), strict=True):
+        with tables.change() as change:
+            record_versions(change, mart.select(*GRAIN, *CHECKED), at, DateWindow.ending(at.date()), PART)
+    view = tables.at()
+    both = view.read("open_versions").drop(PART).unionByName(view.read("closed_versions").drop(CLOSED))
+    return both.select("store_id", "order_date", F.col("valid_from").cast("date").alias("valid_from"), F.col("valid_to").cast("date").alias("valid_to"), "orders_count", cents("revenue_gross"), cents("returns_amount"), cents("revenue_net"))
+
+
+class Keyed:
+    """Orders, their lines, returns and cancellations in buckets of order_id."""
+
+    def __init__(self, s: Star):
+        heads = s.raw_orders.filter("order_id % 97 <> 0")
+        n = keyed.buckets_for(s.raw_items.count())
+        self.stores = star.stores(s.spark, s.dir)
+        self.orders, self.items, self.returns, self.cancellations = (
+            keyed.write_keyed(df, store.scratch(s.spark, name), "order_id", n)
+            for name, df in (("orders", heads), ("items", s.raw_items), ("returns", star.returns(s.items)), ("cancellations", star.cancellations(s.raw_orders)))
+        )
+        self.traffic = s.traffic
+
+    def relationships(self) -> DataFrame:
+        """(gate, key): the rows whose parent is missing, for all five relationships; only the few stores are sent around."""
+        few = F.broadcast(self.stores) if self.stores.limit(100_001).count() <= 100_000 else self.stores
+        rows = [("orders_stores", self.orders, "store_id", few), ("items_orders", self.items, "order_id", self.orders), ("returns_orders", self.returns, "order_id", self.orders), ("cancellations_orders", self.cancellations, "order_id", self.orders), ("traffic_stores", self.traffic, "store_id", few)]
+        return reduce(DataFrame.unionByName, [gates.relationship(child, c, parent, c).select(F.lit(name).alias("gate"), F.col(c).cast("long").alias("key")) for name, child, c, parent in rows])
+
+
+def _keyed_lines(s: Star) -> DataFrame:
+    k = Keyed(s)
+    return layers.order_lines(layers.stage_order_items(k.items), layers.stage_orders(k.orders)).select(*_line_out())
+
+
+def _tree(s: Star) -> DataFrame:
+    return digest.digest_tree(store.settle(digest.day_digests(s.sales().select(*_sales_out()), "order_date"), "days"))
+
+
+def _differing_days(s: Star) -> DataFrame:
+    """Days on which the lines differ from lines in which one order in 997 lost a unit and another kind was left out."""
+    lines = s.items.select("order_id", "line_no", "order_date", "quantity", cents("line_amount"))
+    other = lines.filter("order_id % 1009 <> 0").withColumn("quantity", F.when(F.col("order_id") % 997 == 0, F.col("quantity") - 1).otherwise(F.col("quantity")))
+    trees = [digest.digest_tree(store.settle(digest.day_digests(df, "order_date"), "days")) for df in (lines, other)]
+    return digest.differing_days(*trees)
+
+
+def _built(s: Star) -> dict[str, DataFrame]:
+    """All tables that a reconciliation compares, for the regions as stores, written once."""
+    orders, raw_items = s.raw_orders, s.raw_items
+    items, heads = store.settle(s.items, "items"), s.orders
+    traffic = store.settle(star.shipment_traffic(raw_items, orders), "traffic")
+    returned = star.returns(items)
+    lines, returns = layers.order_lines(items, heads), layers.returns_attributed(layers.stage_returns(returned), heads)
+    spine = dense_spine(star.stores(s.spark, s.dir), bounds((heads, "order_date"), (traffic, "traffic_date")))
+    tables = Versions(s.spark, store.scratch(s.spark, "built"))
+    with tables.change() as change:
+        for name, make in (
+            ("int_order_lines", lambda: lines), ("returns", lambda: returns), ("spine", lambda: spine), ("mart_sales", lambda: marts.sales(change.read("spine"), heads, change.read("int_order_lines"), change.read("returns"))),
+            ("mart_conversion", lambda: marts.conversion(change.read("spine"), layers.stage_traffic(traffic), heads)), ("mart_trend", lambda: marts.trend(change.read("mart_sales"))), ("flags", lambda: marts.quality(change.read("mart_conversion"), change.read("returns"))),
+        ):
+            change.put(name, make())
+    view = tables.at()
+    return {"raw_stores": star.stores(s.spark, s.dir), "raw_orders": orders, "raw_order_items": raw_items, "raw_returns": returned, "raw_store_traffic": traffic, **{n: view.read(n) for n in ("int_order_lines", "spine", "mart_sales", "mart_conversion", "mart_trend", "flags")}}
+
+
+def _exported(s: Star) -> DataFrame:
+    """Lines written as CSV, some of whose cells can't be read back: quantities of one order in 211 as words, dates of one in 307 empty."""
+    lines = s.raw_items.select(*[F.col(f.name).cast(f.dataType) for f in raw.SOURCES["order_items"].schema])
+    spoilt = lines.withColumn("quantity", F.when(F.col("order_id") % 211 == 0, "many").otherwise(F.col("quantity").cast("string"))).withColumn("order_date", F.when(F.col("order_id") % 307 != 0, F.col("order_date")))
+    path = store.scratch(s.spark, "csv")
+    csv_files.write_csv(spoilt, path)
+    return csv_files.read_csv(s.spark, path, raw.SOURCES["order_items"].schema)
+
+
+def _landed_spine(s: Star) -> DataFrame:
+    """The spine over a horizon that is read off the partitions of the landed orders: their names, and the rows of the first and the last month."""
+    path = store.scratch(s.spark, "orders")
+    landed = s.raw_orders.select("order_id", "order_date", F.trunc("order_date", "month").alias(PART))
+    store.reload(landed.repartition(PART), path, PART)
+    return dense_spine(star.stores(s.spark, s.dir), store.edge_bounds(s.spark, path, PART, "order_date"))
+
+
 _BUILDERS = {
+    "published_versions": _published_versions,
+    "trend_by_window": _trend_by_window,
+    "snapshot_by_window": _snapshot_by_window,
+    "order_lines_keyed": _keyed_lines,
+    "relationships_keyed": lambda s: Keyed(s).relationships(),
+    "digest_tree": _tree,
+    "differing_days": _differing_days,
+    "publish_from_flags": lambda s: marts.publish_summary(s.sales(), s.conversion(), s.flags, RUN_DATE),
+    "reconcile_all": lambda s: reconcile.reconcile_all(_built(s)),
+    "csv_round_trip": lambda s: csv_files.sound(_exported(s)).groupBy("order_date").agg(F.count("*").alias("n_lines"), F.sum("quantity").alias("units"), F.sum(cents("line_amount")).alias("amount")),
+    "csv_bad_cells": lambda s: _exported(s).select("order_id", "line_no", F.explode("malformed").alias("cell")).select("order_id", "line_no", "cell.column", "cell.value"),
+    "day_spine_landed": _landed_spine,
     "sinks_rewritten": _rewritten,
     "gate_suite": _gate_suite,
     "flags_with_conversion": lambda s: s.flags.join(s.conversion().withColumnRenamed("traffic_date", "flag_date"), ["store_id", "flag_date"]).select("store_id", "flag_date", "check_name", "visitors", "orders_offline", F.round(100 * F.col("conversion"), 4).alias("conversion_percent")),
@@ -265,23 +416,16 @@ f_orders AS (SELECT store_id, traffic_date AS flag_date, 'orders_partition_missi
 f_traffic AS (SELECT store_id, traffic_date AS flag_date, 'traffic_partition_missing' AS check_name, 'traffic partition missing' AS reason, CAST(0 AS DOUBLE) AS measured_value, CAST(NULL AS DOUBLE) AS threshold_value FROM conv WHERE NOT has_traffic),
 flags AS (SELECT * FROM f_conversion UNION ALL SELECT * FROM f_late UNION ALL SELECT * FROM f_orders UNION ALL SELECT * FROM f_traffic)"""
 
-_VERSIONS = ",".join([
-    "\nlines_0 AS (SELECT * FROM i_lines WHERE order_id % 211 <> 0)",
-    *[f"\nknown_{i} AS (SELECT * FROM i_returns WHERE returned_date <= DATE '{at.date()}')" for i, at in enumerate(AS_OF)],
-    *[_mart_sql(f"m{i}", "lines_0" if i == 0 else "i_lines", f"known_{i}") for i in range(len(AS_OF))],
-    "\nstates AS (" + " UNION ALL ".join(f"SELECT store_id, order_date, DATE '{at.date()}' AS valid_from, orders_count, revenue_gross, returns_amount, revenue_net FROM m{i}" for i, at in enumerate(AS_OF)) + ")",
-    """
+_CHANGES = """
 changes AS (
   SELECT * FROM (
     SELECT *, row_number() OVER w AS state_no, lag(orders_count) OVER w AS oc, lag(revenue_gross) OVER w AS rg, lag(returns_amount) OVER w AS ra, lag(revenue_net) OVER w AS rn
     FROM states WINDOW w AS (PARTITION BY store_id, order_date ORDER BY valid_from))
   WHERE state_no = 1 OR orders_count IS DISTINCT FROM oc OR revenue_gross IS DISTINCT FROM rg OR returns_amount IS DISTINCT FROM ra OR revenue_net IS DISTINCT FROM rn
-)""",
-    """
+),
 versions AS (
   SELECT store_id, order_date, valid_from, lead(valid_from) OVER (PARTITION BY store_id, order_date ORDER BY valid_from) AS valid_to, orders_count, revenue_gross, returns_amount, revenue_net FROM changes
-)""",
-    """
+),
 log AS (
   SELECT store_id, order_date, valid_from AS revised_on, row_number() OVER w AS version_no, lag(revenue_net) OVER w AS revenue_net_was, revenue_net AS revenue_net_became,
          revenue_net - lag(revenue_net) OVER w AS revenue_net_delta, lag(returns_amount) OVER w AS returns_amount_was, returns_amount AS returns_amount_became,
@@ -289,8 +433,22 @@ log AS (
               WHEN revenue_gross IS DISTINCT FROM lag(revenue_gross) OVER w THEN 'raw layer rebuilt'
               WHEN orders_count IS DISTINCT FROM lag(orders_count) OVER w THEN 'order mix changed' ELSE 'other' END AS reason
   FROM versions WINDOW w AS (PARTITION BY store_id, order_date ORDER BY valid_from)
-)""",
-])
+)"""
+
+
+def _versions_sql(as_of: list[datetime], windowed: bool = False) -> str:
+    """The states of the mart at each time, what changed between them, and the log; windowed: after the first only days of the window are looked at."""
+    looked = ["TRUE" if i == 0 or not windowed else "order_date BETWEEN DATE '{}' AND DATE '{}'".format(DateWindow.ending(at.date()).low, at.date()) for i, at in enumerate(as_of)]
+    return ",".join([
+        "\nlines_0 AS (SELECT * FROM i_lines WHERE order_id % 211 <> 0)",
+        *[f"\nknown_{i} AS (SELECT * FROM i_returns WHERE returned_date <= DATE '{at.date()}')" for i, at in enumerate(as_of)],
+        *[_mart_sql(f"m{i}", "lines_0" if i == 0 else "i_lines", f"known_{i}") for i in range(len(as_of))],
+        "\nstates AS (" + " UNION ALL ".join(f"SELECT store_id, order_date, DATE '{at.date()}' AS valid_from, orders_count, revenue_gross, returns_amount, revenue_net FROM m{i} WHERE {looked[i]}" for i, at in enumerate(as_of)) + ")",
+        _CHANGES,
+    ])
+
+
+_VERSIONS = _versions_sql(AS_OF)
 
 _SALES = _BASE + "," + _mart_sql("mart")
 _SALES_WINDOW = _BASE + "," + _mart_sql("mart", low=str(WINDOW.low), high=str(WINDOW.high))
@@ -308,7 +466,8 @@ _LAYERS = {
     "stg_orders": "(SELECT *, CASE WHEN is_cancelled THEN 'cancelled' ELSE 'placed' END AS status FROM s_orders)", "stg_order_items": "s_items", "stg_returns": "i_returns",
     "stg_cancellations": "(SELECT order_id AS cancellation_id, order_id, order_date + CAST(order_id % 3 AS INTEGER) AS cancelled_date, 'changed mind' AS reason FROM s_orders WHERE (is_cancelled AND order_id % 41 <> 0) OR (NOT is_cancelled AND order_id % 97 = 0))",
     "order_lines": "(SELECT i.*, o.store_id, o.is_cancelled FROM s_items i LEFT JOIN (SELECT * FROM s_orders WHERE order_id % 97 <> 0) o ON i.order_id = o.order_id)",
-    "returns": "i_returns", "spine": "spine", "sales": "mart",
+    "returns": "i_returns", "spine": "spine", "sales": "mart", "stg_store_traffic": "(SELECT store_id, day AS traffic_date, visitors FROM e_traffic)", "conversion": "conv", "trend": "mart", "quality": "flags",
+    "revisions": "(SELECT *, revised_on AS revised_at FROM log WHERE version_no > 1)",
 }
 
 
@@ -322,10 +481,80 @@ def _gate_suite_sql() -> str:
         grains = [(f"{table}.{c} unique", c) for c in shape.unique] + [(f"{table} unique_grain", ", ".join(shape.grain))] * bool(shape.grain)
         parts += [f"SELECT '{name}', count(*) FROM (SELECT {keys} FROM {rows} x GROUP BY {keys} HAVING count(*) > 1)" for name, keys in grains]
         parts += [f"SELECT '{table}.{c} relationship', count(*) FROM {rows} x WHERE NOT EXISTS (SELECT 1 FROM {_LAYERS[p]} y WHERE y.{c} = x.{c})" for c, p in shape.parents.items()]
-    return _SALES + " " + " UNION ALL ".join(parts)
+    return _SALES + "," + _EVENTS + "," + _VERSIONS + " " + " UNION ALL ".join(parts)
+
+
+_TREND = "CASE WHEN count(revenue_net) OVER w = 7 THEN CAST(sum(revenue_net) OVER w AS DOUBLE) / 7 / 100 END AS revenue_net_avg_7d"
+_AXIS = "WINDOW w AS (PARTITION BY store_id ORDER BY order_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+#: The mart before and after the window's days learnt of all returns.
+_TWO = _BASE + "," + _versions_sql(AS_OF) + f""",
+before AS (SELECT * FROM m1), after AS (SELECT * FROM m2 WHERE order_date {{window}} UNION ALL SELECT * FROM m1 WHERE NOT (order_date {{window}}))"""
+
+
+def _digests(rows: str, columns: list[str], day: str = "order_date") -> str:
+    """CTEs h, slot, d and m: digests of rows, slots, days and months."""
+    return f"""h AS (SELECT {day} AS day, md5(concat_ws(chr(31), {', '.join(_TEXT.format(c) for c in columns)})) AS h FROM {rows}),
+slot AS (SELECT day, substr(h, 1, 2) AS slot, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2),
+d AS (SELECT CAST(day AS VARCHAR) AS key, CAST(sum(n) AS BIGINT) AS n_rows, md5(string_agg(d, '' ORDER BY slot)) AS digest FROM slot GROUP BY day),
+m AS (SELECT substr(key, 1, 7) AS key, CAST(sum(n_rows) AS BIGINT) AS n_rows, md5(string_agg(digest, '' ORDER BY key)) AS digest FROM d GROUP BY 1)"""
+
+
+def _reconcile_sql() -> str:
+    """The checks over the regions as stores, with the built tables made here again."""
+    money = "CAST({0} * 0.01 AS DECIMAL(22, 2)) AS {0}"
+    tables = _BASE + f""",
+raw_stores AS (SELECT CAST(r_regionkey AS INTEGER) AS store_id, DATE '1995-01-01' + CAST(100 * r_regionkey AS INTEGER) AS opened_on FROM region),
+raw_orders AS (SELECT order_id, store_id, order_date, channel, CASE WHEN is_cancelled THEN 'cancelled' ELSE 'placed' END AS status FROM s_orders),
+raw_order_items AS (SELECT order_id, line_no, sku, quantity, {money.format('unit_price')}, {money.format('line_amount')} FROM r_items),
+raw_returns AS (SELECT order_id, order_date, returned_date, {money.format('returned_amount')} FROM i_returns),
+raw_store_traffic AS (SELECT o.store_id, ship_date AS traffic_date, count(*) FILTER (WHERE quantity > 25) AS visitors FROM r_items i JOIN s_orders o ON i.order_id = o.order_id GROUP BY 1, 2),
+int_order_lines AS (SELECT order_id, line_no, quantity, {money.format('line_amount')} FROM i_lines),
+wide AS (SELECT min(d) AS first_day, max(d) AS last_day FROM (SELECT order_date AS d FROM s_orders UNION ALL SELECT traffic_date FROM raw_store_traffic)),
+spine_ AS (SELECT store_id, CAST(d AS DATE) AS calendar_date FROM raw_stores, wide, LATERAL (SELECT unnest(generate_series(CAST(greatest(opened_on, first_day) AS TIMESTAMP), CAST(last_day AS TIMESTAMP), INTERVAL 1 DAY)) AS d)),
+{_mart_sql('made').replace('FROM spine s', 'FROM spine_ s')},
+mart_sales AS (SELECT store_id, order_date, has_orders, orders_count, orders_cancelled_count, lines_count, units_sold, {money.format('revenue_gross')}, {money.format('returns_amount')}, {money.format('returns_arrived_amount')}, {money.format('revenue_net')} FROM made),
+mart_trend AS (SELECT store_id, order_date, {money.format('revenue_net')}, {_TREND} FROM made {_AXIS}),
+counted AS (SELECT store_id, order_date, count(*) FILTER (WHERE is_offline AND NOT is_cancelled) AS n FROM s_orders GROUP BY 1, 2),
+mart_conversion AS (
+  SELECT s.store_id, s.calendar_date AS traffic_date, t.store_id IS NOT NULL AS has_traffic, o.store_id IS NOT NULL AS has_orders, t.visitors, o.n AS orders_offline, CAST(o.n AS DOUBLE) / nullif(t.visitors, 0) AS conversion
+  FROM spine_ s LEFT JOIN raw_store_traffic t ON t.store_id = s.store_id AND t.traffic_date = s.calendar_date LEFT JOIN counted o ON o.store_id = s.store_id AND o.order_date = s.calendar_date
+),
+flags AS (
+  SELECT store_id, traffic_date AS flag_date, 'conversion_above_threshold' AS check_name FROM mart_conversion WHERE has_orders AND has_traffic AND 100 * orders_offline > 95 * visitors
+  UNION ALL SELECT store_id, traffic_date, 'orders_partition_missing' FROM mart_conversion WHERE NOT has_orders UNION ALL SELECT store_id, traffic_date, 'traffic_partition_missing' FROM mart_conversion WHERE NOT has_traffic
+)"""
+    words = {"datediff(last_day, greatest(opened_on, first_day))": "(last_day - greatest(opened_on, first_day))", "700.0D": "CAST(700 AS DOUBLE)"}
+
+    def here(text: str) -> str:
+        for spark_word, word in words.items():
+            text = text.replace(spark_word, word)
+        return re.sub(r"\b(spine|horizon)\b", r"\1_", text)
+
+    views = ", ".join(f"{here(name)} AS ({here(text)})" for name, text in reconcile._VIEWS.items())
+    parts = [f"SELECT '{group}' AS check_group, '{name.replace(chr(39), 2 * chr(39))}' AS check_name, count(*) AS compared, count_if(NOT coalesce({here(condition)}, false)) AS different {here(rows)}" for group, name, condition, rows in reconcile.checks()]
+    return f"{tables}, {views} " + " UNION ALL ".join(parts)
 
 
 ORACLE_SQL = {
+    "published_versions": _TWO.format(window=_IN_WINDOW) + "".join(f"{' UNION ALL ' if i else ''} SELECT CAST({i + 1} AS BIGINT) AS version, store_id, order_date, returns_amount, revenue_net, {_TREND} FROM {name} {_AXIS}" for i, name in enumerate(("before", "after"))),
+    "trend_by_window": _TWO.format(window=_IN_WINDOW) + f" SELECT store_id, order_date, revenue_net, {_TREND} FROM after {_AXIS}",
+    "snapshot_by_window": _BASE + "," + _versions_sql(DAILY, windowed=True) + " SELECT * FROM versions",
+    "order_lines_keyed": _BASE + """ SELECT i.order_id, i.line_no, i.order_date, o.store_id, o.channel, o.is_cancelled, o.is_offline, i.sku, i.quantity, i.unit_price, i.line_amount, i.source_copies
+FROM s_items i LEFT JOIN (SELECT * FROM s_orders WHERE order_id % 97 <> 0) o ON i.order_id = o.order_id""",
+    "relationships_keyed": _BASE + "," + _EVENTS + """, kept AS (SELECT * FROM s_orders WHERE order_id % 97 <> 0)
+SELECT 'orders_stores' AS gate, CAST(store_id AS BIGINT) AS key FROM kept WHERE store_id NOT IN (SELECT r_regionkey FROM region)
+UNION ALL SELECT 'items_orders', order_id FROM r_items WHERE order_id NOT IN (SELECT order_id FROM kept)
+UNION ALL SELECT 'returns_orders', order_id FROM i_returns WHERE order_id NOT IN (SELECT order_id FROM kept)
+UNION ALL SELECT 'cancellations_orders', order_id FROM s_orders WHERE ((is_cancelled AND order_id % 41 <> 0) OR (NOT is_cancelled AND order_id % 97 = 0)) AND order_id NOT IN (SELECT order_id FROM kept)
+UNION ALL SELECT 'traffic_stores', store_id FROM e_traffic WHERE store_id NOT IN (SELECT r_regionkey FROM region)""",
+    "digest_tree": _SALES + ", " + _digests("mart", _MART_COLUMNS) + """ SELECT 'table' AS level, 'all' AS key, CAST(sum(n_rows) AS BIGINT) AS n_rows, md5(string_agg(digest, '' ORDER BY key)) AS digest FROM m
+UNION ALL SELECT 'month', * FROM m UNION ALL SELECT 'day', * FROM d""",
+    "differing_days": _BASE + """, changed AS (SELECT DISTINCT order_date FROM s_items WHERE order_id % 1009 = 0 OR order_id % 997 = 0)
+SELECT CAST(a.order_date AS VARCHAR) AS key, count(*) AS n_rows_a, nullif(count(*) FILTER (WHERE order_id % 1009 <> 0), 0) AS n_rows_b FROM s_items a JOIN changed c ON a.order_date = c.order_date GROUP BY a.order_date""",
+    "reconcile_all": _reconcile_sql(),
+    "csv_round_trip": _BASE + " SELECT order_date, count(*) AS n_lines, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(line_amount) AS BIGINT) AS amount FROM r_items WHERE order_id % 211 <> 0 AND order_id % 307 <> 0 GROUP BY order_date",
+    "csv_bad_cells": _BASE + """ SELECT order_id, line_no, 'quantity' AS "column", 'many' AS value FROM r_items WHERE order_id % 211 = 0 UNION ALL SELECT order_id, line_no, 'order_date', NULL FROM r_items WHERE order_id % 307 = 0""",
+    "day_spine_landed": _BASE + " SELECT store_id, calendar_date FROM spine",
     "dedup_grain": _BASE + " SELECT order_id, order_date, line_no, sku, quantity, unit_price, line_amount, source_copies FROM s_items",
     "order_lines_left": _BASE + """ SELECT i.order_id, i.line_no, i.order_date, o.store_id, o.channel, o.is_cancelled, o.is_offline, i.sku, i.quantity, i.unit_price, i.line_amount, i.source_copies
 FROM s_items i LEFT JOIN (SELECT * FROM s_orders WHERE order_id % 97 <> 0) o ON i.order_id = o.order_id""",
@@ -395,3 +624,5 @@ UNION ALL SELECT c.order_id, 'row of a live order' FROM c WHERE EXISTS (SELECT 1
     "gate_line_dates": _BASE + """ SELECT i.order_id, i.line_no, i.order_date + 1 AS order_date, o.order_date AS head_date FROM s_items i JOIN s_orders o ON i.order_id = o.order_id WHERE i.order_id % 50 = 0""",
     "gate_live_returns": _BASE + " SELECT return_id, order_id, order_date FROM i_returns WHERE is_cancelled",
 }
+#: The window is the same by default and by the flags, which carry the default as their threshold.
+ORACLE_SQL["publish_from_flags"] = ORACLE_SQL["publish_summary"]

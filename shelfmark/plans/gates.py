@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.dates import DateWindow, cut
 from ..operators.grain import duplicate_keys, mismatches
+from ..operators.watch import Watch
 from .layers import LINE_GRAIN, LINE_ORDER
 
 
@@ -179,12 +180,11 @@ def measure(table: str, df: DataFrame | Measured, known: dict[str, DataFrame]) -
         keys = known[parent].select(F.col(c).alias(f"_{c}"), F.lit(True).alias(f"_known_{c}")).distinct()
         df = df.join(keys, F.col(c) == F.col(f"_{c}"), "left")
         watch[f"{table}.{c} relationship"] = F.col(c).isNotNull() & F.col(f"_known_{c}").isNull()
-    seen = Observation()
-    if watch:
-        df = df.observe(seen, *[F.count_if(condition).alias(f"m{i}") for i, condition in enumerate(watch.values())])
+    seen = Watch(watch)
+    df = seen.on(df)
     keyed = {f"{table}.{c} unique": unique(df, c) for c in shape.unique} | ({f"{table} unique_grain": unique_grain(df, list(shape.grain))} if shape.grain else {})
     found = {name: rows.count() for name, rows in keyed.items()}
-    return counts | {name: seen.get[f"m{i}"] for i, name in enumerate(watch)} | found
+    return counts | seen.counts() | found
 
 
 def count_declared(tables: dict[str, DataFrame | Measured], known: dict[str, DataFrame] | None = None) -> DataFrame:

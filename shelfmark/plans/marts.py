@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -119,19 +119,32 @@ def delays(returns: DataFrame) -> DataFrame:
     return returns.agg(F.count("*").alias("n_returns"), *[c.alias(k) for k, c in at.items()], F.max("delay_days").alias("longest"), *[c.alias(k) for k, c in over.items()])
 
 
-def publish_summary(mart: DataFrame, conv: DataFrame, flags: DataFrame, window: DateWindow) -> DataFrame:
-    """(metric, value): totals of the last day and of the window, and the flags by check."""
-    day = mart.filter(F.col("order_date") == F.lit(window.high))
+def publish_summary(mart: DataFrame, conv: DataFrame, flags: DataFrame, window: DateWindow | date) -> DataFrame:
+    """(metric, value): totals of the last day and of the window, and the flags by check.
+
+    Given a run date, the days back are read from the flags: the threshold that late returns were held against, or the library's own where
+    nothing is flagged. It is a scalar in the filters on dates, so partitions outside the window are not read, though its size is known only at run time."""
+    if isinstance(window, DateWindow):
+        last, first = F.lit(window.high), F.lit(window.low)
+    else:
+        found = flags.filter("check_name = 'return_outside_window'").agg(F.coalesce(F.max("threshold_value"), F.lit(REPROCESS_DAYS)).cast("int").alias("days"))
+        last = F.lit(window)
+        first = F.date_sub(last, found.scalar())
+
+    def wide(df: DataFrame, column: str) -> DataFrame:
+        return df.filter(F.col(column).between(first, last))
+
+    day = mart.filter(F.col("order_date") == last)
     zero = lambda c: F.coalesce(c, F.lit(0))
     columns = {
         "stores_with_orders": F.count_if(F.col("has_orders")), "orders": F.sum("orders_count"), "gross_cents": F.sum(F.col("revenue_gross") * 100), "returns_cents": F.sum(F.col("returns_amount") * 100),
         "net_cents": F.sum(F.col("revenue_net") * 100), "arrived_cents": F.sum(F.col("returns_arrived_amount") * 100),
     }
     one = day.agg(*[zero(c).cast("long").alias(k) for k, c in columns.items()])
-    wide = window.cut(mart, "order_date").agg(F.countDistinct("order_date").alias("window_days"), zero(F.sum(F.col("revenue_net") * 100)).cast("long").alias("window_net_cents"))
-    visitors = conv.filter(F.col("traffic_date") == F.lit(window.high)).agg(zero(F.sum("visitors")).cast("long").alias("visitors"))
-    long = [df.unpivot([], list(df.columns), "metric", "value") for df in (one, wide, visitors)]
-    by_check = window.cut(flags, "flag_date").groupBy(F.concat(F.lit("flags "), "check_name").alias("metric")).agg(F.count("*").alias("value"))
+    all_days = wide(mart, "order_date").agg(F.countDistinct("order_date").alias("window_days"), zero(F.sum(F.col("revenue_net") * 100)).cast("long").alias("window_net_cents"))
+    visitors = conv.filter(F.col("traffic_date") == last).agg(zero(F.sum("visitors")).cast("long").alias("visitors"))
+    long = [df.unpivot([], list(df.columns), "metric", "value") for df in (one, all_days, visitors)]
+    by_check = wide(flags, "flag_date").groupBy(F.concat(F.lit("flags "), "check_name").alias("metric")).agg(F.count("*").alias("value"))
     return reduce(DataFrame.unionByName, [*long, by_check])
 
 

@@ -29,6 +29,45 @@ TABLES = {
 }
 
 
+def parts_of(days: list[date], part: str) -> list[date]:
+    """The partitions that hold days, in a table laid out by order_date or by order_month."""
+    return sorted({d if part == "order_date" else d.replace(day=1) for d in days})
+
+
+def by_part(df: DataFrame, part: str) -> DataFrame:
+    return df if part == "order_date" else df.withColumn(part, F.trunc("order_date", "month"))
+
+
+def replace_days(change: Change, name: str, df: DataFrame, window: DateWindow, part: str = "order_date") -> None:
+    """The window's days of a table become df. Where partitions are months, their other days are carried over."""
+    touched = parts_of(window.days(), part)
+    inside = F.col("order_date").between(F.lit(window.low), F.lit(window.high))
+    rest = change.read(name).filter(F.col(part).isin(touched) & ~inside)
+    change.put_dates(name, by_part(df, part).unionByName(rest) if part != "order_date" else df, part, touched)
+
+
+def record_versions(change: Change, mart: DataFrame, as_of: datetime, window: DateWindow | None = None, part: str = "order_date") -> None:
+    """Bring open_versions and closed_versions of a change up to the mart's state as of then. Open versions lie by `part`, order_date or order_month."""
+    day = as_of.date()
+    if not change.has("open_versions"):
+        first = scd2.first_snapshot(mart, GRAIN, as_of)
+        change.put("open_versions", by_part(first, part), part)
+        change.put("closed_versions", first.limit(0).withColumn(CLOSED, F.col("valid_to").cast("date")), CLOSED)
+        return
+    opened = change.read("open_versions")
+    opened = opened if part == "order_date" else opened.drop(part)
+    today = change.read("closed_versions").filter(F.col(CLOSED) == F.lit(day)).drop(CLOSED)
+    near = change.read("open_versions").filter(F.col(part).isin(parts_of(window.days(), part))).select(*opened.columns) if window else opened
+    fresh = scd2.snapshot(cut(near, "order_date", window).unionByName(today), cut(mart, "order_date", window), GRAIN, CHECKED, as_of)
+    change.put_dates("closed_versions", fresh.filter("valid_to is not null").withColumn(CLOSED, F.col("valid_to").cast("date")), CLOSED, [day])
+    still = fresh.filter("valid_to is null")
+    if window:
+        replace_days(change, "open_versions", still, window, part)
+    else:
+        days = sorted({*change.dates("open_versions"), *parts_of([r[0] for r in mart.select("order_date").distinct().collect()], part)})
+        change.put_dates("open_versions", by_part(still, part), part, days)
+
+
 class Warehouse:
     """Raw tables as they land, and the built tables as versions: a run adds one version when all its stops have passed, and none otherwise.
 
@@ -135,18 +174,8 @@ class Warehouse:
 
         Open versions lie by their order date and closed ones by the day they were closed, so the open ones of the window and those closed on this
         day are read and written, and nothing else. A repeated call finds its own versions and changes nothing."""
-        day = as_of.date()
         with self.together() as change:
-            current = cut(change.read("sales").select(*GRAIN, *CHECKED), "order_date", window)
-            if not change.has("open_versions"):
-                change.put("open_versions", scd2.first_snapshot(change.read("sales").select(*GRAIN, *CHECKED), GRAIN, as_of), "order_date")
-                change.put("closed_versions", change.read("open_versions").limit(0).withColumn(CLOSED, F.col("valid_to").cast("date")), CLOSED)
-                return
-            today = change.read("closed_versions").filter(F.col(CLOSED) == F.lit(day)).drop(CLOSED)
-            fresh = scd2.snapshot(cut(change.read("open_versions"), "order_date", window).unionByName(today), current, GRAIN, CHECKED, as_of)
-            days = window.days() if window else sorted({*change.dates("open_versions"), *change.dates("sales")})
-            change.put_dates("closed_versions", fresh.filter("valid_to is not null").withColumn(CLOSED, F.col("valid_to").cast("date")), CLOSED, [day])
-            change.put_dates("open_versions", fresh.filter("valid_to is null"), "order_date", days)
+            record_versions(change, change.read("sales").select(*GRAIN, *CHECKED), as_of, window)
 
     def versions(self) -> DataFrame:
         return self.read("open_versions").unionByName(self.read("closed_versions").drop(CLOSED))
@@ -156,7 +185,7 @@ class Warehouse:
 
     def publish(self, run_date: date) -> DataFrame:
         view = self.view()
-        return marts.publish_summary(view.read("sales"), view.read("conversion"), view.read("quality"), DateWindow.ending(run_date))
+        return marts.publish_summary(view.read("sales"), view.read("conversion"), view.read("quality"), run_date)
 
     def run(self, run_date: date, alerts: str | None = None) -> DataFrame:
         """One daily run; a failure leaves a line in the alerts file and stops before publishing."""

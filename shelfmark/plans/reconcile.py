@@ -2,13 +2,19 @@
 
 A check reports how many rows it compared, and one that compared none fails. The 29 checks of every warehouse and the two
 that need a chain with planted defects (`planted=True`: a day without orders, outliers of both kinds) make the full 31. Money is compared as whole cents, ratios at
-nine decimals, the moving average within 1e-6.
+nine decimals, the moving average within 1e-6. All checks are one plan with one row each: those that look at the same rows share one aggregate, whose
+columns are then turned into rows.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from itertools import groupby
 from typing import NamedTuple
 
+from pyspark.sql import DataFrame
+
 from .pipeline import Warehouse
 
 
@@ -35,7 +41,7 @@ _VIEWS = {
         FROM raw_orders o LEFT JOIN lines_again l ON o.order_id = l.order_id GROUP BY o.store_id, o.order_date""",
     "bought_back": "SELECT o.store_id, r.order_date, sum(cast(r.returned_amount * 100 AS bigint)) AS cents FROM raw_returns r JOIN raw_orders o ON r.order_id = o.order_id GROUP BY 1, 2",
     "came_back": "SELECT o.store_id, r.returned_date, sum(cast(r.returned_amount * 100 AS bigint)) AS cents FROM raw_returns r JOIN raw_orders o ON r.order_id = o.order_id GROUP BY 1, 2",
-    "offline_again": "SELECT store_id, order_date, sum(int(channel = 'offline' AND status <> 'cancelled')) AS n FROM raw_orders GROUP BY 1, 2",
+    "offline_again": "SELECT store_id, order_date, count_if(channel = 'offline' AND status <> 'cancelled') AS n FROM raw_orders GROUP BY 1, 2",
     "horizon": "SELECT min(d) AS first_day, max(d) AS last_day FROM (SELECT order_date AS d FROM raw_orders UNION ALL SELECT traffic_date FROM raw_store_traffic)",
 }
 
@@ -91,16 +97,44 @@ _PLANTED = [
 ]
 
 
+#: What a frame given to reconcile_all may be called in the texts above.
+FRAMES = ["raw_stores", "raw_orders", "raw_order_items", "raw_returns", "raw_store_traffic", "int_order_lines", "spine", "mart_sales", "mart_conversion", "mart_trend", "flags"]
+_NAMES = re.compile(rf"\b({'|'.join([*FRAMES, *_VIEWS])})\b")
+
+
+def checks(planted: bool = False) -> list[tuple[str, str, str, str]]:
+    return _CHECKS + (_PLANTED if planted else [])
+
+
+def shared(planted: bool = False) -> list[tuple[str, list[tuple[str, str, str]]]]:
+    """(rows, checks over them): checks that look at the same rows stand together."""
+    ordered = sorted(checks(planted), key=lambda c: c[3])
+    return [(rows, [c[:3] for c in same]) for rows, same in groupby(ordered, key=lambda c: c[3])]
+
+
+def reconcile_all(frames: dict[str, DataFrame], planted: bool = False) -> DataFrame:
+    """(check_group, check_name, compared, different), one row a check, over frames with the names in FRAMES. Nothing is registered in the session."""
+    spark, known = frames["spine"].sparkSession, dict(frames)
+
+    def sql(text: str) -> DataFrame:
+        used = {name: known[name] for name in set(_NAMES.findall(text))}
+        return spark.sql(_NAMES.sub(r"{\1}", text), **used)
+
+    for name, text in _VIEWS.items():
+        known[name] = sql(text)
+    parts = []
+    for rows, same in shared(planted):
+        counts = ", ".join(f"count_if(NOT coalesce({condition}, false)) AS d{i}" for i, (_, _, condition) in enumerate(same))
+        found = sql(f"SELECT count(*) AS compared, {counts} {rows}")
+        listed = ", ".join(f"'{group}', \"{name}\", compared, d{i}" for i, (group, name, _) in enumerate(same))
+        parts.append(found.selectExpr(f"stack({len(same)}, {listed}) AS (check_group, check_name, compared, different)"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reconcile(house: Warehouse, planted: bool = False) -> list[Check]:
-    spark = house.spark
+    """All checks of a warehouse, in the order in which they are declared: one job."""
+    view = house.view()
     frames = {f"raw_{n}": house.raw(n) for n in ("stores", "orders", "order_items", "returns", "store_traffic")}
-    frames |= {"int_order_lines": house.read("order_lines"), "spine": house.read("spine"), "mart_sales": house.read("sales"), "mart_conversion": house.read("conversion"), "mart_trend": house.read("trend"), "flags": house.read("quality")}
-    for name, df in frames.items():
-        df.createOrReplaceTempView(name)
-    for name, sql in _VIEWS.items():
-        spark.sql(sql).createOrReplaceTempView(name)
-    found = []
-    for group, name, condition, rows in _CHECKS + (_PLANTED if planted else []):
-        compared, different = spark.sql(f"SELECT count(*), count_if(NOT coalesce({condition}, false)) {rows}").first()
-        found.append(Check(group, name, compared, different))
-    return found
+    frames |= {"int_order_lines": view.read("order_lines"), "spine": view.read("spine"), "mart_sales": view.read("sales"), "mart_conversion": view.read("conversion"), "mart_trend": view.read("trend"), "flags": view.read("quality")}
+    found = {(r.check_group, r.check_name): Check(*r) for r in reconcile_all(frames, planted).collect()}
+    return [found[group, name] for group, name, _, _ in checks(planted)]

@@ -54,6 +54,11 @@ def cancellations(orders_: DataFrame) -> DataFrame:
     )
 
 
+def shipment_traffic(items: DataFrame, orders_: DataFrame) -> DataFrame:
+    """Counter readings for the regions: a store-day has one if any of its lines was shipped, and lines of more than 25 units count as visitors."""
+    return items.join(orders_.select("order_id", "store_id"), "order_id").groupBy("store_id", F.col("ship_date").alias("traffic_date")).agg(F.count_if(F.col("quantity") > 25).cast("int").alias("visitors"))
+
+
 def event_stores(events: DataFrame) -> DataFrame:
     first = events.agg(F.min(F.col("ts").cast("date")).alias("opened_on"))
     return events.select(F.col("user_id").cast("int").alias("store_id")).distinct().crossJoin(F.broadcast(first))  # one row

@@ -22,6 +22,13 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """df written to scratch once and read back, for what several parts of a plan share."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for tables that one query writes: in spark.checkpoint.dir, or under a local master without one in a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -129,19 +136,19 @@ def truncate(spark: SparkSession, path: str) -> None:
     reload(spark.createDataFrame([], schema), path)
 
 
-def replace_dates(df: DataFrame, path: str, partition: str, dates: list[date], tasks: int = 8) -> None:
+def replace_dates(df: DataFrame, path: str, partition: str, dates: list[date]) -> None:
     """The partitions of these dates become what df has for them; a date that df lacks is cleared. Rows of other dates are refused.
 
-    A date is written by up to `tasks` tasks, by a hash of its rows."""
+    Rows are brought together by date and rebalanced, so a date is written by as many tasks as its size needs."""
     spark, fresh = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(tasks))
-    df.repartition(F.col(partition), part).write.partitionBy(partition).parquet(fresh)
-    written = {r[0] for r in spark.read.parquet(fresh).select(F.col(partition).cast("date")).distinct().collect()} if _has_parts(spark, fresh, partition) else set()
-    if odd := written - set(dates):
+    df.hint("rebalance", partition).write.partitionBy(partition).parquet(fresh)
+    written = {n for n in children(spark, fresh) if n.startswith(f"{partition}=")}
+    if odd := sorted(written - {f"{partition}={day}" for day in dates}):
         remove(spark, fresh)
-        raise ValueError(f"dates outside the replacement: {sorted(odd)}")
+        raise ValueError(f"dates outside the replacement: {odd}")
     for day in dates:
-        swap(spark, f"{fresh}/{partition}={day}" if day in written else None, f"{path}/{partition}={day}")
+        name = f"{partition}={day}"
+        swap(spark, f"{fresh}/{name}" if name in written else None, f"{path}/{name}")
     remove(spark, fresh)
 
 
@@ -157,9 +164,11 @@ def partition_bounds(spark: SparkSession, *tables: tuple[str, str]) -> DataFrame
     return spark.createDataFrame([(min(found, default=None), max(found, default=None))], "first_day date, last_day date")
 
 
-def _has_parts(spark: SparkSession, path: str, partition: str) -> bool:
-    fs, p = _fs(spark, path)
-    return any(s.getPath().getName().startswith(f"{partition}=") for s in fs.listStatus(p))
+def edge_bounds(spark: SparkSession, path: str, partition: str, column: str) -> DataFrame:
+    """first_day and last_day of a date column in a table laid out by a coarser date of it (its month, say): only the first and the last partition are read."""
+    found = partition_dates(spark, path, partition)
+    edges = spark.read.parquet(path).filter(F.col(partition).isin([*found[:1], *found[-1:]])) if found else spark.createDataFrame([], f"{column} date")
+    return edges.agg(F.min(column).alias("first_day"), F.max(column).alias("last_day"))
 
 
 def _dates(df: DataFrame, partition: str) -> list[date]:

@@ -11,20 +11,37 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 from types import TracebackType
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.watch import Watch
 from . import store
 
 
+#: Thousands of small folders are listed by so many tasks instead of one each.
+LISTING_TASKS = "64"
+
+
 class Conflict(Exception):
     """Another change was committed since this one began."""
 
 
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class View:
     """The tables of one version. Version 0 is empty."""
 
@@ -48,7 +65,8 @@ class View:
         paths = list(self.folders(name).values())
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths).select(*schema.names)
+        with _set(self.spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", LISTING_TASKS):
+            return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths).select(*schema.names)
 
 
 class Change(View):
@@ -64,37 +82,35 @@ class Change(View):
         write = f"write={uuid.uuid4().hex}"
         path = f"{self.root}/{name}/{write}"
         self.written.append(path)
-        seen = Observation()
-        if watch:
-            df = df.observe(seen, *[F.count_if(condition).alias(f"m{i}") for i, condition in enumerate(watch.values())])
-        (df.write.partitionBy(partition) if partition else df.write).parquet(path)
-        counts = dict(zip(watch, [seen.get[f"m{i}"] for i in range(len(watch))], strict=True)) if watch else {}
-        return write, [f for f in store.children(self.spark, path) if f.startswith(f"{partition}=")] if partition else [""], counts
-
-    def put(self, name: str, df: DataFrame, partition: str | None = None, watch: dict[str, Column] | None = None) -> dict[str, int]:
-        """The whole table becomes df."""
-        write, parts, counts = self._write(name, df, partition, watch)
+        seen = Watch(watch)
+        df = seen.on(df)
+        # tasks may put files in place themselves, as no reader knows the folder before the manifest is there
+        writer = df.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
+        return write, [f for f in store.children(self.spark, path) if f.startswith(f"{partition}=")] if partition else [""], seen.counts()
+
+    def put(self, name: str, df: DataFrame, partition: str | None = None, watch: dict[str, Column] | None = None, shares: int = 1) -> dict[str, int]:
+        """The whole table becomes df. Rows are dealt out by partition, each of which `shares` tasks write; all tasks of a shuffle take part, however
+        small the partitions are."""
+        dealt = df
+        if partition:
+            share = [F.pmod(F.xxhash64(*df.columns), F.lit(shares))] if shares > 1 else []
+            dealt = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")) * shares, partition, *share)
+        write, parts, counts = self._write(name, dealt, partition, watch)
         self.tables[name] = {"schema": json.loads(df.schema.json()), "partition": partition, "parts": dict.fromkeys(parts, write)}
         return counts
 
-    def put_dates(self, name: str, df: DataFrame, partition: str, dates: list[date], watch: dict[str, Column] | None = None, rows_a_task: int = 1_000_000) -> dict[str, int]:
+    def put_dates(self, name: str, df: DataFrame, partition: str, dates: list[date], watch: dict[str, Column] | None = None) -> dict[str, int]:
         """The partitions of these dates become what df has for them, and are gone where it has nothing; rows of other dates are refused.
 
-        Rows are dealt out by date and a hash of the row, in as many shares a date as its rows need."""
+        Rows are brought together by date and rebalanced: a small date is one file, a large one is written by as many tasks as its size needs."""
         if not self.has(name):
             self.put(name, df.limit(0), partition)
-        sized = df.groupBy(partition).agg(F.ceil(F.count("*") / rows_a_task).cast("int").alias("_shares"))
-        shares = {r[0]: r[1] for r in sized.collect()}  # one row a date of the replacement
-        if odd := sorted(set(shares) - set(dates), key=str):
+        write, parts, counts = self._write(name, df.hint("rebalance", partition), partition, watch)
+        allowed = {f"{partition}={d}" for d in dates}
+        if odd := sorted(set(parts) - allowed):
             raise ValueError(f"dates outside the replacement: {odd}")
-        dealt = df
-        if shares:
-            most = max(shares.values())
-            share = F.pmod(F.xxhash64(*df.columns), F.lit(most))
-            dealt = df.repartition(len(shares) * most, F.col(partition), share) if most > 1 else df.repartition(len(shares), partition)
-        write, parts, counts = self._write(name, dealt, partition, watch)
-        gone = {f"{partition}={d}" for d in dates}
-        kept = {part: w for part, w in self.tables[name]["parts"].items() if part not in gone}
+        kept = {part: w for part, w in self.tables[name]["parts"].items() if part not in allowed}
         self.tables[name] = {**self.tables[name], "parts": {**kept, **dict.fromkeys(parts, write)}}
         return counts
 

@@ -62,7 +62,7 @@ def test_of_two_changes_from_one_version_the_second_is_refused(spark, tables):
 
 def test_dates_are_replaced_cleared_and_refused(spark, tables):
     with tables.change() as change:
-        assert change.put_dates("a", days(spark, (A, 1), (B, 2), (B, 3)), "day", [A, B], {"odd": F.col("v") % 2 == 1, "none": F.col("v").isNull()}, rows_a_task=1) == {"odd": 2, "none": 0}
+        assert change.put_dates("a", days(spark, (A, 1), (B, 2), (B, 3)), "day", [A, B], {"odd": F.col("v") % 2 == 1, "none": F.col("v").isNull()}) == {"odd": 2, "none": 0}
     with tables.change() as change:
         assert change.put_dates("a", days(spark, (C, 4)), "day", [B, C], {"odd": F.col("v") % 2 == 1}) == {"odd": 0}
         assert change.dates("a") == [A, C]
