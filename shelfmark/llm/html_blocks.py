@@ -1,13 +1,20 @@
-"""Leaf blocks of a page: runs of text between block-level tags, with the tags above them."""
+"""Leaf blocks of a page: runs of text between block-level tags, with the tags above them.
+
+Only what a page never shows as text is left out (scripts, styles, templates, the head, titles); text of formulas, drawings, media and
+frames is text like other. Tags and marks above a block are kept as hashed numbers below WIDTH, so all of them count, and
+a block holds WIDTH of them at most however deep it lies; blocks with the same ones share them.
+"""
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from html.parser import HTMLParser
 from typing import NamedTuple
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br math mfrac mi mn mo mover mpadded mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
+HIDDEN = frozenset("script style template head title".split())
 #: An opening tag closes an open one of the same group, up to the nearest of the holders.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 P_HOLDERS = frozenset("td th li div article section body".split())
@@ -20,43 +27,50 @@ FURNITURE = frozenset("nav footer aside form header".split())
 LABEL_TAG = "main-part"
 
 
+#: Numbers of features.
+WIDTH = 1 << 13
+_numbers: dict[str, int] = {}
+
+
+def feature(name: str) -> int:
+    got = _numbers.get(name)
+    if got is None:
+        got = zlib.crc32(name.encode()) & (WIDTH - 1)
+        if len(_numbers) < 100_000:
+            _numbers[name] = got
+    return got
+
+
 class Block(NamedTuple):
     text: str
-    tags: frozenset[str]
-    marks: frozenset[str]
+    #: numbers of the tags above, and of what tells an article by name: class, id, role and the tags in MARKS
+    tags: frozenset[int]
+    marks: frozenset[int]
     #: innermost tag, and innermost one that marks no article
     parent: str
     plain_parent: str
     in_mark: bool
     #: under furniture inside the outermost mark
     in_furniture: bool
+    #: under the tag by which made training pages tell their article
+    in_label: bool
     link_chars: int
 
 
 class Level(NamedTuple):
-    """An open tag with what holds for everything below it; each level is made from the one above, and most share its sets."""
+    """An open tag with what holds for everything below it, and the numbers that it adds to those above."""
 
     tag: str
-    tags: frozenset[str]
-    marks: frozenset[str]
+    adds_tags: tuple[int, ...]
+    adds_marks: tuple[int, ...]
     parent: str
     plain_parent: str
     in_mark: bool
     in_furniture: bool
+    in_label: bool
 
 
-MOST_NAMES = 64
-
-
-def _with(have: frozenset[str], new: list[str]) -> frozenset[str]:
-    """The names of all levels so far; past MOST_NAMES different ones, those of the innermost level only."""
-    if have.issuperset(new):
-        return have
-    both = have.union(new)
-    return both if len(both) <= MOST_NAMES else frozenset(sorted(set(new))[:MOST_NAMES])
-
-
-ROOT = Level("", frozenset(), frozenset(), "", "", False, False)
+ROOT = Level("", (), (), "", "", False, False, False)
 
 
 class Blocks(HTMLParser):
@@ -68,12 +82,17 @@ class Blocks(HTMLParser):
         self.parts: list[str] = []
         self.links = self.hidden = self.in_link = 0
         self.under = ROOT
+        #: how many open tags add each number; sets of them that blocks share
+        self.open_tags: Counter[int] = Counter()
+        self.open_marks: Counter[int] = Counter()
+        self.shared: dict[frozenset[int], frozenset[int]] = {}
+        self.over: tuple[frozenset[int], frozenset[int]] = (frozenset(), frozenset())
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.found.append(Block(text, *self.under[1:], self.links))
+                self.found.append(Block(text, *self.over, *self.under[3:], self.links))
         self.parts, self.links = [], 0
 
     def push(self, tag: str, attrs) -> None:
@@ -81,16 +100,25 @@ class Blocks(HTMLParser):
         up = self.stack[-1]
         shown = tag != LABEL_TAG
         self.places.setdefault(tag, []).append(len(self.stack))
-        self.stack.append(Level(
-            tag, _with(up.tags, [tag]), _with(up.marks, marks) if shown else up.marks, tag if shown else up.parent,
-            tag if shown and tag not in MARKS else up.plain_parent, up.in_mark or tag in MARKS, up.in_furniture or up.in_mark and tag in FURNITURE,
-        ))
+        under, named = (feature(f"under {tag}"),) * shown, {feature(f"mark {m}") for m in marks} if shown else ()
+        level = Level(
+            tag, () if tag in MARKS else under, (*named, *under) if tag in MARKS else tuple(named), tag if shown else up.parent,
+            tag if shown and tag not in MARKS else up.plain_parent, up.in_mark or tag in MARKS, up.in_furniture or up.in_mark and tag in FURNITURE, up.in_label or not shown,
+        )
+        self.stack.append(level)
+        self.open_tags.update(level.adds_tags)
+        self.open_marks.update(level.adds_marks)
         self.hidden += tag in HIDDEN
         self.in_link += tag == "a"
 
     def pop_to(self, at: int) -> None:
         for level in self.stack[at:]:
             self.places[level.tag].pop()
+            for counts, numbers in ((self.open_tags, level.adds_tags), (self.open_marks, level.adds_marks)):
+                for number in numbers:
+                    counts[number] -= 1
+                    if not counts[number]:
+                        del counts[number]
             self.hidden -= level.tag in HIDDEN
             self.in_link -= level.tag == "a"
         del self.stack[at:]
@@ -130,6 +158,7 @@ class Blocks(HTMLParser):
             return
         if not self.parts:
             self.under = self.stack[-1]
+            self.over = tuple(self.shared.setdefault(names, names) for names in (frozenset(self.open_tags), frozenset(self.open_marks)))
         self.parts.append(data)
         if self.in_link:
             self.links += len(data)

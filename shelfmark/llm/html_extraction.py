@@ -2,7 +2,7 @@
 
 A block's features are its ancestor tags, the words of their class, id and role, and its text (length, links, stops,
 signs). The two labels are article and furniture. The field is trained by stochastic gradient ascent on the exact
-log-likelihood (forward-backward) from two sets of labelled pages: those of html_pages (a fixed seed), and a bounded
+log-likelihood (forward-backward; the step of the label pairs is shortened to 1 at most, so that a very long page counts like others) from two sets of labelled pages: those of html_pages (a fixed seed), and a bounded
 sample of the table's own pages that mark their article, at most `train_pages` of them, whole, by a hash of their URL, whose
 labels are read from these marks. Each is seen twice, once with the tags that mark an article left out, so that text and
 furniture alone must do. Training runs on the driver over a few hundred short sequences; pages are parsed, scored and
@@ -19,8 +19,7 @@ from __future__ import annotations
 
 import math
 import random
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,39 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import schema_of, table
-from .html_blocks import LABEL_TAG, MARKS, Block, leaf_blocks
+from .html_blocks import MARKS, WIDTH, Block, feature, leaf_blocks
 from .html_pages import labelled_pages
 
-WIDTH = 1 << 13
 TRAIN_PAGES = 200
 
 
-def _number(name: str) -> int:
-    return zlib.crc32(name.encode()) & (WIDTH - 1)
-
-
-_numbers: dict[str, int] = {}
-
-
-def _feature(name: str) -> int:
-    got = _numbers.get(name)
-    if got is None:
-        got = _number(name)
-        if len(_numbers) < 100_000:
-            _numbers[name] = got
-    return got
-
-
-def block_features(blocks: list[Block], blind: bool = False) -> list[list[int]]:
+def block_features(blocks: list[Block], blind: bool = False) -> Iterator[list[int]]:
     """Feature numbers of each block; blind leaves out the tags and marks that tell an article."""
-    out = []
     for at, block in enumerate(blocks):
         text, n = block.text, len(block.text)
-        tags = block.tags - MARKS if blind else block.tags
         names = {"bias", f"parent {(block.plain_parent if blind else block.parent) or ''}", f"length {int(math.log2(n))}"}
-        names.update(f"under {tag}" for tag in tags if tag != LABEL_TAG)
-        if not blind:
-            names.update(f"mark {m}" for m in block.marks)
         if block.link_chars * 2 > n:
             names.add("mostly links")
         elif block.link_chars:
@@ -70,8 +47,8 @@ def block_features(blocks: list[Block], blind: bool = False) -> list[list[int]]:
         if text.startswith("©") or "©" in text[:40]:
             names.add("copyright")
         names.add("first" if at == 0 else "last" if at == len(blocks) - 1 else "middle")
-        out.append([_feature(x) for x in sorted(names)])
-    return out
+        own = {feature(x) for x in names}
+        yield sorted(own.union(block.tags) if blind else own.union(block.tags, block.marks))
 
 
 def page_labels(blocks: list[Block]) -> list[int] | None:
@@ -87,15 +64,15 @@ class Field:
         self.unary = np.zeros((WIDTH, 2))
         self.pair = np.zeros((2, 2))
 
-    def scores(self, features: list[list[int]]) -> np.ndarray:
+    def scores(self, features: Iterable[list[int]]) -> np.ndarray:
         return np.array([self.unary[f].sum(0) for f in features])
 
-    def decode(self, features: list[list[int]]) -> list[int]:
+    def decode(self, features: Iterable[list[int]]) -> list[int]:
         """The likeliest label sequence (Viterbi)."""
-        if not features:
+        rows = self.scores(features).tolist()
+        if not rows:
             return []
         (p00, p01), (p10, p11) = self.pair.tolist()
-        rows = self.scores(features).tolist()
         a, b = rows[0]
         back = []
         for s0, s1 in rows[1:]:
@@ -146,8 +123,8 @@ def train_field(sequences: list[tuple[list[list[int]], list[int]]], rounds: int
 def _both_views(html: str, marked: frozenset[str]) -> list[tuple[list[list[int]], list[int]]]:
     """(features, labels) of a page, as it is and blind; made pages, of which no tag marks the article, tell it by a tag of its own."""
     blocks = leaf_blocks(html)
-    labels = page_labels(blocks) if marked else [int(LABEL_TAG in b.tags) for b in blocks]
-    return [(block_features(blocks, blind), labels) for blind in (False, True)] if labels else []
+    labels = page_labels(blocks) if marked else [int(b.in_label) for b in blocks]
+    return [(list(block_features(blocks, blind)), labels) for blind in (False, True)] if labels else []
 
 
 def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
