@@ -6,6 +6,7 @@ Money leaves as whole cents, so both sides agree to the last digit.
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import date, datetime
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import digest, scd2
 from ..operators.dates import DateWindow
 from ..operators.grain import bounds, dense_spine
-from ..sources import csv_files, keyed, raw, store
+from ..sources import csv_files, dictionary, keyed, raw, store
 from ..sources import star_schema as star
 from ..sources.versions import Versions
 from . import gates, layers, marts, reconcile
@@ -165,6 +166,41 @@ def _gate_suite(s: Star) -> DataFrame:
     })
 
 
+def _dictionary(s: Star) -> DataFrame:
+    """The built tables, entered in Spark's catalogue under a name of their own: every column with its type and note as the catalogue has them, and how far it is filled."""
+    tables, database = Versions(s.spark, store.scratch(s.spark, "described")), f"described_{uuid.uuid4().hex}"
+    with tables.change() as change:
+        for name, make in (("order_lines", lambda: by_part(_forced_orphans(s), PART)), ("returns", lambda: s.returns), ("spine", lambda: s.spine), ("sales", s.sales), ("conversion", s.conversion), ("trend", lambda: marts.trend(change.read("sales"))), ("quality", lambda: s.flags)):
+            change.put(name, make(), PART if name == "order_lines" else None)
+    view = tables.at()
+    s.spark.sql(f"CREATE DATABASE {database} LOCATION {dictionary.quoted(store.scratch(s.spark, database))}")
+    try:
+        dictionary.enter_version(view, database)
+        told = dictionary.entered(s.spark, database)
+    finally:
+        s.spark.sql(f"DROP DATABASE {database} CASCADE")  # the files stay
+    notes = [(name, *c) for name, table in told.items() for c in table.columns if c.name != PART]
+    counted = reduce(DataFrame.unionByName, [dictionary.filled(view.read(name).drop(PART)).withColumn("table", F.lit(name)) for name in told])
+    return s.spark.createDataFrame(notes, "`table` string, `column` string, type string, note string").join(counted, ["table", "column"], "left")
+
+
+def _drifted(s: Star) -> dict[str, DataFrame]:
+    """Raw tables of the star schema, of which one lost a column, one has a column of another type and one brings columns of its own."""
+    return {"raw_orders": s.raw_orders.withColumn("customer_id", F.col("customer_id").cast("string")), "raw_order_items": s.raw_items, "raw_returns": star.returns(s.items).drop("quantity")}
+
+
+def _drift(s: Star) -> DataFrame:
+    """Where those tables differ from what is declared, with the rows that have such a column, and those that have a value in it."""
+    tables = _drifted(s)
+    found = dictionary.drift({name: dictionary.shape(df, name) for name, df in tables.items()})
+    parts = []
+    for name, df in tables.items():
+        here = [d for d in found if d.table == name]
+        rows = s.spark.createDataFrame(here, "`table` string, `column` string, kind string, declared string, found string")
+        parts.append(rows.join(dictionary.filled(df, [d.column for d in here if d.found]), "column", "left") if any(d.found for d in here) else rows.withColumns({"n_rows": F.lit(None).cast("long"), "n_filled": F.lit(None).cast("long")}))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _before_and_after(s: Star) -> tuple[Versions, DataFrame]:
     """A set of tables whose sales mart first knows the returns up to the run date, then, as a second version, all of them on the window's days; and
     the mart that knows all."""
@@ -292,6 +328,8 @@ _BUILDERS = {
     "digest_tree": _tree,
     "differing_days": _differing_days,
     "publish_from_flags": lambda s: marts.publish_summary(s.sales(), s.conversion(), s.flags, RUN_DATE),
+    "dictionary_filled": _dictionary,
+    "dictionary_drift": _drift,
     "reconcile_all": lambda s: reconcile.reconcile_all(_built(s)),
     "csv_round_trip": lambda s: csv_files.sound(_exported(s)).groupBy("order_date").agg(F.count("*").alias("n_lines"), F.sum("quantity").alias("units"), F.sum(cents("line_amount")).alias("amount")),
     "csv_bad_cells": lambda s: _exported(s).select("order_id", "line_no", F.explode("malformed").alias("cell")).select("order_id", "line_no", "cell.column", "cell.value"),
@@ -484,6 +522,20 @@ def _gate_suite_sql() -> str:
     return _SALES + "," + _EVENTS + "," + _VERSIONS + " " + " UNION ALL ".join(parts)
 
 
+def _dictionary_sql() -> str:
+    rows = _LAYERS | {
+        "order_lines": "(SELECT i.*, o.store_id, o.channel, o.is_cancelled, o.is_offline FROM s_items i LEFT JOIN (SELECT * FROM s_orders WHERE order_id % 97 <> 0) o ON i.order_id = o.order_id)",
+        "trend": f"(SELECT store_id, order_date, revenue_net, {_TREND} FROM mart {_AXIS})",
+    }
+    parts = []
+    for name in ("order_lines", "returns", "spine", "sales", "conversion", "trend", "quality"):
+        columns = dictionary.DECLARED[name].columns
+        lists = [f"unnest([{', '.join(repr(value) for value in values)}])" for values in zip(*columns, strict=True)]
+        counts = ", ".join(f"count({c.name})" for c in columns)
+        parts.append(f"""SELECT '{name}' AS "table", {lists[0]} AS "column", {lists[1]} AS type, {lists[2]} AS note, n_rows, unnest(each) AS n_filled FROM (SELECT count(*) AS n_rows, [{counts}] AS each FROM {rows[name]} x)""")
+    return _SALES + "," + _EVENTS + " " + " UNION ALL ".join(parts)
+
+
 _TREND = "CASE WHEN count(revenue_net) OVER w = 7 THEN CAST(sum(revenue_net) OVER w AS DOUBLE) / 7 / 100 END AS revenue_net_avg_7d"
 _AXIS = "WINDOW w AS (PARTITION BY store_id ORDER BY order_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
 #: The mart before and after the window's days learnt of all returns.
@@ -551,6 +603,10 @@ UNION ALL SELECT 'traffic_stores', store_id FROM e_traffic WHERE store_id NOT IN
 UNION ALL SELECT 'month', * FROM m UNION ALL SELECT 'day', * FROM d""",
     "differing_days": _BASE + """, changed AS (SELECT DISTINCT order_date FROM s_items WHERE order_id % 1009 = 0 OR order_id % 997 = 0)
 SELECT CAST(a.order_date AS VARCHAR) AS key, count(*) AS n_rows_a, nullif(count(*) FILTER (WHERE order_id % 1009 <> 0), 0) AS n_rows_b FROM s_items a JOIN changed c ON a.order_date = c.order_date GROUP BY a.order_date""",
+    "dictionary_filled": _dictionary_sql(),
+    "dictionary_drift": _BASE + """ SELECT 'raw_orders' AS "table", 'customer_id' AS "column", 'type' AS kind, 'bigint' AS declared, 'string' AS found, count(*) AS n_rows, count(o_custkey) AS n_filled FROM orders
+UNION ALL SELECT 'raw_order_items', 'return_flag', 'extra', NULL, 'string', count(*), count(l_returnflag) FROM r_items UNION ALL SELECT 'raw_order_items', 'ship_date', 'extra', NULL, 'date', count(*), count(ship_date) FROM r_items
+UNION ALL SELECT 'raw_returns', 'quantity', 'missing', 'int', NULL, NULL, NULL""",
     "reconcile_all": _reconcile_sql(),
     "csv_round_trip": _BASE + " SELECT order_date, count(*) AS n_lines, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(line_amount) AS BIGINT) AS amount FROM r_items WHERE order_id % 211 <> 0 AND order_id % 307 <> 0 GROUP BY order_date",
     "csv_bad_cells": _BASE + """ SELECT order_id, line_no, 'quantity' AS "column", 'many' AS value FROM r_items WHERE order_id % 211 = 0 UNION ALL SELECT order_id, line_no, 'order_date', NULL FROM r_items WHERE order_id % 307 = 0""",

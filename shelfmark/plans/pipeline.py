@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import scd2
 from ..operators.dates import COMPARE_DAYS, DateWindow, cut
 from ..operators.grain import dense_spine
-from ..sources import raw, store
+from ..sources import dictionary, raw, store
 from ..sources.versions import Change, Versions, View
 from . import gates, layers, marts
 from .gates import Gate
@@ -183,6 +183,25 @@ class Warehouse:
     def revisions(self) -> DataFrame:
         return scd2.revisions(self.versions(), GRAIN)
 
+    def described(self) -> dict[str, dictionary.Table]:
+        """All tables as they are now, raw, staged and built, with the notes declared for them."""
+        staged = {"stores": layers.stage_stores, "orders": layers.stage_orders, "order_items": layers.stage_order_items, "returns": layers.stage_returns, "cancellations": layers.stage_cancellations, "store_traffic": layers.stage_traffic}
+        view = self.view()
+        tables = {f"raw_{name}": self.raw(name) for name in raw.SOURCES} | {f"stg_{name}": stage(self.raw(name)) for name, stage in staged.items()} | {name: view.read(name) for name in view.tables}
+        if view.has("open_versions"):
+            tables["revisions"] = self.revisions()
+        return {name: dictionary.shape(df, name) for name, df in tables.items()}
+
+    def write_dictionary(self, path: str) -> int:
+        """Write the dictionary as Markdown and return how many columns it has; fails if one is not described, or differs from what is declared."""
+        found = self.described()
+        text = dictionary.markdown(found)
+        if differing := dictionary.drift(found):
+            raise ValueError(f"not as declared: {differing}")
+        store.remove(self.spark, path)
+        store.write_text(self.spark, path, text)
+        return sum(len(table.columns) for table in found.values())
+
     def publish(self, run_date: date) -> DataFrame:
         view = self.view()
         return marts.publish_summary(view.read("sales"), view.read("conversion"), view.read("quality"), run_date)
