@@ -11,7 +11,8 @@ from a fixed seed.
 
 Learning sees a bounded sample (documented): about `train_per_language` labelled rows of each language, taken by a hash of
 their id. Spark sums the n-gram counts by language; the driver gets one vector of FEATURES counts a language and the
-success counts (languages x bits). Prediction is one pass over all texts, whole, with no shuffle.
+success counts (languages x bits). Labels are languages, so there may be `max_languages` of them at most: a column with more is
+not one of languages, and training raises instead of dropping any. Prediction is one pass over all texts, whole, with no shuffle.
 
 Defined cases: null text or one without a letter gives `und` with score 0; with no labelled row every text gets `und`; a single
 known language is predicted with score 1; equal texts get equal answers; of equally near codewords that of the first label in
@@ -34,6 +35,7 @@ from .common import schema_of, table
 FEATURES = 1 << 14
 CODE_EXHAUSTIVE = 5
 TRAIN_PER_LANGUAGE = 20_000
+MAX_LANGUAGES = 256
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 # Bytes that tell nothing about a language (digits, ASCII punctuation, control) count as one space.
@@ -118,10 +120,12 @@ def _lang_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(seen[used].astype(np.int64))], names=["lang", "feature", "n"])
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
-    """A model from labelled rows; None if there are none."""
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """A model from labelled rows; None if there are none. More than max_languages labels are an error."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"{lang} has more than {max_languages} labels")
     if not sizes:
         return None
     languages = sorted(sizes)
