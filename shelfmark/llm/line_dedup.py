@@ -15,9 +15,10 @@ runs cover them, and doubling stops there: nothing deeper is decided.
 
 Longest-common-prefix intervals: suffixes of equal rank share 2**j lines, their true common length is found by adding the
 powers of two below, from large to small. Where part of an interval agrees on so many lines more, that part becomes an
-interval of its own and leaves its first suffix behind, for the others to be compared with. In the end every interval has its exact
-common length, and every suffix that is not the first of all is in one interval as another than its first: that is its
-longest run with an earlier copy, as (target, source, length).
+interval of its own and leaves its first suffix behind, for the others to be compared with. In the end every interval has its common
+length, exact up to the bound at which doubling stops (12 lines for ten words) and at least the bound beyond, and every suffix that is not
+the first of all is in one interval as another than its first: that is its longest run with an earlier copy up to the bound, as (target, source, length).
+A longer run is covered by those that start at its places, so the lines deleted are those of whole maximal runs.
 
 Skew: all rounds group by rank with map-side aggregation, and the joins that hand ranks back have a side with one row
 a group and are left to adaptive execution, which splits hot keys; no group is collected anywhere. Only fingerprints (128
