@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Rows that a task sorts or groups at most, where keys are spread evenly.
+ROWS_A_TASK = 500_000
+
 
 def dedup_by_grain(df: DataFrame, keys: list[str], order: list[str], copies: str = "source_copies") -> DataFrame:
     """One row a key: the smallest under `order`, then under the other columns; `copies` counts the rows of the key.
@@ -18,6 +21,22 @@ def dedup_by_grain(df: DataFrame, keys: list[str], order: list[str], copies: str
     return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns], copies)
 
 
+def parts_for(rows: int, rows_a_part: int, least: int = 8) -> int:
+    """A power of two, so that tables of different sizes stay multiples of one another."""
+    n = least
+    while n * rows_a_part < rows:
+        n *= 2
+    return n
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt out by keys in parts that grow with `rows`, so that what a task holds does not; a small table is left to Spark.
+
+    Tables spread by the same number of rows meet in a join on these keys, and are grouped by them, without another shuffle."""
+    n = parts_for(rows, ROWS_A_TASK)
+    return df.repartition(n, *keys) if rows > 8 * ROWS_A_TASK else df
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that several rows have, and how many."""
     return df.groupBy(*keys).agg(F.count("*").alias("rows_per_key")).filter("rows_per_key > 1")

@@ -12,17 +12,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..operators.grain import ROWS_A_TASK, parts_for
 from . import store
 
 LAYOUT = "_layout.json"
 
 
-def buckets_for(rows: int, rows_a_bucket: int = 2_000_000, least: int = 8) -> int:
-    """A power of two, so that tables of different sizes stay multiples of one another."""
-    n = least
-    while n * rows_a_bucket < rows:
-        n *= 2
-    return n
+def buckets_for(rows: int, rows_a_bucket: int = ROWS_A_TASK, least: int = 8) -> int:
+    """As many buckets as `spread` makes parts, each of which one task reads."""
+    return parts_for(rows, rows_a_bucket, least)
 
 
 def write_keyed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.grain import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,10 +30,17 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def n_lines(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the lines as exported, from the files' footers."""
+    return _table(spark, sf_dir, "lineitem").count()
+
+
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and their orders are spread by the order, so what follows by order or line takes no other shuffle, in tasks that do not grow with the table."""
     dates = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("order_date"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    return _table(spark, sf_dir, "lineitem").join(dates, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    n = n_lines(spark, sf_dir)
+    return spread(_table(spark, sf_dir, "lineitem"), n, "l_orderkey").join(spread(dates, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("order_id"), "order_date", F.col("l_linenumber").cast("int").alias("line_no"), F.concat(F.lit("P"), F.col("l_partkey")).alias("sku"),
         F.col("l_quantity").cast("int").alias("quantity"), (F.floor(cents / F.col("l_quantity").cast("int")) / 100).cast("decimal(10,2)").alias("unit_price"),
         (cents / 100).cast("decimal(12,2)").alias("line_amount"), F.col("l_returnflag").alias("return_flag"), F.col("l_shipdate").cast("date").alias("ship_date"),
