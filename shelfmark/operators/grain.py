@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,12 +29,17 @@ def parts_for(rows: int, rows_a_part: int, least: int = 8) -> int:
     return n
 
 
+def spread_parts(spark: SparkSession, rows: int) -> int:
+    """Parts of a table of so many rows; of a large one no fewer than the session's, to which Spark would deal it again."""
+    n = parts_for(rows, ROWS_A_TASK)
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if rows > 8 * ROWS_A_TASK else n
+
+
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df dealt out by keys in parts that grow with `rows`, so that what a task holds does not; a small table is left to Spark.
 
     Tables spread by the same number of rows meet in a join on these keys, and are grouped by them, without another shuffle."""
-    n = parts_for(rows, ROWS_A_TASK)
-    return df.repartition(n, *keys) if rows > 8 * ROWS_A_TASK else df
+    return df.repartition(spread_parts(df.sparkSession, rows), *keys) if rows > 8 * ROWS_A_TASK else df
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

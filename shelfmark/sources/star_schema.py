@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grain import spread
@@ -47,11 +47,19 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Days from purchase to return at most.
+LONGEST_DELAY = 30
+
+
+def returned_date() -> Column:
+    """When a line comes back, if it does."""
+    return F.date_add("order_date", ((F.col("order_id") * 7 + F.col("line_no")) % (LONGEST_DELAY + 1)).cast("int"))
+
+
 def returns(lines: DataFrame) -> DataFrame:
     """Returns of deduplicated lines that carry the flag R, 0 to 30 days after purchase."""
-    delay = ((F.col("order_id") * 7 + F.col("line_no")) % 31).cast("int")
     return lines.filter("return_flag = 'R'").select(
-        (F.col("order_id") * 10 + F.col("line_no")).alias("return_id"), "order_id", "order_date", "line_no", F.date_add("order_date", delay).alias("returned_date"), "quantity", F.col("line_amount").alias("returned_amount")
+        (F.col("order_id") * 10 + F.col("line_no")).alias("return_id"), "order_id", "order_date", "line_no", returned_date().alias("returned_date"), "quantity", F.col("line_amount").alias("returned_amount")
     )
 
 
