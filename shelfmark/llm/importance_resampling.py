@@ -84,19 +84,25 @@ def chunk_features(a: np.ndarray, b: np.ndarray, row: np.ndarray, hashed: np.nda
 
     Features are sorted by 48 bits of their hash and the document, and told apart by all 64. Of two strings that share the 48, one may come
     more than once; the part that gets them unifies equal strings."""
-    by = np.argsort((hashed & ~np.uint64(MOST_ROWS - 1)) | row.astype(np.uint64))
+    key = hashed & ~np.uint64(MOST_ROWS - 1)
+    key |= row.astype(np.uint64)
+    by = np.argsort(key).astype(np.int32)
+    del key
     hashed, row = hashed[by], row[by]
     new = np.ones(len(by), bool)
     new[1:] = hashed[1:] != hashed[:-1]
     own = new.copy()
     own[1:] |= row[1:] != row[:-1]
-    entry = np.flatnonzero(own)
+    entry = np.flatnonzero(own).astype(np.int32)
     head = np.flatnonzero(new)
-    times, holder = np.diff(np.append(entry, len(by))), row[entry]
+    times, holder = np.diff(np.append(entry, np.int32(len(by)))), row[entry]
+    del own, new, row
     first_entry = np.searchsorted(entry, head)
     holders = np.diff(np.append(first_entry, len(entry)))
+    del entry
     part = (hashed[head] % np.uint64(parts)).astype(np.int64)
     a, b = a[by[head]].astype(np.int64), b[by[head]].astype(np.int64)
+    del by, hashed, head
     rank = np.argsort((part << 40) | a)
     at = runs(first_entry[rank], holders[rank])
     return a[rank], b[rank], part[rank], holders[rank], holder[at], times[at]
@@ -125,11 +131,19 @@ def _send(parts: int, order: int):
         def flush() -> pa.RecordBatch:
             nonlocal base, held, size, rows
             shift, below = (np.cumsum([0, *[len(h[i]) for h in held[:-1]]]) for i in (0, 5))
-            buf, hashed, words, key_a, key_b = (np.concatenate([h[i] for h in held]) for i in (0, 4, 5, 6, 7))
-            a, b = (np.concatenate([h[i] + np.int32(s) for h, s in zip(held, shift, strict=True)]) for i in (1, 2))
-            row = np.concatenate([h[3] + np.int32(s) for h, s in zip(held, below, strict=True)])
+            columns = [list(x) for x in zip(*held, strict=True)]
             held = []
-            a, b, part, holders, doc, times = chunk_features(a, b, row, hashed, parts)
+
+            def joined(i: int, shifts: np.ndarray | None = None) -> np.ndarray:
+                """A column of the chunk; its blocks are given up, so that no column is held twice."""
+                blocks, columns[i] = columns[i], []
+                for at, s in enumerate(shifts if shifts is not None else []):
+                    blocks[at] += np.int32(s)
+                return np.concatenate(blocks)
+
+            buf, words, key_a, key_b = (joined(i) for i in (0, 5, 6, 7))
+            # the arrays are named in there only, so each goes when it is sorted
+            a, b, part, holders, doc, times = chunk_features(joined(1, shift), joined(2, shift), joined(3, below), joined(4), parts)
             edge = np.searchsorted(part, np.arange(parts + 1))
             entry_edge = np.concatenate([[0], np.cumsum(holders)])[edge]
             numbers = np.flatnonzero(np.diff(edge))
